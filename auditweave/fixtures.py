@@ -83,6 +83,9 @@ VIEWS = {
 }
 
 
+_TABLE = r"@(documents|events|orders|lineitem|part|customer)\b"
+
+
 def _expand(text: str, pick, divide, replacements: dict[str, str]) -> str:
     text = re.sub(r"IDIV\(([^(),]+),([^(),]+)\)", lambda m: divide(m[1], m[2]), text)
     text = re.sub(r"PICK\((.*?); (.*?)\)KCIP", lambda m: pick(m[1], m[2]), text, flags=re.DOTALL)
@@ -100,7 +103,7 @@ def spark_text(view: str, sf_dir: str) -> str:
             r"\bSTR\b": "string",
             r"\bJGET\(": "get_json_object(",
             r"\bBYTES\(": "octet_length(",
-            r"@(\w+)": lambda m: f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`",
+            _TABLE: lambda m: f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`",
         },
     )
 
@@ -114,7 +117,7 @@ def oracle_text(view: str) -> str:
             r"\bSTR\b": "varchar",
             r"\bJGET\(": "json_extract_string(",
             r"\bBYTES\(": "strlen(",
-            r"@(\w+)": r"\1",
+            _TABLE: r"\1",
         },
     )
 

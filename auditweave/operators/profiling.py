@@ -22,7 +22,7 @@ PATHS_PER_ROW = 10_000
 
 def _present(labels: list[str], prefix: str) -> Column:
     """Sorted array of the labels whose flag column is true."""
-    return F.array_compact(F.array(*[F.when(F.col(f"{prefix}{label}"), F.lit(label)) for label in sorted(labels)]))
+    return F.array_compact(F.array(*[F.when(F.col(f"`{prefix}{label}`"), F.lit(label)) for label in sorted(labels)]))
 
 
 def _flags(condition, labels: list[str], prefix: str) -> list[Column]:

@@ -97,11 +97,12 @@ def summary_json(
         _list_of(summary_roadmap(roadmap), ["position"], ROADMAP_FIELDS, "roadmap"),
         _list_of(tooling, ["tool"], TOOL_FIELDS, "scanner_tooling"),
     ]
-    whole = reduce(lambda left, right: left.join(right, "run_id", "left"), [*lists, stages], runs)
+    packed = stages.select("run_id", F.struct(*V.STAGES).alias("_stages"))
+    whole = reduce(lambda left, right: left.join(right, "run_id", "left"), [*lists, packed], runs)
     for rows in lists:
         name = rows.columns[-1]
         whole = whole.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-    status = F.struct(*[F.coalesce(s, F.lit("failed")).alias(s) for s in V.STAGES])
+    status = F.struct(*[F.coalesce(F.col("_stages")[s], F.lit("failed")).alias(s) for s in V.STAGES])
     whole = whole.withColumn("schema_version", F.lit(schema_version)).withColumn("analysis_status", status)
     document = F.to_json(F.struct(*SUMMARY_FIELDS), {"ignoreNullFields": "false"})
     return whole.select("run_id", document.alias("document"))
