@@ -37,15 +37,6 @@ def redacted(value: Column) -> Column:
     return value
 
 
-def secret_hits(value: Column) -> list[tuple[str, Column]]:
-    """Hits per pattern, each counted on the text left by the patterns before it."""
-    hits = []
-    for name, pattern, keeps_label in V.REDACTION_PATTERNS:
-        hits.append((name, F.regexp_count(value, F.lit(pattern)).cast("bigint")))
-        value = F.regexp_replace(value, pattern, ("$1" if keeps_label else "") + V.REDACTED)
-    return hits
-
-
 def cut(value: Column, limit: int) -> Column:
     """At most ``limit`` characters, the last three being dots when cut."""
     return F.when(F.length(value) > limit, F.concat(F.substring(value, 1, limit - 3), F.lit("..."))).otherwise(value)

@@ -124,14 +124,24 @@ def first_match(evidence: DataFrame, rules: list[Rule], runs: DataFrame | None =
     ``runs`` lists runs that need a row even without evidence; by default the
     runs seen in the evidence.
     """
-    haystack = F.lower(F.concat("summary", F.lit(" "), "file"))
-    matched = []
-    for number, rule in enumerate(rules):
-        belongs = BRANCH_FILTER.get(rule.category, lambda: F.lit(True))()
-        matched.append(F.when(belongs & any_word_in(haystack, list(rule.keywords)), F.lit(number)))
+    # The lower-cased text and the branch tests are computed once per row, then
+    # every keyword is a plain substring test on them.
+    branches = sorted({r.category for r in rules})
     item = F.struct("file", "line_start", "line_end", "source", "summary", "confidence")
-    hits = evidence.select(
-        "run_id", "repo", "ord", item.alias("item"), F.explode(F.array_compact(F.array(*matched))).alias("rule")
+    prepared = evidence.select(
+        "run_id",
+        "repo",
+        "ord",
+        item.alias("item"),
+        F.lower(F.concat("summary", F.lit(" "), "file")).alias("_text"),
+        *[BRANCH_FILTER.get(b, lambda: F.lit(True))().alias(f"_in_{b}") for b in branches],
+    )
+    matched = [
+        F.when(F.col(f"_in_{rule.category}") & any_word_in(F.col("_text"), list(rule.keywords)), F.lit(number))
+        for number, rule in enumerate(rules)
+    ]
+    hits = prepared.select(
+        "run_id", "repo", "ord", "item", F.explode(F.array_compact(F.array(*matched))).alias("rule")
     )
     everyone = F.explode(F.array(*[F.lit(n) for n in range(len(rules))]))
     placeholders = (runs if runs is not None else runs_of(evidence)).select(

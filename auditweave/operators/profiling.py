@@ -8,6 +8,8 @@ small one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,22 @@ def entry_points(files: DataFrame) -> DataFrame:
     return files.filter(is_entry_point(F.col("rel_path"))).select(*KEYS, F.col("rel_path").alias("path")).distinct()
 
 
-def _dependency_maps(content: Column) -> tuple[Column, Column]:
+def _with_dependencies(content: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply ``use`` to the parsed dependency maps of a package.json, parsed once."""
     document = F.from_json(content, "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>")
-    return document["dependencies"], document["devDependencies"]
-
-
-def _map_keys(entries: Column) -> Column:
-    return F.coalesce(F.map_keys(entries), F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(document), use), F.lit(0))
 
 
 def npm_frameworks(content: Column) -> Column:
     """Frameworks named as a dependency in a package.json."""
-    production, development = _dependency_maps(content)
-    names = F.concat(_map_keys(production), _map_keys(development))
-    return F.array_compact(F.transform(names, lambda n: lookup(F.lower(n), V.FRAMEWORK_BY_DEPENDENCY)))
+
+    def names(document: Column) -> Column:
+        none = F.array().cast("array<string>")
+        both = [F.coalesce(F.map_keys(document[m]), none) for m in ("dependencies", "devDependencies")]
+        return F.concat(*both)
+
+    found = F.transform(_with_dependencies(content, names), lambda n: lookup(F.lower(n), V.FRAMEWORK_BY_DEPENDENCY))
+    return F.array_compact(found)
 
 
 def python_frameworks(content: Column) -> Column:
@@ -144,10 +148,12 @@ def is_manifest(path: Column) -> Column:
 def dependency_count(path: Column, content: Column) -> Column:
     """Direct dependencies of one manifest; each kind has its own counting rule."""
     name, text = paths.file_name(path), content.cast("string")
-    production, development = _dependency_maps(text)
-    npm = F.when(production.isNull(), F.lit(0)).otherwise(F.size(production)) + F.when(
-        development.isNull(), F.lit(0)
-    ).otherwise(F.size(development))
+
+    def entries(document: Column) -> Column:
+        sizes = [F.when(document[m].isNull(), 0).otherwise(F.size(document[m])) for m in ("dependencies", "devDependencies")]
+        return sizes[0] + sizes[1]
+
+    npm = F.coalesce(_with_dependencies(text, entries), F.lit(0))
     lines = F.split(text, "\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]")
     pip = F.size(F.filter(lines, lambda line: (line != "") & ~line.startswith("#")))
     python = F.regexp_count(text, F.lit(r'(?md)^\s*"[A-Za-z0-9_.\-]+'))

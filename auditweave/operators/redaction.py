@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditweave import fixed_values as V
 from auditweave.functions.nested import has_strings, map_strings
-from auditweave.functions.text import redacted, secret_hits
+from auditweave.functions.text import redacted
 
 
 def redact_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -28,16 +29,22 @@ def redact_nested(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def redaction_report(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Hits per source table and pattern.
 
-    One pass per table: all patterns are counted in one aggregate, then turned
-    into rows.
+    One pass per table: each pattern is counted on the text the patterns before
+    it left, in steps that share that text, and all counts are summed at once.
     """
     result = None
     for name, (rows, column) in tables.items():
-        hits = secret_hits(F.col(column))
-        totals = rows.agg(*[F.coalesce(F.sum(hit), F.lit(0)).alias(pattern) for pattern, hit in hits])
-        counted = totals.select(
-            F.lit(name).alias("source_table"),
-            F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("hits")) for p, _ in hits])).alias("h"),
-        ).select("source_table", "h.pattern", "h.hits")
-        result = counted if result is None else result.unionByName(counted)
+        counted = rows.select(F.col(column).alias("_text"))
+        for pattern, regex, keeps_label in V.REDACTION_PATTERNS:
+            replacement = ("$1" if keeps_label else "") + V.REDACTED
+            counted = counted.select(
+                *[c for c in counted.columns if c != "_text"],
+                F.regexp_count("_text", F.lit(regex)).alias(pattern),
+                F.regexp_replace("_text", regex, replacement).alias("_text"),
+            )
+        patterns = [p for p, _, _ in V.REDACTION_PATTERNS]
+        totals = counted.agg(*[F.coalesce(F.sum(p), F.lit(0)).cast("bigint").alias(p) for p in patterns])
+        items = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("hits")) for p in patterns])
+        report = totals.select(F.lit(name).alias("source_table"), F.inline(items))
+        result = report if result is None else result.unionByName(report)
     return result

@@ -134,15 +134,17 @@ def top_findings(findings: DataFrame, runs: DataFrame, limit: int = 10) -> DataF
             shown_status(F.col("status")).alias("status"),
         )
     )
-    placeholder = runs.join(ranked.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id",
-        F.lit(1).cast("bigint").alias("position"),
-        F.lit("architecture").alias("category"),
-        F.lit("Low").alias("severity"),
-        F.lit("No actionable findings").alias("title"),
-        F.lit("insufficient_evidence").alias("status"),
+    # Ranked rows are few per run, so one outer join also finds the runs without any.
+    defaults = {
+        "position": F.lit(1).cast("bigint"),
+        "category": F.lit("architecture"),
+        "severity": F.lit("Low"),
+        "title": F.lit("No actionable findings"),
+        "status": F.lit("insufficient_evidence"),
+    }
+    return ranked.join(runs.select("run_id"), "run_id", "full").select(
+        "run_id", *[F.coalesce(c, default).alias(c) for c, default in defaults.items()]
     )
-    return ranked.unionByName(placeholder)
 
 
 def table_row(rows: DataFrame) -> DataFrame:
@@ -195,9 +197,10 @@ def finding_lines(findings: DataFrame, runs: DataFrame, categories: list[str] |
 
 
 def _or_line(lines: DataFrame, runs: DataFrame, text: str) -> DataFrame:
-    """Lines, plus ``text`` for runs without any."""
-    missing = runs.select("run_id").join(lines.select("run_id").distinct(), "run_id", "left_anti")
-    return lines.unionByName(missing.select("run_id", F.lit(1).cast("bigint").alias("position"), F.lit(text).alias("line")))
+    """Lines, plus ``text`` for runs without any; a run has few lines here."""
+    return lines.join(runs.select("run_id"), "run_id", "full").select(
+        "run_id", F.coalesce("position", F.lit(1).cast("bigint")).alias("position"), F.coalesce("line", F.lit(text)).alias("line")
+    )
 
 
 def roadmap_lines(roadmap: DataFrame, runs: DataFrame) -> DataFrame:

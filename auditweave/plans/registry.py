@@ -17,7 +17,7 @@ from auditweave import fixtures
 from auditweave.functions.text import token_counter
 from auditweave.operators import checks, compaction, evidence, inventory, profiling, quality, redaction, reporting, runlog
 from auditweave.plans import inputs
-from auditweave.session import shared_folder
+from auditweave.session import shared_folder, stage_table
 from auditweave.sources import documents, files, reports, tables
 from auditweave.streaming import feeds
 
@@ -169,7 +169,7 @@ def _summary_documents(spark, sf_dir):
         F.col("frameworks_detected").alias("frameworks"),
         "architecture_type",
     )
-    found = inputs.findings(spark, sf_dir)
+    found = stage_table(inputs.findings(spark, sf_dir), "findings")
     risks = checks.top_security_risks(found).unionByName(checks.top_performance_risks(found))
     return reporting.summary_json(
         runs,
@@ -770,7 +770,7 @@ def _(spark, sf_dir):
 def _report_lines(spark, sf_dir):
     files_of_runs = inputs.files_by_run(spark, sf_dir)
     scanned = inventory.scanned_files(files_of_runs, inputs.DEFAULT_POLICY)
-    runs = files_of_runs.select("run_id", "repo").distinct()
+    runs = stage_table(files_of_runs.select("run_id", "repo").distinct(), "runs")
     stats = inventory.scan_stats(inventory.skip_reason(files_of_runs, inputs.DEFAULT_POLICY))
     profile = checks.runtime_summary(checks.architecture_type(profiling.repo_profile(scanned)))
     info = (
@@ -780,11 +780,11 @@ def _report_lines(spark, sf_dir):
         .withColumn("page", F.coalesce("page", F.lit(0)))
     )
     only_runs = runs.select("run_id")
-    found = inputs.findings(spark, sf_dir).join(only_runs, "run_id", "left_semi")
+    found = stage_table(inputs.findings(spark, sf_dir).join(only_runs, "run_id", "left_semi"), "findings")
     return reporting.report_markdown(
         only_runs,
-        info,
-        reporting.stage_status(inputs.stage_states(spark, sf_dir)),
+        stage_table(info, "overview"),
+        stage_table(reporting.stage_status(inputs.stage_states(spark, sf_dir)), "stages"),
         inputs.tool_runs(spark, sf_dir).join(only_runs, "run_id", "left_semi"),
         checks.module_boundaries(profiling.folder_summary(scanned)),
         found,

@@ -1,53 +1,115 @@
-"""File trees as tables."""
+"""File trees as tables.
+
+Spark's own file sources pass over names that start with a dot or underscore
+and fail on files they cannot read, while an audit has to see both. So folders
+are expanded level by level in tasks, and only accepted files are opened.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.operators.inventory import ScanPolicy, is_ignored
 
+VERSION_CONTROL = ".git"
+LISTING = "path string, size_bytes bigint, is_folder boolean"
+LISTING_COLUMNS = ["path", "size_bytes", "is_folder"]
+BYTES_PER_BATCH = 64 * 1024 * 1024
+
+
+def _children(path: str) -> list[tuple[str, int | None, bool]]:
+    """Entries of one folder; links and version-control folders are not followed."""
+    system, inside = arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    out = []
+    for info in system.get_file_info(arrow_fs.FileSelector(inside, allow_not_found=True)):
+        is_folder = info.type == arrow_fs.FileType.Directory
+        if info.base_name == VERSION_CONTROL or (not scheme and os.path.islink(info.path)):
+            continue
+        if is_folder or info.type == arrow_fs.FileType.File:
+            out.append((scheme + info.path, None if is_folder else info.size, is_folder))
+    return out
+
+
+def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, size, is_folder in batch.itertuples(index=False):
+            rows += _children(path) if is_folder else [(path, size, False)]
+        yield pd.DataFrame(rows, columns=LISTING_COLUMNS)
+
+
+def _all_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, size, is_folder in batch.itertuples(index=False):
+            if not is_folder:
+                yield pd.DataFrame([(path, size, False)], columns=LISTING_COLUMNS)
+                continue
+            waiting = [path]
+            while waiting:
+                entries = _children(waiting.pop())
+                waiting += [p for p, _, folder in entries if folder]
+                yield pd.DataFrame([e for e in entries if not e[2]], columns=LISTING_COLUMNS)
 
-def scan_files(spark: SparkSession, root: str, repos_below_root: bool = True) -> DataFrame:
-    """Every file below ``root`` with its bytes; version-control folders are left out.
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add bytes where ``wanted``; a file that cannot be read has none."""
+    for batch in batches:
+        contents, held, start = [], 0, 0
+        for position, (path, wanted) in enumerate(zip(batch["path"], batch["wanted"], strict=True)):
+            body = None
+            if wanted:
+                try:
+                    system, inside = (
+                        arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
+                    )
+                    with system.open_input_file(inside) as handle:
+                        body = handle.read()
+                except OSError:
+                    body = None
+            contents.append(body)
+            held += len(body or b"")
+            if held >= BYTES_PER_BATCH:
+                yield batch.iloc[start : position + 1].drop(columns="wanted").assign(content=contents)
+                contents, held, start = [], 0, position + 1
+        if contents:
+            yield batch.iloc[start:].drop(columns="wanted").assign(content=contents)
+
+
+def scan_files(spark: SparkSession, root: str, repos_below_root: bool = True, levels: int = 3) -> DataFrame:
+    """Every file below ``root`` with its size, hidden ones too, without version-control folders.
 
     With ``repos_below_root`` each child folder is a repository, else ``root``
-    is one. Hidden files are read. ``content`` costs nothing unless selected.
+    is one. The first ``levels`` levels are expanded one at a time with the
+    found folders spread over the cluster in between, so a very large
+    repository is listed by many tasks.
     """
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z]+:/*", "/")
     base = root.rstrip("/")
-    inside = F.expr(f"substring(_path, {len(base) + 2})")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(base)
-        .withColumn("_path", path)
-        .withColumn("_inside", inside)
-    )
+    listing = spark.createDataFrame([(base, None, True)], LISTING)
+    for _ in range(levels):
+        listing = listing.mapInPandas(_one_level, LISTING).repartition("path")
+    listing = listing.mapInPandas(_all_levels, LISTING)
+    inside = F.expr(f"substring(path, {len(base) + 2})")
     if repos_below_root:
-        repo, rel = F.substring_index("_inside", "/", 1), F.regexp_replace("_inside", "^[^/]+/", "")
+        repo, relative = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]+/", "")
+        listing = listing.filter(inside.contains("/"))
     else:
-        repo, rel = F.lit(base.rsplit("/", 1)[-1]), F.col("_inside")
-    return files.select(
-        repo.alias("repo"),
-        F.concat(F.lit("run-"), repo).alias("run_id"),
-        rel.alias("rel_path"),
-        F.col("length").alias("size_bytes"),
-        "content",
-    ).filter(~F.array_contains(F.split("rel_path", "/"), ".git"))
+        repo, relative = F.lit(base.rsplit("/", 1)[-1]), inside
+    return listing.select(
+        repo.alias("repo"), F.concat(F.lit("run-"), repo).alias("run_id"), relative.alias("rel_path"), "size_bytes", "path"
+    )
 
 
 def readable_files(spark: SparkSession, root: str, policy: ScanPolicy, repos_below_root: bool = True) -> DataFrame:
-    """Like ``scan_files``, but bytes are only read for files the policy may accept.
-
-    The size test reaches the file source as a pushed filter and path tests run
-    before the bytes are used; rejected files stay in the table with no content.
-    """
-    small = scan_files(spark, root, repos_below_root).filter(F.col("size_bytes") <= policy.max_file_bytes)
-    small = small.withColumn("content", F.when(~is_ignored(F.col("rel_path"), policy), F.col("content")))
-    large = (
-        scan_files(spark, root, repos_below_root)
-        .filter(F.col("size_bytes") > policy.max_file_bytes)
-        .withColumn("content", F.lit(None).cast("binary"))
-    )
-    return small.unionByName(large)
+    """Files with their bytes; only files that pass the path and size tests are opened."""
+    listed = scan_files(spark, root, repos_below_root)
+    accepted = ~is_ignored(F.col("rel_path"), policy) & (F.col("size_bytes") <= policy.max_file_bytes)
+    rows = listed.withColumn("wanted", accepted).repartition("path")
+    schema = "repo string, run_id string, rel_path string, size_bytes bigint, path string, content binary"
+    return rows.mapInPandas(_read, schema).drop("path")

@@ -40,24 +40,24 @@ def read_report_texts(spark: SparkSession, path: str) -> DataFrame:
 def recovered_json(text: Column) -> Column:
     """The text from the first '{' that starts a JSON object; null when there is none.
 
-    The text is cut at braces and folded once. A candidate is parsed only while
-    none has been found, so a clean document is parsed a single time.
+    A clean document is parsed once and returned. Only a noisy one is cut at its
+    braces and folded; there, candidates are parsed until one is found.
     """
-    pieces = F.split(text, r"\{")
+    clean = F.ltrim(text)
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
 
     def step(state: Column, piece: Column) -> Column:
+        # Text that starts with a brace and parses is an object.
         candidate = F.substring(text, state["at"], F.length(text))
-        is_object = F.schema_of_variant(F.try_parse_json(candidate)).startswith("OBJECT")
         found = (
             F.when(state["found"].isNotNull(), state["found"])
             .when(state["at"] == 0, F.lit(None).cast("string"))
-            .when(is_object, candidate)
+            .when(F.try_parse_json(candidate).isNotNull(), candidate)
         )
-        following = state["at"] + F.length(piece) + 1
-        return F.struct(following.alias("at"), found.alias("found"))
+        return F.struct((state["at"] + F.length(piece) + 1).alias("at"), found.alias("found"))
 
-    return F.aggregate(pieces, start, step, lambda state: state["found"])
+    recovered = F.aggregate(F.split(text, r"\{"), start, step, lambda state: state["found"])
+    return F.when(clean.startswith("{") & F.try_parse_json(clean).isNotNull(), clean).otherwise(recovered)
 
 
 def recover_json(logs: DataFrame, column: str = "stdout", result: str = "payload") -> DataFrame:
