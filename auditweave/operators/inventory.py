@@ -84,7 +84,9 @@ def scan_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
-def max_files_cap(labelled: DataFrame, max_files: int, tie_break: str | None = None) -> DataFrame:
+def max_files_cap(
+    labelled: DataFrame, max_files: int, tie_break: str | None = None, salts: int = 256
+) -> DataFrame:
     """Rows seen before the scan of a repository stops at ``max_files`` accepted files.
 
     Only repositories that reach the limit are ordered at all, and there only
@@ -96,7 +98,7 @@ def max_files_cap(labelled: DataFrame, max_files: int, tie_break: str | None = N
     full = accepted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_files).drop("_n")
     candidates = attach(accepted, full, keys, order_names, how="inner")
     stops = (
-        first_n(candidates, keys, [F.col(c) for c in order_names], max_files, order_names)
+        first_n(candidates, keys, [F.col(c) for c in order_names], max_files, order_names, salts)
         .filter(F.col("position") == max_files)
         .select(*keys, F.struct(*order_names).alias("_stop"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
-from auditweave.functions.skew import DEFAULT_SLICE, neighbours
+from auditweave.functions.skew import DEFAULT_SLICE, attach, neighbours
 from auditweave.functions.text import redacted, short_digest
 
 
@@ -123,7 +123,7 @@ def stage_spans(transitions: DataFrame, slice_width: int = DEFAULT_SLICE) -> Dat
     )
     running = F.col("to_state") == "running"
     starts_nothing = ~running & F.coalesce(F.col("_before.to_state") == "running", F.lit(False))
-    spans = around.filter(~starts_nothing).join(run_end, "run_id")
+    spans = attach(around.filter(~starts_nothing), run_end, ["run_id"], ["seq"])
     after = F.col("_after.to_state")
     closed_by = (
         F.when(~running, "instant").when(after.isNull(), "run_end").when(after == "running", "replaced").otherwise(after)

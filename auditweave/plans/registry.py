@@ -196,7 +196,7 @@ def _(spark, sf_dir):
 @query("write_report")
 def _(spark, sf_dir):
     folder = shared_folder(spark, "report")
-    documents.write_report(_report_lines(spark, sf_dir), folder)
+    documents.write_report(stage_table(_report_lines(spark, sf_dir), "lines"), folder)
     return documents.read_documents(spark, folder).select("run_id", F.col("value").alias("line"))
 
 

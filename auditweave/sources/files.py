@@ -39,10 +39,9 @@ def _children(path: str) -> list[tuple[str, int | None, bool]]:
 
 def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
         for path, size, is_folder in batch.itertuples(index=False):
-            rows += _children(path) if is_folder else [(path, size, False)]
-        yield pd.DataFrame(rows, columns=LISTING_COLUMNS)
+            entries = _children(path) if is_folder else [(path, size, False)]
+            yield pd.DataFrame(entries, columns=LISTING_COLUMNS)
 
 
 def _all_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
