@@ -67,10 +67,11 @@ def hard_failures(stages: DataFrame) -> DataFrame:
     return stages.filter((F.col("scanner") == "failed") | (F.col("roadmap") == "failed"))
 
 
-def _list_of(rows: DataFrame, keys: list[Column | str], fields: list[str], name: str) -> DataFrame:
-    item = F.struct(*[F.col(k) if isinstance(k, str) else k for k in keys], F.struct(*fields).alias("item"))
-    listed = F.array_sort(F.collect_list(item))
-    return rows.groupBy("run_id").agg(F.transform(listed, lambda x: x["item"]).alias(name))
+def _list_of(order: str, fields: list[str], only: Column | None = None) -> Column:
+    """Aggregate: the ordered items of a group, optionally only those that match."""
+    entry = F.struct(F.col(order), F.struct(*fields).alias("item"))
+    listed = F.array_sort(F.collect_list(entry if only is None else F.when(only, entry)))
+    return F.transform(listed, lambda x: x["item"])
 
 
 RISK_FIELDS = ["issue", "severity", "file"]
@@ -90,18 +91,20 @@ def summary_json(
     ``runs(run_id, repo_name, language_detected, frameworks, architecture_type)``.
     All inputs meet on ``run_id``, so one shuffle per input serves every join.
     """
-    sorted_risks = summary_risks(risks)
+    category = F.col("category")
     lists = [
-        _list_of(sorted_risks.filter(F.col("category") == "security"), ["position"], RISK_FIELDS, "top_security_risks"),
-        _list_of(sorted_risks.filter(F.col("category") == "performance"), ["position"], RISK_FIELDS, "top_performance_risks"),
-        _list_of(summary_roadmap(roadmap), ["position"], ROADMAP_FIELDS, "roadmap"),
-        _list_of(tooling, ["tool"], TOOL_FIELDS, "scanner_tooling"),
+        summary_risks(risks).groupBy("run_id").agg(
+            _list_of("position", RISK_FIELDS, category == "security").alias("top_security_risks"),
+            _list_of("position", RISK_FIELDS, category == "performance").alias("top_performance_risks"),
+        ),
+        summary_roadmap(roadmap).groupBy("run_id").agg(_list_of("position", ROADMAP_FIELDS).alias("roadmap")),
+        tooling.groupBy("run_id").agg(_list_of("tool", TOOL_FIELDS).alias("scanner_tooling")),
     ]
     packed = stages.select("run_id", F.struct(*V.STAGES).alias("_stages"))
     whole = reduce(lambda left, right: left.join(right, "run_id", "left"), [*lists, packed], runs)
     for rows in lists:
-        name = rows.columns[-1]
-        whole = whole.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+        for name in rows.columns[1:]:
+            whole = whole.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     status = F.struct(*[F.coalesce(F.col("_stages")[s], F.lit("failed")).alias(s) for s in V.STAGES])
     whole = whole.withColumn("schema_version", F.lit(schema_version)).withColumn("analysis_status", status)
     document = F.to_json(F.struct(*SUMMARY_FIELDS), {"ignoreNullFields": "false"})
@@ -235,12 +238,12 @@ def tooling_lines(tool_runs: DataFrame, runs: DataFrame) -> DataFrame:
     return _or_line(lines, runs, V.NO_TOOLING_LINE)
 
 
-def _placed(rows: DataFrame, section: int, part: int, line: Column | str = "line", keys: dict[str, Column] | None = None) -> DataFrame:
+def _placed(rows: DataFrame, section: int | Column, part: int, line: Column | str = "line", keys: dict[str, Column] | None = None) -> DataFrame:
     """Put lines at their place in the report."""
     keys = keys or {}
     return rows.select(
         "run_id",
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, int) else section).alias("section"),
         F.lit(part).alias("part"),
         keys.get("k1", F.lit(0)).cast("bigint").alias("k1"),
         keys.get("k2", F.lit(0.0)).cast("double").alias("k2"),
@@ -335,11 +338,9 @@ def report_markdown(
         headings,
         _placed(stage_rows, 1, 2, keys={"k1": F.col("n")}),
         _placed(tooling_lines(tool_runs, runs), 2, 2, keys=position),
-        _placed(overview.filter(F.col("section") == 3), 3, 2, keys={"k1": F.col("number"), "k4": F.col("page")}),
-        _placed(overview.filter(F.col("section") == 4), 4, 2, keys={"k1": F.col("number")}),
+        _placed(overview, F.col("section"), 2, keys={"k1": F.col("number"), "k4": F.col("page")}),
         _placed(module_lines(modules, runs), 5, 2, keys=position),
-        _placed(lines.filter(F.col("category") == "security"), 6, 2, keys=sorted_keys),
-        _placed(lines.filter(F.col("category") == "performance"), 7, 2, keys=sorted_keys),
+        _placed(lines, F.when(F.col("category") == "security", 6).otherwise(7), 2, keys=sorted_keys),
         _placed(roadmap_lines(roadmap, runs), 8, 2, keys=position),
         _placed(table_row(top_findings(findings, runs)), 9, 2, keys=position),
     ]

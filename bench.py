@@ -19,15 +19,13 @@ from auditweave.session import build_session
 
 HEADLINE = [
     "skip_reason", "scan_stats", "max_files_cap", "repo_profile", "manifest_counts",
-    "evidence_semgrep", "dep_findings", "evidence_index", "attempt_fallback",
-    "first_match", "security_findings", "top_security_risks", "roadmap",
-    "repair_or_reject", "contract_violations",
-    "evidence_dedup", "evidence_cap", "dep_top_n", "compacted_context", "token_counts", "context_tier",
-    "redact_text", "redaction_report",
-    "summary_json", "report_markdown",
+    "evidence_semgrep", "dep_findings", "attempt_fallback",
+    "first_match", "top_security_risks", "roadmap", "repair_or_reject",
+    "evidence_dedup", "evidence_cap", "dep_top_n", "token_counts", "context_tier",
+    "redact_text", "summary_json",
     "latest_state", "transition_chain", "stage_spans", "run_manifest", "upsert_runs",
 ]
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def timed(query, spark, sf_dir: str) -> float:
