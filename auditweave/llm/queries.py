@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from auditweave.llm import bpe, mixing
 from auditweave.llm.common import table
 from auditweave.llm.near_dedup import near_duplicates
 
@@ -17,5 +19,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Query] = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents with weights 1, 2, 3 in turn."""
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and their decoded texts, as digests."""
+    rows = bpe.ids_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_bpe": op8_bpe,
+}
+ORACLES: dict[str, str] = {"op6_mix_sources": mixing.MIXTURE_SQL}
