@@ -6,6 +6,7 @@ of a batch is a handful of numpy calls and no Python object is made for a word.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Texts are worked on in pieces of about this many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 1 << 21
+CHUNK_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +65,15 @@ def _use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` for files that executors write and read."""
+    """A new folder below ``spark.checkpoint.dir`` for files that executors write and read.
+
+    Only a local session without the setting gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="auditweave-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -94,7 +101,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, name: str
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+            stop = min(start + CHUNK_ROWS, max(start + 1, int(np.searchsorted(ends, done + size, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, mixing
-from auditweave.llm.common import table
+from auditweave.llm import bpe, fingerprints, mixing, warc
+from auditweave.llm.common import shared_path, table
 from auditweave.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, as read back from the archives."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"), min_bytes=0)
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents with weights 1, 2, 3 in turn."""
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -32,7 +43,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,
+    "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": mixing.MIXTURE_SQL}
+ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL}
