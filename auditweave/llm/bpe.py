@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import SpanHashes, chunks, staged, text_buffer, text_column
+from auditweave.llm.common import SpanHashes, chunks, code_points, text_buffer, text_column
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -79,7 +79,7 @@ class Splitter:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
         bounds, specials = self.segments(raw, offsets)
         at = np.flatnonzero((raw & 0xC0) != 0x80)
-        points = _code_points(raw, at)
+        points = code_points(raw, at)
         n = len(points)
         kind = self.kinds_of(points)
         edge = np.zeros(n + 1, bool)
@@ -117,19 +117,6 @@ class Splitter:
         return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def _code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    wide = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
-    lead = wide[at]
-    out = lead.copy()
-    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
-        pick = np.flatnonzero((lead >= low) & (lead < high))
-        value = lead[pick] & mask
-        for step in range(1, more + 1):
-            value = (value << 6) | (wide[at[pick] + step] & 0x3F)
-        out[pick] = value
-    return out
-
-
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The spans of ``pool`` one after another."""
     total = int(lengths.sum())

@@ -193,3 +193,35 @@ def distinct_sets(hashes: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[new], owner[new]
     return hashes, np.searchsorted(owner, np.arange(n_texts + 1))
+
+
+def code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the UTF-8 characters that begin at the places ``at``."""
+    wide = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+    lead = wide[at]
+    out = lead.copy()
+    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
+        pick = np.flatnonzero((lead >= low) & (lead < high))
+        value = lead[pick] & mask
+        for step in range(1, more + 1):
+            value = (value << 6) | (wide[at[pick] + step] & 0x3F)
+        out[pick] = value
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
+    """Texts and labels of at most ``per_class`` documents of each class, chosen by a hash of the id.
+
+    The bound is on rows of the label table; their texts come by a join with this bounded list. A
+    document with several labels has the largest. Repeated rows of a document come once.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    chosen = [known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_class) for value in (0, 1)]
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]))
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return [(row["text"] or "", row["label"]) for row in rows]
+
+
+def fields_of(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)

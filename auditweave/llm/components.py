@@ -22,7 +22,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select("v", "m").unionByName(moved.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return out if larger else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

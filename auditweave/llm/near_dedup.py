@@ -6,9 +6,10 @@
 2. Equal sets form classes; only one vertex of a class goes on.
 3. In each band bucket, members are compared with the bucket's smallest member: sketches first,
    then, for the best such partner of each document, the full sets. Confirmed links join components.
-4. Buckets that still hold several components are compared in blocks of bounded size. A pair of
-   different components whose sketches come near the threshold is checked on full sets. A pair is
-   written once, in the first band that it shares.
+4. Buckets that still hold several components are compared in blocks of bounded size. Pairs of
+   different components whose sketches come near the threshold connect their documents to suspect
+   groups; a block writes a spanning forest of them, not the pairs. In each group, again in blocks,
+   every such pair is checked on full sets, unless links found in the block connect it already.
 
 A pair of similarity 0.8 shares no band with a probability of 1.4e-7, and its sketch estimate falls
 below ``SKETCH_LEAST`` (five standard errors) with less than 1e-6.
@@ -33,11 +34,12 @@ SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
 SKETCH_LEAST = 0.61
 #: Rows of one side of a block in step 4.
-BLOCK = 1024
+BLOCK = 512
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
@@ -67,7 +69,7 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
     out = np.zeros((len(minima), WORDS), np.uint64)
     rows = np.arange(len(minima))
     for i in range(SAMPLES):
-        bit = mixed(minima[:, i] + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
+        bit = mixed(minima[:, i] + _SALT[i]) % np.uint64(SKETCH_BITS)
         out[rows, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
     return out.view(np.int64)
 
@@ -151,55 +153,97 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _block_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of each cell (key, i, j): rows of chunk i against rows of chunk j."""
-
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(rows["chunk"] == rows["i"]), np.flatnonzero(rows["chunk"] == rows["j"])
-        us, vs = [], []
-        sketch, sizes, comp, keys = rows["sketch"], rows["n"], rows["component"], rows["tags"]
-        band = int(rows["band"][0])
-        for u in left:
-            v = right[right > u] if rows["i"][0] == rows["j"][0] else right
-            v = v[(comp[v] != comp[u]) & (100 * np.minimum(sizes[v], sizes[u]) >= percent * np.maximum(sizes[v], sizes[u]))]
-            if band and len(v):
-                v = v[~(keys[v, :band] == keys[u, :band]).any(axis=1)]
-            if len(v):
-                bits = np.bitwise_count(sketch[v] ^ sketch[u]).sum(axis=1)
-                v = v[estimate(bits) >= SKETCH_LEAST]
-                us.append(np.full(len(v), rows["doc_id"][u]))
-                vs.append(rows["doc_id"][v])
-        return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _near_in_block(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of chunk i: the rows of chunk j in other components that sizes and sketches allow, with the estimates."""
+    left, right = np.flatnonzero(rows["chunk"] == rows["i"]), np.flatnonzero(rows["chunk"] == rows["j"])
+    sketch, sizes, comp = rows["sketch"], rows["n"], rows["component"]
+    same = rows["i"][0] == rows["j"][0]
+    for u in left.tolist():
+        v = right[right > u] if same else right
+        v = v[(comp[v] != comp[u]) & (100 * np.minimum(sizes[v], sizes[u]) >= percent * np.maximum(sizes[v], sizes[u]))]
+        if len(v):
+            likely = estimate(np.bitwise_count(sketch[v] ^ sketch[u]).sum(axis=1))
+            keep = likely >= SKETCH_LEAST
+            if keep.any():
+                yield u, v[keep], likely[keep]
+
+
+def _forest(rows: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs that ``_near_in_block`` allows."""
+    label = np.arange(len(rows["doc_id"]))
+    us, vs = [], []
+    for u, v, _ in _near_in_block(rows, percent):
+        groups, first = np.unique(label[v], return_index=True)
+        new = groups != label[u]
+        us += [u] * int(new.sum())
+        vs += v[first[new]].tolist()
+        label[np.isin(label, groups)] = label[u]
+    return us, vs
+
+
+def _links(rows: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links on full sets, the likeliest first; pairs that earlier links of the block connect are left out."""
+    found = list(_near_in_block(rows, percent))
+    if not found:
+        return [], []
+    u = np.concatenate([np.full(len(v), u) for u, v, _ in found])
+    v, likely = np.concatenate([v for _, v, _ in found]), np.concatenate([x for _, _, x in found])
+    order = np.argsort(-likely, kind="stable")
+    _, label = np.unique(rows["component"], return_inverse=True)
+    sets = rows["set"]
+    us, vs = [], []
+    for a, b in zip(u[order].tolist(), v[order].tolist(), strict=True):
+        if label[a] == label[b]:
+            continue
+        x, y = np.frombuffer(sets[a], np.uint64), np.frombuffer(sets[b], np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            us.append(a)
+            vs.append(b)
+            label[label == label[b]] = label[a]
+    return us, vs
+
+
+def _in_blocks(rows: DataFrame, group: str, percent: int, work) -> DataFrame:
+    """Edges (u, v) that ``work`` finds in the blocks of each ``group`` of ``rows`` (with ``members``).
+
+    A group is split into chunks of about ``BLOCK`` rows by hash, and each pair of chunks is a block of
+    its own, so that no task holds more than two chunks of a group at a time.
+    """
+    cells = (
+        rows.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("i", F.least("chunk", "other"))
+        .withColumn("j", F.greatest("chunk", "other"))
+        .withColumnRenamed(group, "key")
+        .drop("parts", "other", "members")
+    )
+    cells = cells.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
     def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name not in ("sketch", "tags")}
-        for name, kind, width in (("sketch", np.uint64, WORDS), ("tags", np.int32, BANDS)):
-            column = batch.column(batch.schema.get_field_index(name))
-            out[name] = column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+        out = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name != "sketch"}
+        out["sketch"] = batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-
-        def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            u, v = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-        def joined() -> dict[str, np.ndarray]:
-            return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+    def edges(block: dict[str, np.ndarray]) -> pa.RecordBatch:
+        u, v = (block["doc_id"][x] if x else np.zeros(0, np.int64) for x in work(block, percent))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(arrays(batch))
-            rows = joined()
-            edge = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-            bounds = [0, *edge.tolist()]
+            new = arrays(batch)
+            block = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
+            cut = np.flatnonzero((np.diff(block["key"]) != 0) | (np.diff(block["i"]) != 0) | (np.diff(block["j"]) != 0)) + 1
+            bounds = [0, *cut.tolist()]
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                yield pairs({k: x[start:stop] for k, x in rows.items()})
-            held = [{k: x[bounds[-1] :] for k, x in rows.items()}]
-        if held:
-            yield pairs(joined())
+                yield edges({k: x[start:stop] for k, x in block.items()})
+            held = {k: x[bounds[-1] :] for k, x in block.items()}
+        if held is not None:
+            yield edges(held)
 
     return cells.mapInArrow(run, "u long, v long")
 
@@ -252,23 +296,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     label = found.select(F.col("vertex").alias("doc_id"), "component")
     marked = shared.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     marked = staged(marked.select("key", "band", "doc_id", "component"))
-    mixed_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("band").alias("band")).filter("lo < hi").select("key", "band", "members")
-    details = classes.select("doc_id", "n", F.array(*sketch).alias("sketch"), F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("tags"))
-    spread = (
-        marked.join(mixed_keys, ["key", "band"])
-        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        .join(details, "doc_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "doc_id", "component", "n", "sketch", "tags")
-    )
-    cells = spread.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    rest = staged(_block_pairs(cells, percent).distinct())
-    if not rest.isEmpty():
-        ids = rest.select(F.col("u").alias("doc_id")).unionByName(rest.select(F.col("v").alias("doc_id"))).distinct()
-        full = staged(_with_sets(docs, ids.withColumn("partner", F.col("doc_id")), shingle).dropDuplicates(["doc_id"]))
-        both = rest.join(full.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
-        found = components(staged(_confirm(both, percent).unionByName(edges)))
+    open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("band").alias("band")).filter("lo < hi").select("key", "band", "members")
+    details = classes.select("doc_id", "n", F.array(*sketch).alias("sketch"))
+    rows_of = marked.join(open_keys, ["key", "band"]).join(details, "doc_id").select("key", "members", "doc_id", "component", "n", "sketch")
+    forest = staged(_in_blocks(rows_of, "key", percent, _forest).distinct())
+    if not forest.isEmpty():
+        suspects = components(forest).select(F.col("vertex").alias("doc_id"), F.col("component").alias("group"))
+        sizes = suspects.groupBy("group").agg(F.count("*").alias("members"))
+        suspects = staged(suspects.join(sizes, "group").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(details, "doc_id"))
+        sets = _with_sets(docs, suspects.select("doc_id", F.col("group").alias("partner")), shingle).dropDuplicates(["doc_id"]).select("doc_id", "set")
+        more = _in_blocks(suspects.join(sets, "doc_id"), "group", percent, _links)
+        found = components(staged(more.unionByName(edges)))
 
     label = found.select(F.col("vertex").alias("rep"), "component")
     named = classes.select("digest", F.col("doc_id").alias("rep")).join(label, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

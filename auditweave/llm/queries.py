@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, fingerprints, mixing, warc
-from auditweave.llm.common import shared_path, table
+from auditweave.llm import bpe, fingerprints, language, mixing, pii, quality, toxicity, urls, warc
+from auditweave.llm.common import held_out, shared_path, table
 from auditweave.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,26 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and quality verdicts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, as read back from the archives."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"), min_bytes=0)
@@ -35,17 +55,37 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return toxicity.score_toxicity(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their decoded texts, as digests."""
     rows = bpe.ids_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs, pii.train(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
     "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL}
