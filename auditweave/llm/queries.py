@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.train(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline; token ids as digests."""
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language": op2_language,
@@ -87,5 +93,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL}
