@@ -18,7 +18,7 @@ below ``SKETCH_LEAST`` (five standard errors) with less than 1e-6.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,18 +124,18 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, partner, set): whole shingle sets of the documents in ``wanted`` (doc_id, partner)."""
+    """(doc_id, partner, is_hub, set): whole shingle sets of the documents in ``wanted``, which has the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, offsets = _sets(batch, shingle)
             flat = pa.py_buffer(hashes.tobytes())
             sets = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64).tobytes()), flat])
-            partner = batch.column(batch.schema.get_field_index("partner"))
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch)), partner, sets.cast(pa.binary())], names=["doc_id", "partner", "set"])
+            partner, hub = (batch.column(batch.schema.get_field_index(name)) for name in ("partner", "is_hub"))
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch)), partner, hub, sets.cast(pa.binary())], names=["doc_id", "partner", "is_hub", "set"])
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return ids.join(wanted, "doc_id").mapInArrow(run, "doc_id long, partner long, set binary")
+    return ids.join(wanted, "doc_id").mapInArrow(run, "doc_id long, partner long, is_hub boolean, set binary")
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -168,43 +168,44 @@ def _near_in_block(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[
                 yield u, v[keep], likely[keep]
 
 
-def _forest(rows: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs that ``_near_in_block`` allows."""
-    label = np.arange(len(rows["doc_id"]))
-    us, vs = [], []
+def _forest(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that the pairs of ``_near_in_block`` connect, each as edges to its smallest document."""
+    ids = rows["doc_id"]
+    label = np.arange(len(ids))
     for u, v, _ in _near_in_block(rows, percent):
-        groups, first = np.unique(label[v], return_index=True)
-        new = groups != label[u]
-        us += [u] * int(new.sum())
-        vs += v[first[new]].tolist()
-        label[np.isin(label, groups)] = label[u]
-    return us, vs
+        label[np.isin(label, np.unique(label[v]))] = label[u]
+    groups, inverse, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    least = np.full(len(groups), NO_ID)
+    np.minimum.at(least, inverse, ids)
+    at = np.flatnonzero((sizes[inverse] > 1) & (least[inverse] != ids))
+    return ids[at], least[inverse[at]]
 
 
-def _links(rows: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links on full sets, the likeliest first; pairs that earlier links of the block connect are left out."""
+def _links(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components that links on full sets join, the likeliest pairs first; pairs that earlier links of the block connect are left out."""
     found = list(_near_in_block(rows, percent))
+    none = np.zeros(0, np.int64)
     if not found:
-        return [], []
+        return none, none
     u = np.concatenate([np.full(len(v), u) for u, v, _ in found])
     v, likely = np.concatenate([v for _, v, _ in found]), np.concatenate([x for _, _, x in found])
     order = np.argsort(-likely, kind="stable")
     _, label = np.unique(rows["component"], return_inverse=True)
     sets = rows["set"]
-    us, vs = [], []
+    pairs = []
     for a, b in zip(u[order].tolist(), v[order].tolist(), strict=True):
         if label[a] == label[b]:
             continue
         x, y = np.frombuffer(sets[a], np.uint64), np.frombuffer(sets[b], np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         if 100 * both >= percent * (len(x) + len(y) - both):
-            us.append(a)
-            vs.append(b)
+            pairs.append((a, b))
             label[label == label[b]] = label[a]
-    return us, vs
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    return rows["component"][at[:, 0]], rows["component"][at[:, 1]]
 
 
-def _in_blocks(rows: DataFrame, group: str, percent: int, work) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, percent: int, work: Callable[[dict[str, np.ndarray], int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Edges (u, v) that ``work`` finds in the blocks of each ``group`` of ``rows`` (with ``members``).
 
     A group is split into chunks of about ``BLOCK`` rows by hash, and each pair of chunks is a block of
@@ -227,7 +228,7 @@ def _in_blocks(rows: DataFrame, group: str, percent: int, work) -> DataFrame:
         return out
 
     def edges(block: dict[str, np.ndarray]) -> pa.RecordBatch:
-        u, v = (block["doc_id"][x] if x else np.zeros(0, np.int64) for x in work(block, percent))
+        u, v = work(block, percent)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +267,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = staged(
         rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sketch))
     )
-    keyed = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    # Grouped by key alone and joined on key and band, so that the join gets exchanges that can be split.
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.min("band").alias("band")).filter("hub < top").drop("top")
-    shared = staged(keyed.join(hubs, ["key", "band"]))
+    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+    # Grouped by key, joined on key and a remainder of it: so the join gets exchanges of its own, which adaptive execution can split.
+    tag = F.pmod("key", F.lit(1009)).cast("int").alias("tag")
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("key", tag, "hub")
+    shared = staged(keyed.select("doc_id", "key", tag).join(hubs, ["key", "tag"]))
 
     pairs = shared.filter("doc_id <> hub").select("doc_id", "hub").distinct()
     x, h = classes.select("doc_id", "n", *sketch).alias("x"), classes.select("doc_id", "n", *sketch).alias("h")
@@ -281,10 +283,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .filter(F.col("likely") >= SKETCH_LEAST)
     )
     best = staged(near.groupBy("doc_id").agg(F.max(F.struct("likely", -F.col("hub"))).alias("best")).select("doc_id", (-F.col("best.col2")).alias("partner")))
-    wanted = best.unionByName(best.select(F.col("partner").alias("doc_id"), "partner").distinct())
-    sets = staged(_with_sets(docs, wanted, shingle).dropDuplicates(["doc_id", "partner"]))
-    ends = sets.filter("doc_id = partner").select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
-    first = _confirm(sets.filter("doc_id <> partner").select(F.col("doc_id").alias("u"), F.col("partner").alias("v"), F.col("set").alias("a")).join(ends, "v"), percent)
+    is_hub = best.select(F.col("partner").alias("doc_id"), F.lit(True).alias("is_hub")).distinct()
+    wanted = shared.select("doc_id").distinct().join(best, "doc_id", "left").join(is_hub, "doc_id", "left")
+    # The sets of all documents that share a bucket, from one pass over the texts.
+    sets = staged(_with_sets(docs, wanted, shingle).dropDuplicates(["doc_id"]))
+    ends = sets.filter("is_hub").select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
+    first = _confirm(sets.filter("partner is not null").select(F.col("doc_id").alias("u"), F.col("partner").alias("v"), F.col("set").alias("a")).join(ends, "v"), percent)
 
     # A document whose rows hold several texts ties their classes together.
     twice = rows.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi")
@@ -295,20 +299,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     label = found.select(F.col("vertex").alias("doc_id"), "component")
     marked = shared.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    marked = staged(marked.select("key", "band", "doc_id", "component"))
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("band").alias("band")).filter("lo < hi").select("key", "band", "members")
+    marked = staged(marked.select("key", "tag", "doc_id", "component"))
+    open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", tag, "members")
     details = classes.select("doc_id", "n", F.array(*sketch).alias("sketch"))
-    rows_of = marked.join(open_keys, ["key", "band"]).join(details, "doc_id").select("key", "members", "doc_id", "component", "n", "sketch")
+    rows_of = marked.join(open_keys, ["key", "tag"]).join(details, "doc_id").select("key", "members", "doc_id", "component", "n", "sketch")
     forest = staged(_in_blocks(rows_of, "key", percent, _forest).distinct())
     if not forest.isEmpty():
         suspects = components(forest).select(F.col("vertex").alias("doc_id"), F.col("component").alias("group"))
         sizes = suspects.groupBy("group").agg(F.count("*").alias("members"))
         suspects = staged(suspects.join(sizes, "group").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(details, "doc_id"))
-        sets = _with_sets(docs, suspects.select("doc_id", F.col("group").alias("partner")), shingle).dropDuplicates(["doc_id"]).select("doc_id", "set")
-        more = _in_blocks(suspects.join(sets, "doc_id"), "group", percent, _links)
-        found = components(staged(more.unionByName(edges)))
+        more = _in_blocks(suspects.join(sets.select("doc_id", "set"), "doc_id"), "group", percent, _links)
+        # Those links join components; what joined before has the component's name now.
+        joined = components(more).select(F.col("vertex").alias("component"), F.col("component").alias("larger"))
+        names = label.unionByName(joined.select(F.col("component").alias("doc_id"), "component").join(label, "doc_id", "left_anti"))
+        label = staged(names.join(joined, "component", "left").select("doc_id", F.coalesce("larger", "component").alias("component")))
 
-    label = found.select(F.col("vertex").alias("rep"), "component")
+    label = label.withColumnRenamed("doc_id", "rep")
     named = classes.select("digest", F.col("doc_id").alias("rep")).join(label, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(staged(named), "digest", "left")
     own = F.coalesce("component", "doc_id")
