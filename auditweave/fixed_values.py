@@ -94,7 +94,6 @@ CATEGORIES = ["architecture", "security", "performance"]
 STATUSES = ["confirmed", "suspected", "not_applicable", "insufficient_evidence", "failed"]
 ACTIONABLE_STATUSES = ["confirmed", "suspected"]
 HIDDEN_STATUSES = ["not_applicable", "insufficient_evidence"]
-EVIDENCE_SOURCES = ["rg", "semgrep", "bandit", "osv", "tree_sitter", "scanner_heuristic"]
 SOURCE_TYPES = ["github_url", "local_path"]
 STAGES = ["scanner", "architecture", "security", "performance", "roadmap"]
 FLOW_NODES = ["start", "scanner", "architecture", "security", "performance", "roadmap"]
@@ -177,7 +176,6 @@ REPORT_HEADINGS = [
 ]
 SUMMARY_TABLE_HEADER = "| # | Category | Severity | Issue | Status |"
 SUMMARY_TABLE_RULE = "|---|---|---|---|---|"
-SUMMARY_TABLE_EMPTY = "| 1 | architecture | Low | No actionable findings | insufficient_evidence |"
 NO_FINDINGS_LINE = "- No findings."
 NO_ROADMAP_LINE = "- No roadmap items generated."
 NO_TOOLING_LINE = "- No scanner tool executions recorded."

@@ -23,10 +23,6 @@ def rank_of(label: Column, ordered: list[str], missing: int) -> Column:
     return F.coalesce(lookup(label, {name: i for i, name in enumerate(ordered)}), F.lit(missing))
 
 
-def isin_literals(value: Column, words: list) -> Column:
-    return value.isin(*words)
-
-
 def any_word_in(haystack: Column, words: list[str]) -> Column:
     """True when any word is a substring (not a whole word)."""
     result = F.lit(False)

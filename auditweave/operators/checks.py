@@ -1,14 +1,14 @@
 """Checklists over evidence: findings, risks, roadmaps.
 
-All checks of all branches run in one pass: each evidence row names the checks
-it matches, and a combining aggregate keeps the first match per run and check.
-Runs without a match get their row from a placeholder that joins the same
-aggregate, so no product of runs and checks is built from the evidence.
+All checks of all branches run in one pass: a combining aggregate keeps, per run
+and check, the smallest order number of a matching evidence row. The few rows so
+named are fetched by a join, and no evidence row is repeated or sorted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from auditweave.functions.ranks import any_word_in, rank_of
 from auditweave.functions.skew import attach
 from auditweave.functions.text import short_digest
 
-MAX_RULES = 2_000
+#: Rules that one aggregate tests; a larger catalogue is planned in several, so no projection grows with it.
+RULES_PER_PASS = 100
 
 EVIDENCE_REF = "STRUCT<file: STRING, line_start: INT, line_end: INT, source: STRING, rule_id: STRING>"
 FINDING_COLUMNS = [
@@ -83,12 +84,9 @@ PERFORMANCE_RULES = _rules("performance", V.PERFORMANCE_CHECKS, {
 def rules_from_table(rules: DataFrame) -> list[Rule]:
     """A user's rule table as rules.
 
-    A catalogue is configuration: it is read to plan the job and its size is
-    checked before anything is fetched.
+    A catalogue is configuration: it is read to plan the job.
     """
-    rows = rules.orderBy("category", "position").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule catalogue holds at most {MAX_RULES} rules")
+    rows = rules.orderBy("category", "position").collect()
     return [
         Rule(r.category, r.check_id, r.severity, tuple(k.lower() for k in r.keywords), r.title, r.concern, r.advice)
         for r in rows
@@ -119,44 +117,40 @@ def runs_of(evidence: DataFrame) -> DataFrame:
 
 
 def first_match(evidence: DataFrame, rules: list[Rule], runs: DataFrame | None = None) -> DataFrame:
-    """For each run and check the first evidence (by ``ord``) with any keyword, or nulls.
+    """For each run and check the first evidence (by ``ord``, unique in a run) with any keyword, or nulls.
 
     ``runs`` lists runs that need a row even without evidence; by default the
-    runs seen in the evidence.
+    runs seen in the evidence. One aggregate keeps, per run and rule, the smallest
+    matching ``ord``; only these few numbers fetch their evidence rows.
     """
-    # The lower-cased text and the branch tests are computed once per row, then
-    # every keyword is a plain substring test on them.
     branches = sorted({r.category for r in rules})
-    item = F.struct("file", "line_start", "line_end", "source", "summary", "confidence")
+    keys = ["run_id", "repo"]
     prepared = evidence.select(
-        "run_id",
-        "repo",
+        *keys,
         "ord",
-        item.alias("item"),
         F.lower(F.concat("summary", F.lit(" "), "file")).alias("_text"),
         *[BRANCH_FILTER.get(b, lambda: F.lit(True))().alias(f"_in_{b}") for b in branches],
     )
-    matched = [
-        F.when(F.col(f"_in_{rule.category}") & any_word_in(F.col("_text"), list(rule.keywords)), F.lit(number))
-        for number, rule in enumerate(rules)
-    ]
-    hits = prepared.select(
-        "run_id", "repo", "ord", "item", F.explode(F.array_compact(F.array(*matched))).alias("rule")
-    )
-    everyone = F.explode(F.array(*[F.lit(n) for n in range(len(rules))]))
-    placeholders = (runs if runs is not None else runs_of(evidence)).select(
-        "run_id",
-        "repo",
-        F.lit(None).cast(evidence.schema["ord"].dataType).alias("ord"),
-        F.lit(None).cast(hits.schema["item"].dataType).alias("item"),
-        everyone.alias("rule"),
-    )
-    return (
-        hits.unionByName(placeholders)
-        .groupBy("run_id", "repo", "rule")
-        .agg(F.min_by("item", "ord").alias("item"))
-        .withColumn("check_id", F.element_at(F.array(*[F.lit(r.check_id) for r in rules]), F.col("rule") + 1))
-    )
+    if runs is not None:
+        blank = [F.lit(None).cast(prepared.schema[c].dataType).alias(c) for c in prepared.columns if c not in keys]
+        prepared = prepared.unionByName(runs.select(*keys, *blank))
+
+    def first_of(number: int, rule: Rule) -> Column:
+        hit = F.col(f"_in_{rule.category}") & any_word_in(F.col("_text"), list(rule.keywords))
+        return F.struct(F.lit(number).alias("rule"), F.min(F.when(hit, F.col("ord"))).alias("ord"))
+
+    passes = []
+    for start in range(0, len(rules), RULES_PER_PASS):
+        firsts = [first_of(start + i, rule).alias(f"_{i}") for i, rule in enumerate(rules[start : start + RULES_PER_PASS])]
+        grouped = prepared.groupBy(*keys).agg(*firsts)
+        passes.append(grouped.select(*keys, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(firsts))])).alias("x")))
+    found = reduce(DataFrame.unionByName, passes).select(*keys, "x.rule", "x.ord")
+    item = F.struct("file", "line_start", "line_end", "source", "summary", "confidence")
+    items = evidence.select(*keys, "ord", item.alias("item"))
+    hits = found.filter(F.col("ord").isNotNull()).join(items, [*keys, "ord"]).drop("ord")
+    misses = found.filter(F.col("ord").isNull()).select(*keys, "rule", F.lit(None).cast(items.schema["item"].dataType).alias("item"))
+    names = F.array(*[F.lit(r.check_id) for r in rules])
+    return hits.unionByName(misses).withColumn("check_id", F.element_at(names, F.col("rule") + 1))
 
 
 def _rule_column(rules: list[Rule], attribute: str) -> Column:
@@ -294,7 +288,7 @@ def architecture_type(profile: DataFrame) -> DataFrame:
     kind = (
         F.when(hinted("microservice"), "microservices")
         .when(hinted("modular"), "modular_monolith")
-        .when(F.size("entry_points") > 0, "monolith")
+        .when(F.col("has_entry_point"), "monolith")
         .otherwise(V.UNKNOWN)
     )
     return profile.withColumn("architecture_type", kind)
@@ -303,10 +297,10 @@ def architecture_type(profile: DataFrame) -> DataFrame:
 def runtime_summary(profile: DataFrame) -> DataFrame:
     """A sentence about the first three entry points."""
     sentence = F.when(
-        F.size("entry_points") > 0,
+        F.col("has_entry_point"),
         F.concat(
             F.lit("Starts from "),
-            F.array_join(F.slice("entry_points", 1, 3), ", "),
+            F.array_join("first_entry_points", ", "),
             F.lit(" and continues into the top-level folders."),
         ),
     ).otherwise(F.lit("No entry point was found, so the start-up path is unknown."))
@@ -375,6 +369,16 @@ def top_performance_risks(findings: DataFrame) -> DataFrame:
 FAILED_BRANCH_SEVERITY = {"architecture": "Medium", "security": "High", "performance": "Medium"}
 
 
+def _branch_entry(branch: str) -> Column:
+    mine = F.col("entry.branch") == branch
+    failed = F.bool_or(mine & (F.col("entry.state.status") == "failed"))
+    status = F.when(failed, F.lit("failed")).otherwise(F.max(F.when(mine, F.col("entry.state.status"))))
+    reason = F.when(failed, F.min(F.when(mine & (F.col("entry.state.status") == "failed"), F.col("entry.state.reason")))).otherwise(
+        F.min(F.when(mine, F.col("entry.state.reason")))
+    )
+    return F.when(F.bool_or(mine), F.struct(F.lit(branch).alias("branch"), F.struct(status.alias("status"), reason.alias("reason")).alias("state")))
+
+
 def failed_branch_fill(runs: DataFrame, branch_states: DataFrame) -> DataFrame:
     """A failed finding for each branch of a run that failed or has no output.
 
@@ -385,10 +389,11 @@ def failed_branch_fill(runs: DataFrame, branch_states: DataFrame) -> DataFrame:
     entry = F.struct("branch", F.struct("status", "reason").alias("state"))
     known = branch_states.filter(F.col("branch").isin(*V.CATEGORIES)).select("run_id", entry.alias("entry"))
     blank = runs.select("run_id", F.lit(None).cast(known.schema["entry"].dataType).alias("entry"))
-    states = (
-        known.unionByName(blank)
-        .groupBy("run_id")
-        .agg(F.map_from_entries(F.collect_list("entry")).alias("states"))
+    # Rows of one branch are folded: a failure counts before other states, then the first reason by name.
+    states = known.unionByName(blank).groupBy("run_id").agg(
+        F.map_from_entries(
+            F.array_compact(F.array(*[_branch_entry(c) for c in V.CATEGORIES]))
+        ).alias("states")
     )
     branch = F.col("category")
     state = F.try_element_at(F.col("states"), branch)

@@ -11,6 +11,8 @@ from auditweave.functions.text import cut, token_count
 
 EVIDENCE_ORDER = ["source", "file", "line_start", "line_end", "summary", "id"]
 DEPENDENCY_ORDER = ["vulnerability_id", "package", "version"]
+#: The smallest payload leaves versions in list order.
+MINIMAL_ORDER = ["vulnerability_id", "package"]
 
 
 def evidence_dedup(evidence: DataFrame) -> DataFrame:
@@ -48,11 +50,11 @@ def evidence_cap(evidence: DataFrame, total: int | None = None, per_source: dict
     )
 
 
-def dep_top_n(dependencies: DataFrame, limit: int | None = None) -> DataFrame:
-    """Most severe dependency findings per run."""
+def dep_top_n(dependencies: DataFrame, limit: int | None = None, order_by: list[str] = DEPENDENCY_ORDER) -> DataFrame:
+    """Most severe dependency findings per run; ties of ``order_by`` stay in list order (``ord``)."""
     limit = V.DEFAULT_DEPENDENCY_FINDINGS if limit is None else limit
     rank = rank_of(F.col("severity"), V.DEPENDENCY_SEVERITIES, 99)
-    order = Window.partitionBy("run_id").orderBy(rank, *DEPENDENCY_ORDER, "ord")
+    order = Window.partitionBy("run_id").orderBy(rank, *order_by, "ord")
     return (
         dependencies.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= limit)
@@ -76,14 +78,20 @@ EVIDENCE_ITEM = [
     "id", "file", "line_start", "line_end", "snippet_hash", "source", "signal_type", "summary", "confidence",
 ]
 DEPENDENCY_ITEM = [
-    "package", "ecosystem", "version", "vulnerability_id", "severity", "fixed_version", "source_file",
+    "package", "ecosystem", "version", "vulnerability_id", "aliases", "severity", "fixed_version", "source_file",
 ]
 
 
+def _dependency_item(rows: DataFrame) -> Column:
+    """The fields of a dependency in a payload; a source without aliases has none."""
+    none = F.array().cast("array<string>").alias("aliases")
+    return F.struct(*[none if name == "aliases" and name not in rows.columns else F.col(name) for name in DEPENDENCY_ITEM])
+
+
 def minimal_context(runs: DataFrame, dependencies: DataFrame, limit: int = V.MINIMAL_DEPENDENCY_FINDINGS) -> DataFrame:
     """Smallest payload per run: what ``runs`` carries and the worst dependency findings."""
-    top = dep_top_n(dependencies, limit)
-    lists = _list_per_run(top, F.struct(*DEPENDENCY_ITEM), "vulnerability_findings")
+    top = dep_top_n(dependencies, limit, MINIMAL_ORDER)
+    lists = _list_per_run(top, _dependency_item(top), "vulnerability_findings")
     counts = dependencies.groupBy("run_id").agg(F.count(F.lit(1)).alias("dependency_findings"))
     joined = runs.join(lists, "run_id", "left").join(counts, "run_id", "left")
     empty = F.array().cast(lists.schema["vulnerability_findings"].dataType)
@@ -107,7 +115,7 @@ def compacted_context(
     kept = evidence_cap(evidence, total, per_source)
     top = dep_top_n(dependencies, dependency_limit)
     evidence_list = _list_per_run(kept, F.struct(*EVIDENCE_ITEM), "evidence_index")
-    dependency_list = _list_per_run(top, F.struct(*DEPENDENCY_ITEM), "vulnerability_findings")
+    dependency_list = _list_per_run(top, _dependency_item(top), "vulnerability_findings")
     joined = (
         runs.join(evidence_list, "run_id", "left")
         .join(dependency_list, "run_id", "left")

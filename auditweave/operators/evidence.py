@@ -138,12 +138,12 @@ def dep_findings(loaded: DataFrame) -> DataFrame:
         F.posexplode("result.packages").alias("p", "entry"),
     ).filter(F.col("entry.package.name") != "")
     flat = packages.select("*", F.posexplode("entry.vulnerabilities").alias("v", "vuln"))
-    # Positions nest, so one number below keeps list order: 2^20 entries per level.
-    position = F.col("r").cast("bigint") * (1 << 40) + F.col("p").cast("bigint") * (1 << 20) + F.col("v")
+    # Positions nest. Ten digits hold every array index, so the text sorts as the lists do.
+    inner = F.concat_ws(".", F.lpad(F.col("p").cast("string"), 10, "0"), F.lpad(F.col("v").cast("string"), 10, "0"))
     return flat.select(
         "run_id",
         "repo",
-        order_key(OSV, F.col("part"), position, F.lit("")).alias("ord"),
+        order_key(OSV, F.col("part"), F.col("r"), inner).alias("ord"),
         F.col("entry.package.name").alias("package"),
         F.coalesce("entry.package.ecosystem", unknown).alias("ecosystem"),
         F.coalesce("entry.package.version", unknown).alias("version"),
@@ -198,7 +198,7 @@ def tool_status(attempts: DataFrame) -> DataFrame:
         F.when(~F.col("tool_found"), "missing")
         .when(F.col("timed_out"), "timeout")
         .when(no_context, "no_context")
-        .when(~code.isin(*V.SUCCESS_EXIT_CODES), "bad_exit")
+        .when(code.isNull() | ~code.isin(*V.SUCCESS_EXIT_CODES), "bad_exit")
         .when(out.isNotNull() & recovered_json(out).isNull(), "not_json")
         .otherwise("fine")
     )
@@ -255,10 +255,11 @@ def attempt_fallback(statuses: DataFrame, fallback: bool = True) -> DataFrame:
     )
 
 
-def dependency_status(tool_runs: DataFrame) -> DataFrame:
-    """Roll the statuses of a run's dependency tools up; a run with none has a null status row."""
+def dependency_status(tool_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Roll the statuses of a run's dependency tools up; a run of ``runs`` with none is unavailable."""
+    rows = tool_runs.select("run_id", "status").unionByName(runs.select("run_id", F.lit(None).cast("string").alias("status")))
     status = F.col("status")
-    seen = tool_runs.groupBy("run_id").agg(
+    seen = rows.groupBy("run_id").agg(
         F.bool_or(status == "completed").alias("_any"),
         F.bool_or(status == "failed").alias("_failed"),
     )

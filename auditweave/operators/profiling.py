@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
 from auditweave.functions import paths
 from auditweave.functions.ranks import lookup
-from auditweave.functions.skew import attach
 
 KEYS = ["repo", "run_id"]
-PATHS_PER_ROW = 10_000
+ENTRY_PATH, MANIFEST_PATH = "entry_point", "manifest"
+#: Entry points that a profile names itself.
+FIRST_PATHS = 3
 
 
 def _present(labels: list[str], prefix: str) -> Column:
@@ -178,62 +179,56 @@ def manifest_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def repo_profile(files: DataFrame, paths_per_row: int = PATHS_PER_ROW) -> DataFrame:
-    """Profile of every repository from one pass over its files.
+def profile_paths(files: DataFrame) -> DataFrame:
+    """(repo, run_id, kind, path): the distinct entry points and manifests, one row each.
 
-    Label lists come from one aggregate. Path lists have no bound, so a
-    repository with more than ``paths_per_row`` of them gets further rows: its
-    paths are spread over ``page`` numbers by hash and no path is dropped. Page
-    0 holds the labels and, for every ordinary repository, all paths in order.
+    A file may be both. Lists of paths have no bound, so they stay rows.
     """
     path = F.col("rel_path")
-    tests = _hint_tests(path)
-    marked = files.select(
-        *KEYS,
-        "language",
-        "rel_path",
-        file_frameworks(path, F.col("content")).alias("_found"),
-        is_entry_point(path).alias("_entry"),
-        is_manifest(path).alias("_manifest"),
-    )
-    labels = (
-        marked.groupBy(*KEYS)
-        .agg(
-            *_flags(lambda name: F.col("language") == name, LANGUAGES, "lang:"),
-            *_flags(lambda name: F.array_contains("_found", name), FRAMEWORKS, "fw:"),
-            *_flags(lambda name: tests[name], HINTS, "hint:"),
-            F.count_if(F.col("_entry") | F.col("_manifest")).alias("_paths"),
-        )
-        .select(
-            *KEYS,
-            _present(LANGUAGES, "lang:").alias("languages_detected"),
-            _present(FRAMEWORKS, "fw:").alias("frameworks_detected"),
-            _present(HINTS, "hint:").alias("architecture_hints"),
-            F.greatest(F.ceil(F.col("_paths") / F.lit(paths_per_row)), F.lit(1)).alias("_pages"),
-        )
-    )
-    listed = (
-        files.filter(is_entry_point(path) | is_manifest(path))
-        .select(*KEYS, "rel_path")
-        .distinct()
+    kinds = F.array(F.when(is_entry_point(path), F.lit(ENTRY_PATH)), F.when(is_manifest(path), F.lit(MANIFEST_PATH)))
+    return files.select(*KEYS, F.explode(F.array_compact(kinds)).alias("kind"), path.alias("path")).distinct()
+
+
+def repo_profile(files: DataFrame) -> DataFrame:
+    """Profile of every repository: label lists, numbers of paths and the first entry points, all of bounded size.
+
+    The first ``FIRST_PATHS`` entry points in order come from a rank limit that is applied before the
+    shuffle too. All paths are in ``profile_paths``.
+    """
+    tests = _hint_tests(F.col("rel_path"))
+    marked = files.select(*KEYS, "language", "rel_path", file_frameworks(F.col("rel_path"), F.col("content")).alias("_found"))
+    labels = marked.groupBy(*KEYS).agg(
+        *_flags(lambda name: F.col("language") == name, LANGUAGES, "lang:"),
+        *_flags(lambda name: F.array_contains("_found", name), FRAMEWORKS, "fw:"),
+        *_flags(lambda name: tests[name], HINTS, "hint:"),
     )
-    listed = (
-        attach(listed, labels.select(*KEYS, "_pages"), KEYS, ["rel_path"])
-        .withColumn("page", F.pmod(F.xxhash64("rel_path"), F.col("_pages")))
-        .groupBy(*KEYS, "page")
-        .agg(
-            F.array_sort(F.collect_list(F.when(is_entry_point(path), path))).alias("entry_points"),
-            F.array_sort(F.collect_list(F.when(is_manifest(path), path))).alias("manifests"),
-        )
+    listed = profile_paths(files)
+    numbers = listed.groupBy(*KEYS).agg(F.count_if(F.col("kind") == ENTRY_PATH).alias("n_entry_points"), F.count_if(F.col("kind") == MANIFEST_PATH).alias("n_manifests"))
+    first = (
+        listed.filter(F.col("kind") == ENTRY_PATH)
+        .withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("path")))
+        .filter(F.col("_n") <= FIRST_PATHS)
+        .groupBy(*KEYS)
+        .agg(F.array_sort(F.collect_list("path")).alias("first_entry_points"))
     )
-    empty = F.array().cast("array<string>")
-    first_page = labels.drop("_pages").withColumn("page", F.lit(0).cast("bigint"))
-    joined = first_page.join(listed, [*KEYS, "page"], "full")
+    joined = labels.join(numbers, KEYS, "left").join(first, KEYS, "left")
     return joined.select(
         *KEYS,
-        "page",
-        *[
-            F.coalesce(c, empty).alias(c)
-            for c in ("languages_detected", "frameworks_detected", "architecture_hints", "entry_points", "manifests")
-        ],
+        _present(LANGUAGES, "lang:").alias("languages_detected"),
+        _present(FRAMEWORKS, "fw:").alias("frameworks_detected"),
+        _present(HINTS, "hint:").alias("architecture_hints"),
+        (F.coalesce("n_entry_points", F.lit(0)) > 0).alias("has_entry_point"),
+        F.coalesce("first_entry_points", F.array().cast("array<string>")).alias("first_entry_points"),
+        F.coalesce("n_entry_points", F.lit(0)).alias("n_entry_points"),
+        F.coalesce("n_manifests", F.lit(0)).alias("n_manifests"),
     )
+
+
+def empty_profile(runs: DataFrame) -> DataFrame:
+    """The profile of ``runs`` (run_id, repo) without files."""
+    none = F.array().cast("array<string>")
+    return runs.select(
+        *KEYS,
+        *[none.alias(c) for c in ("languages_detected", "frameworks_detected", "architecture_hints")],
+        F.lit(False).alias("has_entry_point"), none.alias("first_entry_points"), F.lit(0).cast("bigint").alias("n_entry_points"), F.lit(0).cast("bigint").alias("n_manifests"),
+    )

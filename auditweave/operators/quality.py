@@ -62,12 +62,6 @@ STANDARD_FIELDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def std_labels(findings: DataFrame, severity: str, status: str) -> DataFrame:
-    return findings.withColumn("std_severity", std_severity(F.col(severity))).withColumn(
-        "std_status", std_status(F.col(status))
-    )
-
-
 def std_lines_files(findings: DataFrame, file: str, line: str) -> DataFrame:
     return findings.withColumn("std_file", std_file(F.col(file))).withColumn("std_line", std_line(F.col(line)))
 

@@ -258,29 +258,40 @@ def _joined_or(names: str, otherwise: str) -> Column:
 
 
 def overview_lines(info: DataFrame) -> DataFrame:
-    """Overview and architecture lines from one row per run (and page of paths)."""
+    """Overview and architecture lines from one row per run; ``path_lines`` adds the paths."""
 
     def line(section: int, number: int, text: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), F.lit(number).alias("number"), text.alias("line"))
 
-    first = [
+    lines = [
         line(3, 1, F.concat(F.lit("- Repository: `"), "repo_name", F.lit("`"))),
         line(3, 2, F.concat(F.lit("- Languages detected: "), _joined_or("languages_detected", "Unknown"))),
         line(3, 3, F.concat(F.lit("- Frameworks detected: "), _joined_or("frameworks_detected", "Unknown"))),
-        line(3, 4, F.concat(F.lit("- Entry points: "), _joined_or("entry_points", "Not detected"))),
-        line(3, 5, F.concat(F.lit("- Dependency manifests: "), _joined_or("manifests", "Not detected"))),
         line(3, 6, F.concat(F.lit("- Files scanned: "), F.col("files_scanned").cast("string"))),
         line(3, 7, F.concat(F.lit("- Files skipped: "), F.col("files_skipped").cast("string"))),
         line(4, 1, F.concat(F.lit("- Architecture type: `"), "architecture_type", F.lit("`"))),
         line(4, 2, F.concat(F.lit("- Runtime flow: "), "runtime_flow_summary")),
     ]
-    more = [
-        line(3, 4, F.when(F.size("entry_points") > 0, F.concat(F.lit("- Entry points (more): "), F.array_join("entry_points", ", ")))),
-        line(3, 5, F.when(F.size("manifests") > 0, F.concat(F.lit("- Dependency manifests (more): "), F.array_join("manifests", ", ")))),
-    ]
-    lines = F.when(F.col("page") == 0, F.array(*first)).otherwise(F.filter(F.array(*more), lambda x: x["line"].isNotNull()))
-    rows = info.select("run_id", "page", F.explode(lines).alias("x"))
-    return rows.select("run_id", "page", "x.section", "x.number", "x.line")
+    return info.select("run_id", F.explode(F.array(*lines)).alias("x")).select("run_id", "x.section", "x.number", "x.line")
+
+
+#: Kind of path, its line number in the overview, and its label.
+PATH_LINES = [("entry_point", 4, "Entry points"), ("manifest", 5, "Dependency manifests")]
+PATHS_PER_LINE = 200
+
+
+def path_lines(paths: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, number, row, line): the paths of each kind in order, in lines of ``PATHS_PER_LINE``; one line without any."""
+    order = Window.partitionBy("run_id", "kind").orderBy("path")
+    placed = paths.select("run_id", "kind", "path").distinct().withColumn("row", F.floor((F.row_number().over(order) - 1) / PATHS_PER_LINE))
+    texts = placed.groupBy("run_id", "kind", "row").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("text"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("number"), F.lit(label).alias("label")) for k, n, label in PATH_LINES])
+    wanted = runs.select("run_id", F.explode(kinds).alias("x")).select("run_id", "x.*")
+    more = F.when(F.col("row") > 0, F.lit(" (more)")).otherwise("")
+    return wanted.join(texts, ["run_id", "kind"], "left").select(
+        "run_id", "number", F.coalesce("row", F.lit(0)).alias("row"),
+        F.concat(F.lit("- "), "label", more, F.lit(": "), F.coalesce("text", F.lit("Not detected"))).alias("line"),
+    )
 
 
 def module_lines(modules: DataFrame, runs: DataFrame) -> DataFrame:
@@ -295,6 +306,7 @@ def module_lines(modules: DataFrame, runs: DataFrame) -> DataFrame:
 def report_markdown(
     runs: DataFrame,
     info: DataFrame,
+    paths: DataFrame,
     stages: DataFrame,
     tool_runs: DataFrame,
     modules: DataFrame,
@@ -338,7 +350,8 @@ def report_markdown(
         headings,
         _placed(stage_rows, 1, 2, keys={"k1": F.col("n")}),
         _placed(tooling_lines(tool_runs, runs), 2, 2, keys=position),
-        _placed(overview, F.col("section"), 2, keys={"k1": F.col("number"), "k4": F.col("page")}),
+        _placed(overview, F.col("section"), 2, keys={"k1": F.col("number")}),
+        _placed(path_lines(paths, runs), 3, 2, keys={"k1": F.col("number"), "k4": F.col("row")}),
         _placed(module_lines(modules, runs), 5, 2, keys=position),
         _placed(lines, F.when(F.col("category") == "security", 6).otherwise(7), 2, keys=sorted_keys),
         _placed(roadmap_lines(roadmap, runs), 8, 2, keys=position),

@@ -164,22 +164,28 @@ def stage_statuses(transitions: DataFrame) -> DataFrame:
     return last.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("analysis_status"))
 
 
+#: What a request may say about its run besides source and provider.
+MANIFEST_FIELDS = ["created_at", "commit_id", "profile", "model", "prompt_versions"]
+
+
 def run_manifest(requests: DataFrame, statuses: DataFrame, failures: DataFrame, settings: dict) -> DataFrame:
     """Nested manifest per run from its request, states and failures.
 
     ``settings`` holds constants of the job: versions, retries and timeouts.
-    Every input has at most one row per run.
+    Every input has at most one row per run. Of ``MANIFEST_FIELDS`` those that
+    the requests have are taken over.
     """
     from auditweave.functions.ranks import literal_map, lookup
     from auditweave.functions.text import strip
 
     url_name = F.nullif(F.regexp_extract("github_url", V.HOSTING_URL_PATTERN, 2), F.lit(""))
     local = F.col("source_type") == "local_path"
-    name = F.when(local, F.substring_index("local_path", "/", -1)).otherwise(
+    folder = F.regexp_replace("local_path", "/+$", "")
+    name = F.when(local, F.substring_index(folder, "/", -1)).otherwise(
         F.coalesce(url_name, F.lit("unknown-repo"))
     )
     workspace = F.lit(settings["workspace_root"].rstrip("/") + "/")
-    place = F.when(local, F.col("local_path")).otherwise(F.concat(workspace, "_name", F.lit("-"), "run_id"))
+    place = F.when(local, folder).otherwise(F.concat(workspace, "_name", F.lit("-"), "run_id"))
     no_map = F.create_map().cast("map<string,string>")
     joined = (
         requests.withColumn("_name", name)
@@ -201,4 +207,5 @@ def run_manifest(requests: DataFrame, statuses: DataFrame, failures: DataFrame,
         *constants.values(),
         F.coalesce("analysis_status", no_map).alias("analysis_status"),
         F.transform_values(F.coalesce("branch_failures", no_map), lambda _k, v: redacted(v)).alias("branch_failures"),
+        *[F.col(c) for c in MANIFEST_FIELDS if c in requests.columns],
     )

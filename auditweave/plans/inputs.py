@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from auditweave import fixtures
 from auditweave.operators import checks, evidence, inventory, runlog
 from auditweave.operators.inventory import ScanPolicy
-from auditweave.session import spread
 
 SMALL_POLICY = ScanPolicy(max_file_bytes=300, max_files=8)
 DEFAULT_POLICY = ScanPolicy()
@@ -128,7 +127,9 @@ def osv_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.struct(no_text.alias("path")).alias("source"), F.slice(packages, 1, 0).alias("packages")),
         F.struct(F.struct(F.col("source_file").alias("path")).alias("source"), packages.alias("packages")),
     )
-    return spread(fixtures.dependencies(spark, sf_dir)).select(
+    # Narrow rows are dealt out before they become long texts; the number is the session's.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fixtures.dependencies(spark, sf_dir).repartition(partitions, "l_orderkey").select(
         "run_id",
         repo.alias("repo"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("part"),

@@ -17,8 +17,8 @@ from auditweave import fixtures
 from auditweave.functions.text import token_counter
 from auditweave.operators import checks, compaction, evidence, inventory, profiling, quality, redaction, reporting, runlog
 from auditweave.plans import inputs
-from auditweave.session import shared_folder, stage_table
-from auditweave.sources import documents, files, reports, tables
+from auditweave.session import shared_folder
+from auditweave.sources import documents, reports, tables
 from auditweave.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,16 +73,12 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 # ------------------------------------------------------------ sources, sinks
-@query("scan_files")
-def _(spark, sf_dir):
-    found = files.readable_files(spark, sf_dir, inputs.DEFAULT_POLICY, repos_below_root=False)
-    return inventory.skip_reason(found, inputs.DEFAULT_POLICY).select("rel_path", "size_bytes", "reason")
-
-
 @query("load_reports")
 def _(spark, sf_dir):
-    loaded = reports.load_reports(inputs.semgrep_reports(spark, sf_dir), "semgrep")
-    return loaded.select("run_id", "part", "readable", F.size("document.results").alias("results"))
+    made = {"semgrep": inputs.semgrep_reports, "bandit": inputs.bandit_reports, "osv-scanner": inputs.osv_reports}
+    loaded = [reports.load_reports(build(spark, sf_dir), tool) for tool, build in made.items()]
+    rows = [r.select("run_id", "tool", "part", "readable", F.size("document.results").alias("results")) for r in loaded]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("recover_json")
@@ -135,10 +131,11 @@ def _(spark, sf_dir):
 
 @query("append_transitions")
 def _(spark, sf_dir):
-    log = runlog.transition_chain(fixtures.transitions(spark, sf_dir))
+    reason = F.when(F.col("to_state") == "failed", F.concat("node_id", F.lit(" stopped, token="), F.lpad(F.col("seq").cast("string"), 12, "0")))
+    log = runlog.transition_chain(fixtures.transitions(spark, sf_dir)).withColumn("reason", reason)
     folder = shared_folder(spark, "transitions")
     tables.append_transitions(log, folder)
-    return tables.list_transitions(spark, folder).select("run_id", "node_id", "from_state", "to_state", "seq", "ts")
+    return tables.list_transitions(spark, folder).select("run_id", "node_id", "from_state", "to_state", "seq", "ts", "reason")
 
 
 def _manifests(spark, sf_dir):
@@ -161,7 +158,7 @@ def _(spark, sf_dir):
 
 
 def _summary_documents(spark, sf_dir):
-    profile = checks.architecture_type(_first_page(spark, sf_dir))
+    profile = checks.architecture_type(_profile_of_runs(spark, sf_dir))
     runs = profile.select(
         "run_id",
         F.col("repo").alias("repo_name"),
@@ -169,7 +166,7 @@ def _summary_documents(spark, sf_dir):
         F.col("frameworks_detected").alias("frameworks"),
         "architecture_type",
     )
-    found = stage_table(inputs.findings(spark, sf_dir), "findings")
+    found = inputs.findings(spark, sf_dir)
     risks = checks.top_security_risks(found).unionByName(checks.top_performance_risks(found))
     return reporting.summary_json(
         runs,
@@ -181,9 +178,8 @@ def _summary_documents(spark, sf_dir):
     )
 
 
-def _first_page(spark, sf_dir):
-    scanned = inventory.scanned_files(inputs.files_by_run(spark, sf_dir), inputs.DEFAULT_POLICY)
-    return profiling.repo_profile(scanned).filter(F.col("page") == 0)
+def _profile_of_runs(spark, sf_dir):
+    return profiling.repo_profile(inventory.scanned_files(inputs.files_by_run(spark, sf_dir), inputs.DEFAULT_POLICY))
 
 
 @query("write_summary")
@@ -196,7 +192,7 @@ def _(spark, sf_dir):
 @query("write_report")
 def _(spark, sf_dir):
     folder = shared_folder(spark, "report")
-    documents.write_report(stage_table(_report_lines(spark, sf_dir), "lines"), folder)
+    documents.write_report(_report_lines(spark, sf_dir), folder)
     return documents.read_documents(spark, folder).select("run_id", F.col("value").alias("line"))
 
 
@@ -302,6 +298,7 @@ for _name, _build in {
     "folder_summary": profiling.folder_summary,
     "manifest_counts": profiling.manifest_counts,
     "repo_profile": profiling.repo_profile,
+    "profile_paths": profiling.profile_paths,
 }.items():
     query(_name)(lambda spark, sf_dir, build=_build: build(inputs.scanned(spark, sf_dir)))
 
@@ -369,7 +366,7 @@ def _(spark, sf_dir):
 
 @query("dependency_status")
 def _(spark, sf_dir):
-    return evidence.dependency_status(inputs.tool_statuses(spark, sf_dir))
+    return evidence.dependency_status(inputs.tool_statuses(spark, sf_dir), fixtures.requests(spark, sf_dir))
 
 
 # -------------------------------------------------------------------- checks
@@ -426,13 +423,13 @@ query("architecture_finding")(
 
 @query("architecture_type")
 def _(spark, sf_dir):
-    profile = profiling.repo_profile(inputs.scanned(spark, sf_dir)).filter(F.col("page") == 0)
+    profile = profiling.repo_profile(inputs.scanned(spark, sf_dir))
     return checks.architecture_type(profile).select("repo", "architecture_hints", "architecture_type")
 
 
 @query("runtime_summary")
 def _(spark, sf_dir):
-    profile = profiling.repo_profile(inputs.scanned(spark, sf_dir)).filter(F.col("page") == 0)
+    profile = profiling.repo_profile(inputs.scanned(spark, sf_dir))
     return checks.runtime_summary(profile).select("repo", "runtime_flow_summary")
 
 
@@ -501,7 +498,7 @@ def _(spark, sf_dir):
         F.col("r_regionkey").alias("position"),
         F.concat(F.lit("mentions-"), F.lower("r_name")).alias("check_id"),
         F.lit("Low").alias("severity"),
-        F.array(F.lower(F.substring("r_name", 1, 3))).alias("keywords"),
+        F.split(F.lower(F.trim("r_name")), " +").alias("keywords"),
         F.lit("Mention").alias("title"),
         F.lit("-").alias("concern"),
         F.lit("-").alias("advice"),
@@ -770,21 +767,21 @@ def _(spark, sf_dir):
 def _report_lines(spark, sf_dir):
     files_of_runs = inputs.files_by_run(spark, sf_dir)
     scanned = inventory.scanned_files(files_of_runs, inputs.DEFAULT_POLICY)
-    runs = stage_table(files_of_runs.select("run_id", "repo").distinct(), "runs")
+    runs = files_of_runs.select("run_id", "repo").distinct()
     stats = inventory.scan_stats(inventory.skip_reason(files_of_runs, inputs.DEFAULT_POLICY))
     profile = checks.runtime_summary(checks.architecture_type(profiling.repo_profile(scanned)))
     info = (
         runs.join(stats.select("run_id", "files_scanned", "files_skipped"), "run_id")
         .join(profile.drop("repo"), "run_id", "left")
         .withColumn("repo_name", F.col("repo"))
-        .withColumn("page", F.coalesce("page", F.lit(0)))
     )
     only_runs = runs.select("run_id")
-    found = stage_table(inputs.findings(spark, sf_dir).join(only_runs, "run_id", "left_semi"), "findings")
+    found = inputs.findings(spark, sf_dir).join(only_runs, "run_id", "left_semi")
     return reporting.report_markdown(
         only_runs,
-        stage_table(info, "overview"),
-        stage_table(reporting.stage_status(inputs.stage_states(spark, sf_dir)), "stages"),
+        info,
+        profiling.profile_paths(scanned),
+        reporting.stage_status(inputs.stage_states(spark, sf_dir)),
         inputs.tool_runs(spark, sf_dir).join(only_runs, "run_id", "left_semi"),
         checks.module_boundaries(profiling.folder_summary(scanned)),
         found,
@@ -872,11 +869,12 @@ def _(spark, sf_dir):
 @query("stream_dedup")
 def _(spark, sf_dir):
     feed = _event_feed(spark, sf_dir).select(
-        "run_id", "ts", F.col("node_id").alias("file"), F.lit(1).alias("line_start"), F.col("to_state").alias("source"),
+        "run_id", "ts", F.concat_ws("/", "node_id", F.to_date("ts").cast("string")).alias("file"), F.lit(1).alias("line_start"), F.col("to_state").alias("source"),
         F.lit("seen").alias("summary"),
     )
+    # The key holds the day, so rows of one key are less than a day apart and a delay of one day finds all of them.
     table = shared_folder(spark, "evidence")
-    feeds.run_append(feeds.dedup_feed(feed, "40 days"), table, shared_folder(spark, "evidence-log"))
+    feeds.run_append(feeds.dedup_feed(feed, "1 day"), table, shared_folder(spark, "evidence-log"))
     return spark.read.parquet(table).select(*feeds.EVIDENCE_KEY)
 
 

@@ -19,7 +19,9 @@ STATEMENTS: dict[str, str] = {}
 
 # --------------------------------------------------------------- sources, sinks
 STATEMENTS["load_reports"] = (
-    "select run_id, part, true as readable, count(*) as results from semgrep_flat group by run_id, part"
+    """select run_id, 'semgrep' as tool, part::bigint as part, true as readable, count(*) as results from semgrep_flat group by run_id, part
+    union all select run_id, 'bandit', part::bigint, true, count(*) from bandit_flat group by run_id, part
+    union all select run_id, 'osv-scanner', (l_orderkey * 8 + l_linenumber)::bigint, true, 2 from v_dep"""
 )
 STATEMENTS["recover_json"] = """select ord, case when ord % 10 <> 0 then ord end as found_ord, case when ord % 10 <> 0 then file end as found_file,
     case when ord % 10 <> 0 then summary end as found_summary from v_evidence"""
@@ -29,14 +31,14 @@ _MERGED = """select a.run_id, a.started_at, z.status, z.finished_at, z.seq
 STATEMENTS["upsert_runs"] = _MERGED.format(rows="run_rows")
 STATEMENTS["upsert_scan_outputs"] = """select run_id, '{"status":"' || status || '","seq":' || seq || '}' as payload_json, seq from run_rows r
     where not exists (select 1 from run_rows s where s.run_id = r.run_id and s.seq > r.seq)"""
-STATEMENTS["append_transitions"] = f"select run_id, node_id, from_state, to_state, seq, strftime(ts, {TS}) as ts from chain"
-_REPO_NAME = r"""case when source_type = 'local_path' then regexp_extract(local_path, '[^/]*$')
+STATEMENTS["append_transitions"] = f"select run_id, node_id, from_state, to_state, seq, strftime(ts, {TS}) as ts,\n    case when to_state = 'failed' then node_id || ' stopped, token=[REDACTED]' end as reason from chain"
+_REPO_NAME = r"""case when source_type = 'local_path' then regexp_extract(rtrim(local_path, '/'), '[^/]*$')
     else coalesce(nullif(regexp_extract(github_url, 'github\.com[:/]([^/]+)/([^/.]+)', 2), ''), 'unknown-repo') end"""
 _STATUS_MAP = "(select string_agg(node_id || '=' || state, '|' order by node_id) from latest l where l.run_id = r.run_id)"
 STATEMENTS["manifest_store"] = f"select run_id, {_REPO_NAME} as repo_name, coalesce({_STATUS_MAP}, '') as analysis_status from v_requests r"
 _REDACTED_FAILURES = "(select string_agg(branch || '=' || branch || ' stopped, token=[REDACTED]', '|' order by branch) from last_failures f where f.run_id = r.run_id)"
 STATEMENTS["run_manifest"] = f"""select run_id, '{SCHEMA_VERSION}' as schema_version, name as repo_repo_name,
-    case when source_type = 'local_path' then local_path else '/workspace/' || name || '-' || run_id end as repo_resolved_path,
+    case when source_type = 'local_path' then rtrim(local_path, '/') else '/workspace/' || name || '-' || run_id end as repo_resolved_path,
     {case_map('lower(trim(provider))', V.PROVIDER_SPELLINGS)} as provider_provider_type, max_tokens::bigint as provider_max_tokens,
     'python=3.12|semgrep=1.0' as tool_versions, 3::bigint as retries_max_attempts, 1.0::double as retries_backoff_seconds,
     0.2::double as retries_jitter_seconds, 900::bigint as timeouts_scanner_seconds, 600::bigint as timeouts_agent_seconds,
@@ -85,14 +87,19 @@ STATEMENTS["frameworks"] = """select repo, run_id, frameworks_detected from prof
 STATEMENTS["architecture_hints"] = "select repo, run_id, architecture_hints from profile"
 STATEMENTS["folder_summary"] = "select repo, run_id, path, purpose_guess, round(confidence, 6) as confidence from folders"
 STATEMENTS["manifest_counts"] = "select repo, run_id, path, ecosystem, direct_dependency_count, doc_id from manifests"
-STATEMENTS["repo_profile"] = "select *, 0::bigint as page from profile"
+STATEMENTS["repo_profile"] = """select repo, run_id, languages_detected, frameworks_detected, architecture_hints, entry_points <> '' as has_entry_point,
+    array_to_string(string_split(entry_points, '|')[1:3], '|') as first_entry_points,
+    case when entry_points = '' then 0 else len(string_split(entry_points, '|')) end::bigint as n_entry_points,
+    case when manifests = '' then 0 else len(string_split(manifests, '|')) end::bigint as n_manifests from profile"""
+STATEMENTS["profile_paths"] = """select repo, run_id, 'entry_point' as kind, path from entries
+    union all select distinct repo, run_id, 'manifest', path from manifest_files"""
 
 # --------------------------------------------------------------------- evidence
 for _name, _producers in {
     "evidence_heuristic": "0, 1", "evidence_semgrep": "2", "evidence_bandit": "3", "evidence_osv": "4", "evidence_index": "0, 1, 2, 3, 4",
 }.items():
     STATEMENTS[_name] = f"select * from evidence_out where ord_producer in ({_producers})"
-STATEMENTS["dep_findings"] = """select run_id, repo, 4::bigint as ord_producer, part::bigint as ord_part, position::bigint as ord_position, '' as ord_path,
+STATEMENTS["dep_findings"] = """select run_id, repo, 4::bigint as ord_producer, part::bigint as ord_part, position::bigint as ord_position, inner_path as ord_path,
     package, ecosystem, version, vulnerability_id, aliases, severity, fixed_version, source_file from dep_named"""
 STATEMENTS["dep_severity"] = """select raw_severity, case trim(lower(raw_severity)) when 'low' then 'Low' when 'medium' then 'Medium'
     when 'high' then 'High' when 'critical' then 'Critical' else 'Unknown' end as severity, count(*) as n from v_dep group by 1, 2"""
@@ -102,7 +109,8 @@ STATEMENTS["evidence_id"] = """select ord, substr(h, 1, 16) as id, h as snippet_
 STATEMENTS["tool_status"] = """select run_id, attempt::bigint as attempt, status, error, exit_code, stderr, coalesce(error, stderr) as details from statuses"""
 STATEMENTS["attempt_fallback"] = "select run_id, status, error, exit_code, stderr from tool_results"
 STATEMENTS["dependency_status"] = """select run_id, case when bool_or(status = 'completed') then 'completed'
-    when bool_and(status = 'unavailable') then 'unavailable' else 'failed' end as status from statuses group by run_id"""
+    when bool_or(status = 'failed') then 'failed' else 'unavailable' end as status
+    from (select run_id from v_requests) full join statuses using (run_id) group by run_id"""
 
 # ----------------------------------------------------------------------- checks
 STATEMENTS["security_evidence"] = "select ord, run_id, source, signal_type from branch_evidence where category = 'security'"
@@ -147,12 +155,12 @@ STATEMENTS["evidence_severity"] = """select severity, advice, count(*) as n from
     case signal_type when 'secret' then 'rotate' when 'dependency' then 'upgrade' else 'review' end as advice from v_evidence) group by 1, 2"""
 STATEMENTS["restamp"] = """select ord, 'scan-' || f.run_id as run_id, '1.' || max_tokens as schema_version
     from v_findings f join v_requests r on r.run_id = f.run_id"""
-STATEMENTS["rule_catalog"] = """with words as (select 'mentions-' || lower(r_name) as check_id, substr(lower(r_name), 1, 3) as word from region),
+STATEMENTS["rule_catalog"] = """with words as (select 'mentions-' || lower(r_name) as check_id, unnest(string_split(lower(r_name), ' ')) as word from region),
     hits as (select source, check_id, min(doc_id) as doc_id from documents join words on contains(lower(text), word) group by all)
     select s.source as run_id, w.check_id, case when h.doc_id is null then 'insufficient_evidence' else 'confirmed' end as status,
       substr(sha256('documents:' || case when h.doc_id is null then s.source else '' end || ':' || w.check_id), 1, 16) as id,
       coalesce(length(d.text), length('Nothing in the evidence points to: mention')) as length
-    from (select distinct source from documents) s join words w on true
+    from (select distinct source from documents) s join (select distinct check_id from words) w on true
     left join hits h on h.source = s.source and h.check_id = w.check_id left join documents d on d.doc_id = h.doc_id"""
 
 # ---------------------------------------------------------------------- quality
@@ -193,9 +201,11 @@ STATEMENTS["evidence_cap"] = f"select run_id, place as position, ord, source, id
 _DEP_RANK = case_rank("severity", V.DEPENDENCY_SEVERITIES)
 _DEP_ORDER = f"{_DEP_RANK}, vulnerability_id, package, version, l_orderkey, l_linenumber"
 _TOP_DEPS = f"(select *, row_number() over (partition by run_id order by {_DEP_ORDER}) as n from deps qualify n <= {{n}})"
+_LEAST_DEPS = f"""(select *, row_number() over (partition by run_id order by {_DEP_RANK}, vulnerability_id, package, l_orderkey, l_linenumber) as n
+    from deps qualify n <= {MINIMAL_TOP})"""
 STATEMENTS["dep_top_n"] = f"select run_id, n as position, severity, vulnerability_id, package, version from {_TOP_DEPS.format(n=DEPENDENCY_TOP)}"
 STATEMENTS["minimal_context"] = f"""select run_id, repo, 'minimal' as mode, (select count(*) from deps d where d.run_id = r.run_id) as dependency_findings,
-    coalesce((select string_agg(vulnerability_id, '|' order by n) from {_TOP_DEPS.format(n=MINIMAL_TOP)} d where d.run_id = r.run_id), '') as top from runs r"""
+    coalesce((select string_agg(vulnerability_id, '|' order by n) from {_LEAST_DEPS} d where d.run_id = r.run_id), '') as top from runs r"""
 STATEMENTS["truncate_details"] = """select conv_id, turn, case when length(text) > 500 then left(text, 497) || '...' else text end as details from conversations"""
 STATEMENTS["compacted_context"] = f"""with kept as (select run_id, string_agg(id, '|' order by place) as ids, count(*) as n from {_CAPPED} group by run_id),
     top as (select run_id, string_agg(vulnerability_id, '|' order by n) as ids, count(*) as m from {_TOP_DEPS.format(n=DEPENDENCY_TOP)} group by run_id)
@@ -408,7 +418,7 @@ STATEMENTS["branch_failures"] = """select run_id, string_agg(branch || '=' || br
 # -------------------------------------------------------------------- streaming
 STATEMENTS["stream_state"] = f"""select strftime(date_trunc('day', ts), {TS}) as window_start, strftime(date_trunc('day', ts) + interval 1 day, {TS}) as window_end,
     node_id, to_state, count(*) as n from v_transitions group by all"""
-STATEMENTS["stream_dedup"] = """select distinct run_id, node_id as file, 1::bigint as line_start, to_state as source, 'seen' as summary from v_transitions"""
+STATEMENTS["stream_dedup"] = """select distinct run_id, node_id || '/' || strftime(ts, '%Y-%m-%d') as file, 1::bigint as line_start, to_state as source, 'seen' as summary from v_transitions"""
 STATEMENTS["incremental_scan"] = _MERGED.format(rows="event_runs")
 
 ORACLES = {name: compose(statement) for name, statement in STATEMENTS.items()}

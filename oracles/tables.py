@@ -104,7 +104,7 @@ CTES |= {
         coalesce(case when ord % 5 <> 0 then summary end, case when ord % 10 <> 0 then signal_type end, 'Bandit finding') as message
         from v_evidence where source = 'bandit'""",
     "dep_flat": f"""select run_id, 'repo-' || split_part(run_id, '-', 2) as repo, l_orderkey * 8 + l_linenumber as part,
-        1099511627776 + 1048576 + v as position, package, ecosystem, version, case v when 0 then vulnerability_id else 'unknown' end as vulnerability_id,
+        1 as position, '0000000001.000000000' || v as inner_path, package, ecosystem, version, case v when 0 then vulnerability_id else 'unknown' end as vulnerability_id,
         'CVE-' || l_linenumber as aliases, {DEP_SEVERITY_LABEL} as severity, fixed_version, source_file from v_dep, (values (0), (1)) t(v)""",
     "deps": f"select *, {DEP_SEVERITY_LABEL} as severity from v_dep where package is not null",
     "dep_named": "select * from dep_flat where package is not null",
@@ -116,7 +116,7 @@ CTES |= {
         union all select run_id, repo, 2, part, position, '', path, coalesce(start_line, 1), coalesce(end_line, start_line, 1), 'semgrep', 'vuln',
           coalesce(nullif(message, ''), check_id, 'Semgrep finding'), 0.9 from semgrep_flat where path is not null
         union all select run_id, repo, 3, part, position, '', path, line, line, 'bandit', 'vuln', message, 0.85 from bandit_flat where path is not null
-        union all select run_id, repo, 4, part, position, '', source_file, 1, 1, 'osv', 'dependency', package || ' vulnerable to ' || vulnerability_id, 0.9 from dep_named""",
+        union all select run_id, repo, 4, part, position, inner_path, source_file, 1, 1, 'osv', 'dependency', package || ' vulnerable to ' || vulnerability_id, 0.9 from dep_named""",
     "evidence_out": """select run_id, repo, ord_producer::bigint ord_producer, ord_part::bigint ord_part, ord_position::bigint ord_position, ord_path,
         substr(digest, 1, 16) as id, file, line_start::bigint line_start, line_end::bigint line_end, digest as snippet_hash, source, signal_type, summary,
         round(confidence::double, 6) as confidence

@@ -81,14 +81,23 @@ def test_roadmap_order_and_buckets(spark):
     ]
 
 
-def test_rule_catalogue_has_a_checked_size(spark):
-    rules = spark.range(checks.MAX_RULES + 5).select(
-        F.lit("c").alias("category"), F.col("id").alias("position"), F.lit("x").alias("check_id"), F.lit("Low").alias("severity"),
-        F.array(F.lit("K")).alias("keywords"), F.lit("t").alias("title"), F.lit("t").alias("concern"), F.lit("t").alias("advice"),
-    )
-    with pytest.raises(ValueError):
-        checks.rules_from_table(rules)
-    assert checks.rules_from_table(rules.filter("id < 2"))[0].keywords == ("k",)
+def test_rule_catalogue_of_several_passes(spark):
+    n = 2 * checks.RULES_PER_PASS + 30
+    rules = checks.rules_from_table(spark.range(n).select(
+        F.lit("c").alias("category"), F.col("id").alias("position"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("check_id"), F.lit("Low").alias("severity"),
+        F.array(F.concat(F.lit("K"), F.col("id").cast("string"), F.lit("."))).alias("keywords"), F.lit("t").alias("title"), F.lit("t").alias("concern"), F.lit("t").alias("advice"),
+    ))
+    rows = [("r", "p", i, "f", 1, 1, "s", f"about k{i}. here", 0.8) for i in (5, 120, n - 1)] + [("r", "p", 900, "f", 1, 1, "s", "k5.", 0.8)]
+    evidence = spark.createDataFrame(rows, "run_id string, repo string, ord bigint, file string, line_start int, line_end int, source string, summary string, confidence double")
+    found = {r.check_id: r.item.summary for r in checks.first_match(evidence, rules).collect() if r.item}
+    assert found == {f"x{i}": f"about k{i}. here" for i in (5, 120, n - 1)}
+    assert checks.first_match(evidence, rules).count() == n
+
+
+def test_two_states_of_one_branch(spark):
+    states = [("a", "security", "completed", None), ("a", "security", "failed", "later"), ("a", "architecture", "completed", None), ("a", "performance", "completed", None)]
+    filled = checks.failed_branch_fill(spark.createDataFrame([("a",)], "run_id string"), spark.createDataFrame(states, "run_id string, branch string, status string, reason string"))
+    assert [(r.category, r.description) for r in filled.collect()] == [("security", "later")]
 
 
 PAYLOAD = (

@@ -148,5 +148,7 @@ def test_second_attempt(spark):
 
 def test_status_rollup(spark):
     rows = [("a", "unavailable"), ("b", "failed"), ("c", "completed"), ("c", "failed"), ("d", "unavailable"), ("d", "failed"), ("e", None)]
-    got = {r.run_id: r.status for r in evidence.dependency_status(spark.createDataFrame(rows, "run_id string, status string")).collect()}
+    runs = spark.createDataFrame([(x,) for x in "abcdef"], "run_id string")
+    got = {r.run_id: r.status for r in evidence.dependency_status(spark.createDataFrame(rows, "run_id string, status string"), runs).collect()}
+    assert got.pop("f") == "unavailable"
     assert got == {"a": "unavailable", "b": "failed", "c": "completed", "d": "failed", "e": "unavailable"}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from auditweave.functions import paths
 from auditweave.functions.skew import first_n, neighbours
-from auditweave.operators import inventory, profiling
+from auditweave.operators import checks, inventory, profiling
 from auditweave.operators.inventory import ScanPolicy
-from auditweave.sources.files import readable_files, scan_files
+from auditweave.sources.files import readable_files, requests_below, scan_files
 
 FILES = "repo string, run_id string, rel_path string, size_bytes bigint, content binary"
 
@@ -38,7 +38,7 @@ def tree(tmp_path):
 
 
 def test_scan_lists_hidden_files_without_version_control(spark, tree):
-    found = scan_files(spark, str(tree))
+    found = scan_files(requests_below(spark, str(tree)))
     assert {(r.repo, r.rel_path, r.size_bytes) for r in found.collect()} == {
         ("sample", p, len(b)) for p, b in {**SAMPLE, "sub dir/a+b %20.py": b"x = 1\n", ".hidden/x.py": b"y"}.items()
     }
@@ -46,15 +46,15 @@ def test_scan_lists_hidden_files_without_version_control(spark, tree):
 
 def test_sample_repository_profile(spark, tree):
     policy = ScanPolicy()
-    labelled = inventory.skip_reason(readable_files(spark, str(tree), policy), policy)
+    labelled = inventory.skip_reason(readable_files(requests_below(spark, str(tree)), policy), policy)
     stats = inventory.scan_stats(labelled).first()
     assert (stats.total_files_seen, stats.files_scanned, stats.ignored_pathspec) == (7, 6, 1)
     profile = profiling.repo_profile(inventory.language_map(labelled.filter("reason is null"))).first()
     assert profile.languages_detected == ["JavaScript", "Python"]
     assert profile.frameworks_detected == ["Express", "FastAPI", "React"]
-    assert profile.entry_points == ["app.py"]
+    assert profile.first_entry_points == ["app.py"]
     assert profile.architecture_hints == ["route-controller-pattern"]
-    assert profile.manifests == ["package.json", "requirements.txt"]
+    assert profile.n_manifests == 2
 
 
 def test_skip_reasons_of_real_bytes(spark):
@@ -180,13 +180,17 @@ def test_neighbours_across_slices(spark, width):
             assert found[(key, row[1])] == (before, after)
 
 
-def test_profile_pages_keep_every_path(spark):
-    contents = {f"d{i}/main.py": b"x" for i in range(25)}
+def test_profile_of_many_paths(spark):
+    """The only entry point sorts behind thousands of manifests; many entry points give the first three."""
+    contents = {f"a{i:05d}/package.json": b"{}" for i in range(3000)} | {"zz/main.py": b"x"}
     rows = inventory.scanned_files(table(spark, contents), ScanPolicy())
-    pages = profiling.repo_profile(rows, paths_per_row=5).collect()
-    assert len(pages) > 1
-    assert sorted(p for page in pages for p in page.entry_points) == sorted(contents)
-    assert [p.languages_detected for p in pages if p.page == 0] == [["Python"]]
+    found = profiling.repo_profile(rows).collect()
+    assert [(p.has_entry_point, p.first_entry_points, p.n_entry_points, p.n_manifests) for p in found] == [(True, ["zz/main.py"], 1, 3000)]
+    assert checks.architecture_type(profiling.repo_profile(rows)).first().architecture_type == "monolith"
+    assert profiling.profile_paths(rows).count() == 3001
+    many = inventory.scanned_files(table(spark, {f"d{i:02d}/main.py": b"x" for i in range(25)}), ScanPolicy())
+    sentence = checks.runtime_summary(profiling.repo_profile(many)).first().runtime_flow_summary
+    assert sentence.startswith("Starts from d00/main.py, d01/main.py, d02/main.py and")
 
 
 def test_manifest_counts_rules(spark):

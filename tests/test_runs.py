@@ -233,11 +233,37 @@ def test_whole_audit(spark, trees):
 
     assert headings == REPORT_HEADINGS
     assert "- Entry points: app.py" in text and "- Files skipped: 1" in text
-    # Run again: all runs are in the log, so nothing is left to do.
+    # Run again: all runs are in the log, so nothing is left to do, and nothing is listed.
     again = audit.run_audit(spark, str(trees / "trees"), str(trees / "out2"), report_rows(spark), log)
     assert again["runs"].count() == 0
 
 
+def test_changed_repository_and_failed_branch(spark, trees):
+    """A new run id audits a repository again; finished runs are not opened; a failed branch degrades its run."""
+    log = str(trees / "log")
+    root = str(trees / "trees")
+    audit.run_audit(spark, root, str(trees / "o1"), report_rows(spark), log)
+    (trees / "trees" / "two" / "new.py").write_text("x = 1\n")
+    (trees / "trees" / "empty").mkdir()
+    requests = spark.createDataFrame(
+        [("run-one", "one", f"{root}/does-not-exist"), ("again", "two", f"{root}/two/"), ("none", "empty", f"{root}/empty")], "run_id string, repo string, root string"
+    )
+    failures = spark.createDataFrame([("again", "security", "boom, token=abcdefabcdef")], "run_id string, branch string, reason string")
+    texts = spark.createDataFrame([("again", "two", "semgrep", 0, ""), ("again", "two", "bandit", 0, '{"results": [{"filename": "new.py", "issue_text": "x"}]}'), ("again", "two", "bandit", 1, "crash")], audit.REPORTS)
+    stages = audit.run_audit(spark, requests, str(trees / "o2"), texts, log, failures=failures)
+    assert sorted(r.run_id for r in stages["runs"].collect()) == ["again", "none"]
+    assert sorted(stages["repo_profile"].filter("run_id = 'again'").first().languages_detected) == ["Go", "Python"]
+    status = {(r.run_id, r.tool): r.status for r in stages["tool_runs"].collect()}
+    assert status["again", "semgrep"] == "completed" and status["again", "bandit"] == "failed"
+    assert stages["evidence"].filter("source = 'bandit'").count() == 0
+    failed = stages["findings"].filter("run_id = 'again' and category = 'security'").collect()
+    assert [(r.status, r.description) for r in failed] == [("failed", "boom, token=[REDACTED]")]
+    summary = {r.run_id: json.loads(r.value) for r in documents.read_documents(spark, str(trees / "o2" / "summary")).collect()}
+    assert sorted(summary) == ["again", "none"] and summary["none"]["language_detected"] == []
+    assert "degraded" in json.dumps(summary["again"]) and "degraded" not in json.dumps(summary["none"])
+    assert {r.status for r in stages["dependency_status"].collect()} == {"unavailable"}
+
+
 def test_audit_is_repeatable(spark, trees):
     names = ("findings", "roadmap", "evidence")
     results = []
