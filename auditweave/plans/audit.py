@@ -2,22 +2,23 @@
 
     spark-submit auditweave/plans/audit.py --repos /trees --reports /reports --out /results/1 --log /results/log
 
-Stage tables are written once and read by everything after them, so each file
-and report is read a single time and a lost executor repeats little work. Runs
-whose roadmap the log shows as completed are left out, which makes the job
-resumable and incremental.
+Requests (run_id, repo, root) say what to audit. Runs whose roadmap the log shows
+as finished are dropped before their folders are listed; a repository that changed
+is audited again under a new run id. Stage tables are written once and read by
+everything after them: the files, and the parsed reports of completed tools.
 """
 
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
 from auditweave.functions.skew import attach
+from auditweave.functions.text import redacted
 from auditweave.operators import checks, evidence, inventory, profiling, redaction, reporting, runlog
 from auditweave.operators.inventory import ScanPolicy
 from auditweave.session import build_session
@@ -36,11 +37,21 @@ def finished_runs(spark: SparkSession, log: str | None) -> DataFrame | None:
     """Runs the log shows as done; none when there is no log yet."""
     if log is None:
         return None
-    try:
-        history = tables.list_transitions(spark, log)
-    except AnalysisException:
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return history.filter((F.col("node_id") == "roadmap") & (F.col("to_state") == "completed")).select("run_id").distinct()
+    history = tables.list_transitions(spark, log)
+    ended = F.col("to_state").isin(*V.TERMINAL_STATES)
+    return history.filter((F.col("node_id") == "roadmap") & ended).select("run_id").distinct()
+
+
+def _profile_of_all(runs: DataFrame, profile: DataFrame) -> DataFrame:
+    """A profile row for every run; one without scanned files has empty lists."""
+    rows = runs.select("run_id", "repo").join(profile.drop("repo"), "run_id", "left")
+    blank = checks.runtime_summary(checks.architecture_type(profiling.empty_profile(runs))).drop("repo")
+    names = [c for c in profile.columns if c not in ("run_id", "repo")]
+    filled = rows.join(blank.select("run_id", *[F.col(c).alias(f"_{c}") for c in names]), "run_id")
+    return filled.select("run_id", "repo", *[F.coalesce(c, f"_{c}").alias(c) for c in names])
 
 
 def tool_runs_of(plan: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -58,16 +69,32 @@ def tool_runs_of(plan: DataFrame, loaded: DataFrame) -> DataFrame:
     )
 
 
+def branch_states_of(runs: DataFrame, failures: DataFrame | None) -> DataFrame:
+    """State of each branch of each run: failed where ``failures`` (run_id, branch, reason) says so, else completed."""
+    branches = F.explode(F.array(*[F.lit(c) for c in V.CATEGORIES]))
+    every = runs.select("run_id", branches.alias("branch"))
+    if failures is None:
+        return every.withColumn("status", F.lit("completed")).withColumn("reason", F.lit(None).cast("string"))
+    known = failures.groupBy("run_id", "branch").agg(F.max("reason").alias("reason")).withColumn("status", F.lit("failed"))
+    joined = every.join(known, ["run_id", "branch"], "left")
+    return joined.select("run_id", "branch", F.coalesce("status", F.lit("completed")).alias("status"), redacted(F.col("reason")).alias("reason"))
+
+
 def run_audit(
     spark: SparkSession,
-    repos: str,
+    requests: DataFrame | str,
     out: str,
     report_texts: DataFrame | None = None,
     log: str | None = None,
     policy: ScanPolicy | None = None,
     enabled: dict[str, bool] | None = None,
+    failures: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Audit every repository below ``repos``; returns the stage tables by name."""
+    """Audit every request, or every folder below a path; returns the stage tables by name.
+
+    ``failures`` (run_id, branch, reason) names branches that did not finish: their findings
+    are replaced by a failed one, and their runs end degraded.
+    """
     policy = policy or ScanPolicy()
     report_texts = report_texts if report_texts is not None else spark.createDataFrame([], REPORTS)
     stages: dict[str, DataFrame] = {}
@@ -76,32 +103,42 @@ def run_audit(
         stages[name] = _stage(rows, out, name)
         return stages[name]
 
-    # Scan: bytes are needed for the tests and, later, only of manifests.
-    found = files.readable_files(spark, repos, policy)
+    # Requests first: what is finished is not even listed.
+    requests = files.requests_below(spark, requests) if isinstance(requests, str) else requests
     done = finished_runs(spark, log)
-    if done is not None:
-        found = attach(found, done, ["run_id"], ["rel_path"], how="left_anti")
+    wanted_runs = requests if done is None else requests.join(done, "run_id", "left_anti")
+    runs = stage("runs", wanted_runs.select("run_id", "repo", "root"))
+
+    # Scan: bytes are needed for the tests and, later, only of manifests.
+    found = files.readable_files(runs, policy)
     keep = F.when(profiling.is_manifest(F.col("rel_path")) & F.col("reason").isNull(), F.col("content"))
     labelled = stage(
         "files", inventory.language_map(inventory.skip_reason(found, policy)).withColumn("content", keep)
     )
     seen = stage("seen", inventory.max_files_cap(labelled, policy.max_files))
     scanned = seen.filter(F.col("reason").isNull())
-    runs = stage("runs", labelled.select("run_id", "repo").distinct())
-    stats = stage("scan_stats", inventory.scan_stats(seen))
-    profile = stage("repo_profile", checks.runtime_summary(checks.architecture_type(profiling.repo_profile(scanned))))
+    beyond = (
+        labelled.groupBy("run_id").agg(F.count("*").alias("n_files"))
+        .join(seen.groupBy("run_id").agg(F.count("*").alias("n_seen")), "run_id", "left")
+        .select("run_id", (F.col("n_files") - F.coalesce("n_seen", F.lit(0))).alias("files_beyond_cap"))
+    )
+    stats = stage("scan_stats", inventory.scan_stats(seen).join(beyond, "run_id", "left"))
+    profile = stage("repo_profile", _profile_of_all(runs, checks.runtime_summary(checks.architecture_type(profiling.repo_profile(scanned)))))
+    paths = stage("profile_paths", profiling.profile_paths(scanned))
     folders = stage("folders", profiling.folder_summary(scanned))
     manifests = stage("manifests", profiling.manifest_counts(scanned))
-    stage("lockfiles", inventory.lockfiles(labelled, policy))
+    stage("lockfiles", inventory.lockfiles(seen, policy))
 
-    # Reports to evidence.
+    # Reports: read and parsed once, then the results of completed tools only.
     flags = {t.flag: F.lit(True) for t in inventory.TOOLS}
-    wanted = profile.filter(F.col("page") == 0).select("run_id", F.col("languages_detected").alias("languages"))
-    plan = inventory.scan_plan(wanted.withColumns(flags), enabled or {})
+    planned = profile.select("run_id", F.col("languages_detected").alias("languages")).withColumns(flags)
+    plan = stage("plan", inventory.scan_plan(planned, enabled or {}))
     mine = attach(report_texts, plan, ["run_id", "tool"], ["part"], how="left_semi")
-    loaded = {t.name: reports.load_reports(mine, t.name) for t in inventory.TOOLS}
-    marks = [rows.select("run_id", "tool", "readable") for rows in loaded.values()]
-    tool_runs = stage("tool_runs", tool_runs_of(plan, marks[0].unionByName(marks[1]).unionByName(marks[2])))
+    parsed = {t.name: stage(f"reports_{t.name}", reports.load_reports(mine, t.name).drop("payload")) for t in inventory.TOOLS}
+    marks = [rows.select("run_id", "tool", "readable") for rows in parsed.values()]
+    tool_runs = stage("tool_runs", tool_runs_of(plan, reduce(DataFrame.unionByName, marks)))
+    completed = tool_runs.filter(F.col("status") == "completed").select("run_id", "tool")
+    loaded = {name: attach(rows, completed, ["run_id", "tool"], ["part"], how="left_semi") for name, rows in parsed.items()}
     dependencies = stage("dependency_findings", evidence.dep_findings(loaded["osv-scanner"]))
     index = stage(
         "evidence",
@@ -114,49 +151,66 @@ def run_audit(
             evidence.evidence_osv(dependencies),
         ),
     )
+    stage("dependency_status", evidence.dependency_status(tool_runs.filter(F.col("tool") == "osv-scanner"), runs))
 
     # Evidence to findings and roadmap.
     scan_status = (
         tool_runs.filter(F.col("tool") == "osv-scanner").select("run_id", "status").join(runs, "run_id")
     )
-    findings = stage(
-        "findings",
-        checks.architecture_finding(index, runs)
-        .unionByName(checks.check_findings(index, checks.SECURITY_RULES + checks.PERFORMANCE_RULES, runs))
-        .unionByName(checks.osv_finding(index, dependencies, scan_status)),
+    states_of_branches = stage("branch_states", branch_states_of(runs, failures))
+    failed = states_of_branches.filter("status = 'failed'").select("run_id", F.col("branch").alias("category"))
+    keys = runs.select("run_id", "repo")
+    made = (
+        checks.architecture_finding(index, keys)
+        .unionByName(checks.check_findings(index, checks.SECURITY_RULES + checks.PERFORMANCE_RULES, keys))
+        .unionByName(checks.osv_finding(index, dependencies, scan_status))
+        .join(failed, ["run_id", "category"], "left_anti")
     )
+    filled = (
+        checks.failed_branch_fill(runs, states_of_branches)
+        .join(keys, "run_id")
+        .withColumn("ord", F.lit(0).cast("bigint"))
+        .withColumn("check_id", F.lit("branch-failed"))
+    )
+    findings = stage("findings", made.unionByName(filled.select(*made.columns)))
     roadmap = stage("roadmap", checks.roadmap(findings))
     risks = stage("risks", checks.top_security_risks(findings).unionByName(checks.top_performance_risks(findings)))
 
     # Documents.
-    nodes = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(s).alias("stage")) for i, s in enumerate(V.FLOW_NODES)]))
-    steps = runs.select("run_id", nodes.alias("x")).select("run_id", "x.n", "x.stage")
-    states = reporting.stage_status(steps.withColumn("state", F.lit("completed")))
+    nodes = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(s).alias("node_id")) for i, s in enumerate(V.FLOW_NODES)]))
+    named = states_of_branches.select("run_id", F.col("branch").alias("node_id"), "status", "reason")
+    steps = runs.select("run_id", nodes.alias("x")).select("run_id", "x.n", "x.node_id").join(named, ["run_id", "node_id"], "left")
+    transitions = stage("transitions", steps.select(
+        "run_id", "node_id", F.coalesce("status", F.lit("completed")).alias("to_state"), F.col("n").cast("bigint").alias("seq"),
+        F.current_timestamp().alias("ts"), "reason",
+    ))
+    roadmaps = stage("roadmap_state", runlog.roadmap_state(transitions)).select("run_id", F.lit("roadmap").alias("stage"), F.col("roadmap_status").alias("ended"))
+    current = transitions.select("run_id", F.col("node_id").alias("stage"), "to_state").join(roadmaps, ["run_id", "stage"], "left")
+    states = reporting.stage_status(current.select("run_id", "stage", F.coalesce("ended", "to_state").alias("state")))
     info = (
         runs.join(stats.select("run_id", "files_scanned", "files_skipped"), "run_id", "left")
         .join(profile.drop("repo"), "run_id", "left")
         .withColumn("repo_name", F.col("repo"))
-        .withColumn("page", F.coalesce("page", F.lit(0)))
+        .na.fill(0, ["files_scanned", "files_skipped"])
     )
-    heads = profile.filter(F.col("page") == 0).select(
+    heads = profile.select(
         "run_id", F.col("repo").alias("repo_name"), F.col("languages_detected").alias("language_detected"),
         F.col("frameworks_detected").alias("frameworks"), "architecture_type",
     )
     summary = reporting.summary_json(heads, risks, roadmap, reporting.tooling_status(tool_runs), states, SCHEMA_VERSION)
     documents.write_summary(summary, f"{out}/summary")
     lines = stage("report_lines", reporting.report_markdown(
-        runs.select("run_id"), info, states, redaction.redact_text(tool_runs, "details"),
+        runs.select("run_id"), info, paths, states, redaction.redact_text(tool_runs, "details"),
         checks.module_boundaries(folders), findings, roadmap,
     ))
     documents.write_report(lines, f"{out}/report")
 
-    # The log comes last: a run counts as finished only when its documents exist.
+    # Tables of runs, and last the log: a run counts as finished only when its documents exist.
+    stage("scan_outputs", profile.select("run_id", F.to_json(F.struct("languages_detected", "frameworks_detected", "architecture_type")).alias("payload_json"), F.lit(0).cast("bigint").alias("seq")))
+    stage("branch_failures", runlog.branch_failures(transitions.filter("to_state = 'failed'").select("run_id", F.col("node_id").alias("branch"), "seq", "reason")))
+    moment = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stage("run_rows", roadmaps.select("run_id", F.col("ended").alias("status"), moment.alias("started_at"), moment.alias("finished_at"), F.lit(0).cast("bigint").alias("seq")))
     if log is not None:
-        now = F.current_timestamp()
-        transitions = steps.select(
-            "run_id", F.col("stage").alias("node_id"), F.lit("completed").alias("to_state"),
-            F.col("n").cast("bigint").alias("seq"), now.alias("ts"),
-        )
         tables.append_transitions(runlog.transition_chain(transitions), log)
     return stages
 

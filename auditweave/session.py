@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution coalesces small shuffle partitions and splits skewed join
 # partitions at run time; UTC makes timestamps comparable across engines.
@@ -29,35 +28,15 @@ def build_session(app_name: str = "auditweave", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their files give fewer tasks than there are cores.
-
-    A small table in one file would leave heavy row work to one task. A large
-    table has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for tables that several stages share.
+    """A fresh folder that the driver and all executors share: below ``spark.checkpoint.dir``.
 
-    Executors come and go, so on a cluster this is below the shared folder named
-    by ``spark.checkpoint.dir``. Only a session without that setting (a test on
-    one machine) gets a temporary folder.
+    A local session without that setting uses its warehouse folder; on a cluster
+    the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="auditweave-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/auditweave"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def stage_table(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write ``rows`` once and read them back.
-
-    For results that several parts of a job use: the lineage ends at the table,
-    so a lost executor repeats one read and not the whole job.
-    """
-    folder = shared_folder(rows.sparkSession, purpose)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)

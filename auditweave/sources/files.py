@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from auditweave.operators.inventory import ScanPolicy, is_ignored
 
 VERSION_CONTROL = ".git"
-LISTING = "path string, size_bytes bigint, is_folder boolean"
-LISTING_COLUMNS = ["path", "size_bytes", "is_folder"]
+LISTING = "run_id string, repo string, base string, path string, size_bytes bigint, is_folder boolean"
+LISTING_COLUMNS = ["run_id", "repo", "base", "path", "size_bytes", "is_folder"]
 BYTES_PER_BATCH = 64 * 1024 * 1024
 
 
@@ -39,22 +39,21 @@ def _children(path: str) -> list[tuple[str, int | None, bool]]:
 
 def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, size, is_folder in batch.itertuples(index=False):
+        for *owner, path, size, is_folder in batch.itertuples(index=False):
             entries = _children(path) if is_folder else [(path, size, False)]
-            yield pd.DataFrame(entries, columns=LISTING_COLUMNS)
+            yield pd.DataFrame([(*owner, *entry) for entry in entries], columns=LISTING_COLUMNS)
 
 
 def _all_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, size, is_folder in batch.itertuples(index=False):
+        for *owner, path, size, is_folder in batch.itertuples(index=False):
+            waiting = [] if not is_folder else [path]
             if not is_folder:
-                yield pd.DataFrame([(path, size, False)], columns=LISTING_COLUMNS)
-                continue
-            waiting = [path]
+                yield pd.DataFrame([(*owner, path, size, False)], columns=LISTING_COLUMNS)
             while waiting:
                 entries = _children(waiting.pop())
                 waiting += [p for p, _, folder in entries if folder]
-                yield pd.DataFrame([e for e in entries if not e[2]], columns=LISTING_COLUMNS)
+                yield pd.DataFrame([(*owner, *e) for e in entries if not e[2]], columns=LISTING_COLUMNS)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,34 +80,37 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[start:].drop(columns="wanted").assign(content=contents)
 
 
-def scan_files(spark: SparkSession, root: str, repos_below_root: bool = True, levels: int = 3) -> DataFrame:
-    """Every file below ``root`` with its size, hidden ones too, without version-control folders.
+def requests_below(spark: SparkSession, root: str) -> DataFrame:
+    """A request (run_id, repo, root) for each folder below ``root``, with the run named after the folder."""
+    base = root.rstrip("/")
+    listed = spark.createDataFrame([(None, None, base, base, None, True)], LISTING).mapInPandas(_one_level, LISTING)
+    repo = F.substring_index("path", "/", -1)
+    return listed.filter("is_folder").select(F.concat(F.lit("run-"), repo).alias("run_id"), repo.alias("repo"), F.col("path").alias("root"))
+
+
+def scan_files(requests: DataFrame, levels: int = 3) -> DataFrame:
+    """Every file below the root of each request, hidden ones too, without version-control folders.
 
-    With ``repos_below_root`` each child folder is a repository, else ``root``
-    is one. The first ``levels`` levels are expanded one at a time with the
-    found folders spread over the cluster in between, so a very large
-    repository is listed by many tasks.
+    The first ``levels`` levels are expanded one at a time with the found folders
+    dealt out over the session's number of shuffle partitions in between, so a very
+    large repository is listed by many tasks. The number is given, because the few
+    bytes of a listing say nothing about the work below it.
     """
-    base = root.rstrip("/")
-    listing = spark.createDataFrame([(base, None, True)], LISTING)
+    partitions = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    root = F.rtrim(F.col("root"), F.lit("/"))
+    listing = requests.select("run_id", "repo", root.alias("base"), root.alias("path"), F.lit(None).cast("bigint").alias("size_bytes"), F.lit(True).alias("is_folder"))
     for _ in range(levels):
-        listing = listing.mapInPandas(_one_level, LISTING).repartition("path")
+        listing = listing.mapInPandas(_one_level, LISTING).repartition(partitions, "path")
     listing = listing.mapInPandas(_all_levels, LISTING)
-    inside = F.expr(f"substring(path, {len(base) + 2})")
-    if repos_below_root:
-        repo, relative = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]+/", "")
-        listing = listing.filter(inside.contains("/"))
-    else:
-        repo, relative = F.lit(base.rsplit("/", 1)[-1]), inside
-    return listing.select(
-        repo.alias("repo"), F.concat(F.lit("run-"), repo).alias("run_id"), relative.alias("rel_path"), "size_bytes", "path"
-    )
-
-
-def readable_files(spark: SparkSession, root: str, policy: ScanPolicy, repos_below_root: bool = True) -> DataFrame:
+    relative = F.expr("substring(path, length(base) + 2)")
+    return listing.select("run_id", "repo", relative.alias("rel_path"), "size_bytes", "path")
+
+
+def readable_files(requests: DataFrame, policy: ScanPolicy) -> DataFrame:
     """Files with their bytes; only files that pass the path and size tests are opened."""
-    listed = scan_files(spark, root, repos_below_root)
+    partitions = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = scan_files(requests)
     accepted = ~is_ignored(F.col("rel_path"), policy) & (F.col("size_bytes") <= policy.max_file_bytes)
-    rows = listed.withColumn("wanted", accepted).repartition("path")
-    schema = "repo string, run_id string, rel_path string, size_bytes bigint, path string, content binary"
+    rows = listed.withColumn("wanted", accepted).repartition(partitions, "path")
+    schema = "run_id string, repo string, rel_path string, size_bytes bigint, path string, content binary"
     return rows.mapInPandas(_read, schema).drop("path")

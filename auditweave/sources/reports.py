@@ -65,10 +65,14 @@ def recover_json(logs: DataFrame, column: str = "stdout", result: str = "payload
 
 
 def load_reports(reports: DataFrame, tool: str) -> DataFrame:
-    """Typed documents of one tool; ``readable`` is false for rows to quarantine."""
+    """Typed documents of one tool; ``readable`` is false for rows to quarantine.
+
+    An empty report is a tool that found nothing: readable, without results.
+    """
+    blank = F.trim(F.coalesce("payload", F.lit(""))) == ""
     return (
         reports.filter(F.col("tool") == tool)
-        .withColumn("_text", recovered_json(F.col("payload")))
+        .withColumn("_text", F.when(blank, F.lit("{}")).otherwise(recovered_json(F.col("payload"))))
         .withColumn("readable", F.col("_text").isNotNull())
         .withColumn("document", F.from_json("_text", REPORT_DDL[tool]))
         .drop("_text")

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.functions.text import redacted
+
+LOG_BUCKETS = 32
+
 
 def upsert_runs(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Merge run rows on run_id: the first ``started_at`` stays, the rest is overwritten.
@@ -38,9 +42,16 @@ upsert_scan_outputs = upsert_latest
 
 
 def append_transitions(transitions: DataFrame, path: str, time: str = "ts") -> None:
-    """Append to the log, one folder per day; a day is one cluster of files per write."""
+    """Append to the log, one folder per day.
+
+    Rows are clustered by day and ``LOG_BUCKETS`` hashes of the run first, so a
+    write makes at most that many files a day. A ``reason`` is redacted.
+    """
+    if "reason" in transitions.columns:
+        transitions = transitions.withColumn("reason", redacted(F.col("reason")))
     dated = transitions.withColumn("date", F.to_date(time))
-    dated.write.mode("append").partitionBy("date").parquet(path)
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(LOG_BUCKETS))
+    dated.repartition("date", bucket).write.mode("append").partitionBy("date").parquet(path)
 
 
 def list_transitions(spark: SparkSession, path: str, run_id: Column | str | None = None) -> DataFrame:
@@ -51,13 +62,6 @@ def list_transitions(spark: SparkSession, path: str, run_id: Column | str | None
     return log.filter(F.col("run_id") == run_id).orderBy("seq")
 
 
-def write_version(merged: DataFrame, root: str, version: int) -> str:
-    """Write a merged table as a new version and return its folder."""
-    folder = f"{root.rstrip('/')}/version={version}"
-    merged.write.mode("error").parquet(folder)
-    return folder
-
-
 def manifest_rows(manifests: DataFrame, seq: str = "seq") -> DataFrame:
     """Typed manifests as (run_id, payload_json, seq)."""
     body = [c for c in manifests.columns if c != seq]

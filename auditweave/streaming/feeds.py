@@ -106,8 +106,10 @@ def run_incremental_merge(spark: SparkSession, updates: DataFrame, root: str, ch
 
 
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The last version of a versioned table."""
+    """The last version of a versioned table that was written to its end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    folders = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    versions = [int(f.getPath().getName().split("=")[1]) for f in folders if f.getPath().getName().startswith("version=")]
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("version=")]
+    done = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    versions = [int(p.getName().split("=")[1]) for p in done]
     return spark.read.parquet(f"{root}/version={max(versions)}")
