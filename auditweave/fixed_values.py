@@ -148,6 +148,8 @@ REDACTION_PATTERNS = [
     ("api_key", r"(?i)\b(api[-_ ]?key\s*[=:]\s*)[\"']?[A-Za-z0-9._:-]{8,}[\"']?", True),
     ("token", r"(?i)\b(token\s*[=:]\s*)[\"']?[A-Za-z0-9._:-]{8,}[\"']?", True),
 ]
+#: Parts in lower case, one of which is in every match of the patterns above.
+REDACTION_ANCHORS = ["sk-", "pk-lf-", "bearer", "key", "token"]
 
 # Hosting URL, group 2 is the repository name.
 HOSTING_URL_PATTERN = r"github\.com[:/]([^/]+)/([^/.]+)"

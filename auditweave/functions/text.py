@@ -31,10 +31,17 @@ def full_digest(*parts: Column) -> Column:
 
 
 def redacted(value: Column) -> Column:
-    """Replace secrets; labelled patterns keep their label."""
+    """Replace secrets; labelled patterns keep their label.
+
+    Texts without any of ``REDACTION_ANCHORS``, one of which every match holds, are left alone.
+    """
+    lower, suspect = F.lower(value), F.lit(False)
+    for anchor in V.REDACTION_ANCHORS:
+        suspect = suspect | lower.contains(anchor)
+    cleaned = value
     for _name, pattern, keeps_label in V.REDACTION_PATTERNS:
-        value = F.regexp_replace(value, pattern, ("$1" if keeps_label else "") + V.REDACTED)
-    return value
+        cleaned = F.regexp_replace(cleaned, pattern, ("$1" if keeps_label else "") + V.REDACTED)
+    return F.when(suspect, cleaned).otherwise(value)
 
 
 def cut(value: Column, limit: int) -> Column:
