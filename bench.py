@@ -1,4 +1,4 @@
-"""Time the headline queries: one warm-up and two timed runs each (``BENCH_RUNS``), median seconds.
+"""Time the headline queries: one warm-up and three timed runs each (``BENCH_RUNS``), median seconds.
 
 Prints one JSON line. ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose data and cores;
 ``BENCH_QUERIES`` (comma separated, or ``all``) chooses other queries.
@@ -26,7 +26,7 @@ HEADLINE = [
     "redact_text", "summary_json",
     "latest_state", "transition_chain", "stage_spans", "run_manifest", "upsert_runs",
 ]
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def timed(query, spark, sf_dir: str) -> float:
