@@ -202,7 +202,10 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:
     some = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
     likely = F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{16}|\+[0-9]")
     order = F.xxhash64("text")
-    texts = [r["text"] for side in (likely, ~likely) for r in some.filter(side).select("text").distinct().orderBy(order).limit(per_class).collect()]
+    # The choice is made among hashes; only the texts of the chosen ones travel.
+    chosen = [some.filter(side).select(order.alias("hash")).distinct().orderBy("hash").limit(per_class) for side in (likely, ~likely)]
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]))
+    texts = sorted({r["text"] for r in some.join(picked, order == picked["hash"], "left_semi").dropDuplicates(["text"]).collect()}, key=lambda t: crc32(t.encode()))
     rows, goal = [], []
     for text in texts:
         gold = {(a, b): KINDS.index(kind) for kind, a, b in base_spans(text)}

@@ -144,7 +144,7 @@ def test_tokens_equal_the_library(spark, monkeypatch):
     texts = [t for t in ODD_TEXTS if t] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("*", "1 as ids", "2 as block")
     encoded = bpe.encode(docs)
-    got = {r["doc_id"]: r for r in bpe.decode(encoded).join(bpe.decode(encoded, digests=True), "doc_id").collect()}
+    got = {r["doc_id"]: r for r in bpe.decode(encoded).join(bpe.encode(docs, digests=True), "doc_id").collect()}
     tokenizer = _tokenizer()
     for d, text in enumerate(texts):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
