@@ -25,9 +25,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = 0x9E3779B97F4A7C15
 #: Texts are worked on in pieces of about this many bytes, which bounds a worker's memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 1 << 16
 
 
@@ -128,15 +128,27 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, counts
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _SPACE[raw]
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    out[1:] = _BASE
-    return np.multiply.accumulate(out)
+_tables: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... (n numbers, modulo 2**64); kept between calls up to a bounded length."""
+    known = _tables.get(base)
+    if known is None or len(known) < n:
+        known = np.empty(max(n, 1 << 16), np.uint64)
+        known[0], known[1:] = 1, np.uint64(base)
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 22:
+            _tables[base] = known
+    return known[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,20 +160,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_INVERSE = pow(int(_BASE), -1, 1 << 64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class SpanHashes:
     """64-bit hashes of any byte spans of one buffer: a polynomial over random byte values, mixed."""
 
     def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * powers(max(n - 1, 0))[:n], out=self.sums[1:])
-        self.inverse = np.empty(n + 1, np.uint64)
-        self.inverse[0] = 1
-        self.inverse[1:] = np.uint64(_INVERSE)
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=self.sums[1:])
+        self.inverse = powers(_INVERSE, len(raw) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
@@ -209,18 +217,18 @@ def code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``per_class`` documents of each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` documents of each class (or of class 0 and 1), chosen by a hash of the id.
 
     The bound is on rows of the label table; their texts come by a join with this bounded list. A
     document with several labels has the largest. Repeated rows of a document come once.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = [known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_class) for value in (0, 1)]
+    most = per_class if isinstance(per_class, tuple) else (per_class, per_class)
+    chosen = [known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(most[value]) for value in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [(row["text"] or "", row["label"]) for row in rows]
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id"])
 
 
 def fields_of(frame: DataFrame) -> str:

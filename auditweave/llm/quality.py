@@ -16,6 +16,8 @@ BUCKETS = 1 << 16
 PER_CLASS = 1500
 #: Documents are kept from this probability of good quality on.
 KEEP_LEAST = 0.5
+#: Bytes of text that a task works on at a time; the n-gram arrays take about two hundred times as much.
+TEXT_BYTES = 1 << 19
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 
@@ -97,23 +99,37 @@ def _raw_scores(buckets: np.ndarray, owner: np.ndarray, n: int, weights: np.ndar
     return np.bincount(owner, weights[buckets], n) / np.maximum(np.sqrt(size), 1)
 
 
+def _sampled_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, and bucket, text number and count of each text's distinct features, made on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, TEXT_BYTES):
+            buckets, owner = features(text_column(batch))
+            pairs, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs // BUCKETS, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pairs % BUCKETS, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "label", "buckets", "times"])
+
+    found = sample.mapInArrow(run, f"{fields_of(sample.select('doc_id', 'label'))}, buckets array<int>, times array<int>").toArrow().combine_chunks()
+    # In order of id, so that equal tables give equal models.
+    found = found.sort_by("doc_id")
+    counts = found.column("buckets").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if found.num_rows else np.zeros(0, np.int64)
+    flat = [np.asarray(found.column(c).combine_chunks().flatten() if found.num_rows else [], np.int32) for c in ("buckets", "times")]
+    return found.column("label").to_numpy().astype(float), flat[0], np.repeat(np.arange(len(counts), dtype=np.int32), counts), flat[1]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> dict:
     """Weights and calibration, from a sample of at most ``per_class`` labelled documents a class.
 
     Four fifths of the sample fit the weights (L2-regularised, classes weighted equally), the rest the
     slope and offset that turn scores into probabilities. Without both classes the model says 1.
     """
-    sample = labelled_sample(docs, labels, label, per_class)
-    y = np.array([v for _, v in sample], float)
+    y, buckets, owner, times = _sampled_features(labelled_sample(docs, labels, label, per_class))
     if len(set(y.tolist())) < 2:
         return {"weights": np.zeros(BUCKETS, np.float32), "slope": 0.0, "offset": 5.0}
-    buckets, owner = features(pa.array([t for t, _ in sample], pa.large_string()))
-    n = len(sample)
-    # Counts of equal bucket and text in one place.
-    pairs, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
-    owner, buckets = pairs // BUCKETS, pairs % BUCKETS
+    n = len(y)
     size = np.bincount(owner, times, n)
-    value = times / np.maximum(np.sqrt(size), 1)[owner]
+    value = (times / np.maximum(np.sqrt(size), 1)[owner]).astype(np.float32)
     fit = np.arange(n) % 5 != 0
     share = np.where(y > 0, 0.5 / max(1, (y[fit] > 0).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     weights, bias = np.zeros(BUCKETS), 0.0
@@ -161,7 +177,7 @@ def judge(docs: DataFrame, model: dict) -> DataFrame:
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, TEXT_BYTES):
             texts = text_column(batch)
             base = base_counts(texts)
             failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEATED_PERCENT * base["n_words"])
