@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import chunks, code_points, fields_of, lower_ascii, mixed, text_buffer, text_column, word_bounds
+from auditweave.llm.common import chunks, code_points, fields_of, is_space, lower_ascii, mixed, text_buffer, text_column, word_bounds
 
 BUCKETS = 1 << 15
 SWITCH = 6.0
@@ -23,7 +23,8 @@ SWITCH = 6.0
 EXCLUDED = -60.0
 #: A language uses a script that makes up this share of its words.
 SCRIPT_SHARE = 0.002
-TEXT_BYTES = 4 << 20
+#: Bytes of text whose paths a task finds together, and whose n-grams it counts together (these take a hundred times as much).
+TEXT_BYTES, GRAM_BYTES = 4 << 20, 1 << 19
 
 #: First and last code point of the letters of each script (Unicode blocks).
 SCRIPTS = [
@@ -47,11 +48,7 @@ class Words:
         self.raw = lower_ascii(raw)
         self.starts, self.ends, self.counts = word_bounds(self.raw, self.offsets)
         n = len(self.raw)
-        inside = np.zeros(n + 1, np.int32)
-        np.add.at(inside, self.starts, 1)
-        np.add.at(inside, self.ends, -1)
-        self.inside = np.cumsum(inside[:n]) > 0
-        self.first = np.repeat(self.starts, self.ends - self.starts)
+        self.inside = ~is_space(self.raw)
         self.owner_length = self.ends - self.starts
         at = np.flatnonzero((self.raw & 0xC0) != 0x80)
         points = code_points(self.raw, at)
@@ -85,7 +82,7 @@ def train(docs: DataFrame) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in chunks(batches, TEXT_BYTES):
+        for batch in chunks(batches, GRAM_BYTES):
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 words = Words(text_column(batch.filter(pa.array(langs == lang))))
@@ -128,6 +125,12 @@ def word_scores(words: Words, model: dict) -> np.ndarray:
     return out
 
 
+def _measured(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the words, words of each text, letters of each word that count, letters of each text."""
+    weight = np.where(words.script > 0, words.letters[words.ends] - words.letters[words.starts], 0)
+    return word_scores(words, model), words.counts, weight, np.diff(words.letters[words.offsets])
+
+
 def best_path(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The label of every word: the best path of each text, all texts of a batch in step."""
     n, n_langs = scores.shape
@@ -182,13 +185,11 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, TEXT_BYTES):
-            texts = text_column(batch)
-            words = Words(texts)
-            scores = word_scores(words, model)
-            n = batch.num_rows
-            owner = np.repeat(np.arange(n), words.counts)
-            label = best_path(scores, words.counts) if langs else np.zeros(len(owner), np.int64)
-            weight = np.where(words.script > 0, words.letters[words.ends] - words.letters[words.starts], 0)
+            texts, n = text_column(batch), batch.num_rows
+            gathered = [_measured(Words(text_column(part)), model) for part in chunks(iter([batch]), GRAM_BYTES)]
+            scores, counts, weight, n_letters = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            owner = np.repeat(np.arange(n), counts)
+            label = best_path(scores, counts) if langs else np.zeros(len(owner), np.int64)
             mass, sums = np.zeros((n, max(1, len(langs)))), np.zeros((n, max(1, len(langs))))
             np.add.at(mass, (owner, label), weight)
             for i in range(len(langs)):
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
             total = mass.sum(axis=1)
             shifted = np.exp(np.clip((sums - sums.max(axis=1, keepdims=True)) / 4.0, -700, 0))
             sure = shifted[np.arange(n), picked] / shifted.sum(axis=1)
-            none = np.diff(words.letters[words.offsets]) == 0
+            none = n_letters == 0
             for i in np.flatnonzero(none):  # letters outside the known scripts
                 none[i] = not any(c.isalpha() for c in texts[int(i)].as_py())
             none |= not langs
@@ -208,7 +209,7 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
                 cut = np.ones(len(owner), bool)
                 cut[1:] = (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])
                 at = np.flatnonzero(cut)
-                first = at - (np.cumsum(words.counts) - words.counts)[owner[at]]
+                first = at - (np.cumsum(counts) - counts)[owner[at]]
                 length = np.diff(np.append(at, len(owner)))
                 struct = pa.StructArray.from_arrays([pa.array([langs[i] if langs else "und" for i in label[at]], pa.string()), pa.array(first.astype(np.int32)), pa.array((first + length).astype(np.int32))], names=["lang", "first_word", "end_word"])
                 columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[at], np.arange(n + 1)).astype(np.int32)), struct).cast(span_type))
