@@ -15,15 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import SpanHashes, chunks, fields_of, labelled_sample, lower_ascii, mixed, text_buffer, text_column, word_bounds
+from auditweave.llm.common import SpanHashes, chunks, distinct_sets, fields_of, labelled_sample, lower_ascii, mixed, text_buffer, text_column, word_bounds, word_shingles
+from auditweave.llm.near_dedup import band_keys, min_hashes
 
 BUCKETS = 1 << 18
-#: Labelled documents of each class that the model is fitted on, at most.
-PER_CLASS = 1500
-#: A feature marks toxic tokens if it stands in so many different surroundings of toxic documents, and this share of all.
-MARK_COUNT, MARK_SHARE = 5, 0.9
+#: Labelled clean and toxic documents that the model is fitted on, at most.
+PER_CLASS = (1600, 800)
+#: A feature marks toxic tokens if at least this share of its rate is in toxic documents, and if chance
+#: would give any feature of the sample such counts with at most this probability.
+MARK_SHARE, MARK_CHANCE = 0.9, 0.05
 SPAN_LEAST = 0.5
-TEXT_BYTES = 4 << 20
+#: Marginals from here on count for the document.
+COUNTED_LEAST = 0.1
+TEXT_BYTES = 2 << 20
 STEMS = (4, 5, 6, 7)
 
 _PUNCT = np.zeros(256, bool)
@@ -73,30 +77,53 @@ class Tokens:
         return np.stack([(c % np.uint64(BUCKETS)).astype(np.int32) for c in columns], axis=1)
 
 
-def _marks(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens carry a feature that marks toxic documents.
-
-    A feature counts once for each surrounding (the words before and after), so that copies of a text
-    count once. The stem features stop at the stem, so that one stem with many endings gathers them.
+def _groups(texts: pa.Array) -> np.ndarray:
+    """A number for each text, equal for near copies: texts that share a MinHash band, directly or through others."""
+    raw, offsets = text_buffer(texts)
+    hashes, owner = word_shingles(lower_ascii(raw), offsets, 2)
+    sets, bounds = distinct_sets(hashes, owner, len(texts))
+    full = np.flatnonzero(np.diff(bounds))
+    label = np.arange(len(texts))
+    for column in band_keys(min_hashes(sets, bounds)).T:
+        order = np.argsort(column, kind="stable")
+        for k in np.flatnonzero(column[order][1:] == column[order][:-1]):
+            a, b = label[full[order[k]]], label[full[order[k + 1]]]
+            if a != b:
+                label[label == b] = a
+    return label
+
+
+def _marks(tokens: Tokens, toxic: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which tokens of toxic documents carry a feature that marks them.
+
+    A feature counts once for each group of near copies. It marks if its rate in toxic groups is
+    ``MARK_SHARE`` or more of both rates, and if the bound on the chance of its counts, were the classes
+    alike, is below ``MARK_CHANCE`` divided by the number of features. Stems stop at the stem, so that one
+    stem with many endings gathers them.
     """
-    before, after = tokens.neighbours()
-    around = mixed(before * np.uint64(0xD6E8FEB86659FD93) + after)
+    totals = np.array([len(np.unique(group[~toxic])), len(np.unique(group[toxic]))], float)
+    expected = totals[1] / totals.sum()
     bad = toxic[tokens.owner]
     out = np.zeros(len(tokens.words), bool)
     long_enough = tokens.last - tokens.first
-    for place, part in enumerate(tokens.parts()[:-1]):
-        fits = np.ones(len(part), bool) if place == 0 else long_enough >= STEMS[place - 1]
-        keys, group = np.unique(part, return_inverse=True)
-        pair = mixed(part + around * np.uint64(0x9E3779B97F4A7C15))
+    parts = tokens.parts()[:-1]
+    for place, part in enumerate(parts):
+        fits = (long_enough >= (1 if place == 0 else STEMS[place - 1]))
+        keys, inverse = np.unique(part, return_inverse=True)
         counts = []
-        for side in (bad, ~bad):
+        for side in (~bad, bad):
             at = np.flatnonzero(side & fits)
-            _, first = np.unique(pair[at], return_index=True)
-            counts.append(np.bincount(group[at[first]], minlength=len(keys)))
-        # Classes are sampled at different rates; shares compare counts a document.
-        rates = counts[0] / max(1, toxic.sum()), counts[1] / max(1, (~toxic).sum())
-        marks = (counts[0] >= MARK_COUNT) & (rates[0] >= MARK_SHARE * (rates[0] + rates[1]))
-        out |= marks[group] & fits & bad
+            pairs = np.unique(inverse[at] * len(group) + group[tokens.owner[at]])
+            counts.append(np.bincount(pairs // len(group), minlength=len(keys)))
+        n = np.maximum(counts[0] + counts[1], 1)
+        share = counts[1] / n
+        # Chernoff's bound for so many toxic groups or more.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(share > 0, share * np.log(share / expected), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - expected)), 0)
+        rare = (share > expected) & (n * gain >= np.log(len(parts) * max(1, len(keys)) / MARK_CHANCE))
+        rates = counts[0] / totals[0], counts[1] / totals[1]
+        marks = rare & (rates[1] >= MARK_SHARE * (rates[0] + rates[1]))
+        out |= marks[inverse] & fits & bad
     return out
 
 
@@ -147,22 +174,24 @@ def forward_backward(emission: np.ndarray, moves: np.ndarray, counts: np.ndarray
 
 
 def _evidence(marginal: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """log(1 + expected toxic tokens beyond what every token has)."""
-    return np.log1p(np.bincount(owner, marginal, n))
+    """log(1 + expected toxic tokens); the small marginals of the many clean tokens of a long text do not add up."""
+    return np.log1p(np.bincount(owner, np.where(marginal >= COUNTED_LEAST, marginal, 0.0), n))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int | tuple[int, int] = PER_CLASS) -> dict:
     """The field and the calibration, from at most ``per_class`` labelled documents of each class.
 
     Without both classes every document gets the score of its only class's side, 0.25.
     """
-    sample = labelled_sample(docs, labels, "toxic", per_class)
+    rows = labelled_sample(docs, labels, "toxic", per_class).orderBy("doc_id").collect()
+    sample = [(row["text"], row["label"]) for row in rows]
     y = np.array([v for _, v in sample], bool)
     empty = {"weights": np.zeros(BUCKETS, np.float32), "bias": -6.0, "moves": np.zeros((2, 2)), "slope": 0.0, "offset": -1.1}
     if y.all() or not y.any():
         return empty
-    tokens = Tokens(pa.array([t for t, _ in sample], pa.large_string()))
-    gold = _marks(tokens, y).astype(float)
+    texts = pa.array([t for t, _ in sample], pa.large_string())
+    tokens = Tokens(texts)
+    gold = _marks(tokens, y, _groups(texts)).astype(float)
     columns = tokens.features()
     n_features = columns.shape[1]
     weights, bias, moves = np.zeros(BUCKETS), -4.0, np.zeros((2, 2))
@@ -190,7 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     marginal, _ = forward_backward(weights[columns].sum(axis=1) + bias, moves, tokens.counts)
     found = _evidence(marginal, tokens.owner, len(sample))
     a, b = _fit_line(found, y.astype(float))
-    return {"weights": weights.astype(np.float32), "bias": float(bias), "moves": moves, "slope": a, "offset": b}
+    # The sample holds the classes at other rates than the labels; the offset follows the labels' odds.
+    rates = {r["toxic"]: r["n"] for r in labels.filter("toxic is not null").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    b += np.log(rates[1] / rates[0]) - np.log(y.sum() / (~y).sum())
+    return {"weights": weights.astype(np.float32), "bias": float(bias), "moves": moves, "slope": a, "offset": float(b)}
 
 
 def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
