@@ -1,26 +1,34 @@
 """Byte-level BPE encoding and decoding of whole documents through a table of distinct words.
 
-Documents are dealt out in blocks by a hash of their id. Every block lists its distinct words (the
-pieces that the tokenizer's own pattern cuts), all blocks' words make one distinct table, and each of
-its words is encoded once. The ids go back to the blocks through a join on the word, and in a block to
-each word's position. Texts are shuffled once; a frequent word costs one row a block.
+Documents are dealt out in blocks by a hash. Every block lists its distinct words (the pieces that the
+tokenizer's own pattern cuts) in packed lists, one for each bucket of the words' hashes. A bucket gathers
+the lists of all blocks, keeps a table of its distinct words and encodes each of them once. The ids
+return to the blocks in lists of the same order, and in a block to each word's position. Texts are
+shuffled once; a frequent word counts once a block, however hot it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from auditweave.llm.common import SpanHashes, chunks, code_points, text_buffer, text_column
+from auditweave.llm.common import SpanHashes, chunks, code_points, fields_of, text_buffer, text_column
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that a task splits at a time.
+PART_BYTES = 1 << 17
+#: Buckets of the table of distinct words: one a block up to this number.
+MOST_BUCKETS = 1 << 14
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 
 
@@ -40,8 +48,9 @@ class Splitter:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t["content"].encode() for t in json.loads(definition)["added_tokens"]]
+        spec = json.loads(definition)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
 
     def _ask(self, char: str) -> int:
@@ -117,6 +126,18 @@ class Splitter:
         return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def splitting_part(definition: str) -> str:
+    """A tokenizer's definition without its vocabulary, which splitting does not need."""
+    spec = json.loads(definition)
+    return json.dumps(spec | {"model": {**spec["model"], "vocab": {}, "merges": []}})
+
+
+@lru_cache(maxsize=2)
+def splitter_of(definition: str) -> Splitter:
+    """One splitter a worker process, with all the kinds it has learned."""
+    return Splitter(definition)
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The spans of ``pool`` one after another."""
     total = int(lengths.sum())
@@ -141,59 +162,180 @@ def _piece_bytes(definition: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), offsets
 
 
-def _block_words(blocks: DataFrame, definition: str) -> DataFrame:
-    """(block, hash, word): the distinct pieces of each block, once a batch."""
+class _Press:
+    """Arrays and bytes as Zstandard frames."""
+
+    def __init__(self):
+        import zstandard
+
+        self._out, self._in = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+    def pack(self, data: bytes | np.ndarray) -> bytes:
+        return self._out.compress(data if isinstance(data, bytes) else data.tobytes())
+
+    def unpack(self, frame: bytes) -> bytes:
+        return self._in.decompress(frame)
+
+
+def _packed_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, ids, texts): documents by block, those of a batch packed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(definition)
-        for whole in batches:
-            seen: dict[int, np.ndarray] = {}
-            for batch in chunks(iter([whole])):
+        press = _Press()
+        for batch in chunks(batches, BLOCK_BYTES):
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            used, first = np.unique(block[order], return_index=True)
+            sorted_rows = batch.take(pa.array(order))
+            out = []
+            for start, stop in zip(first, np.append(first[1:], len(block)), strict=True):
+                part = sorted_rows.slice(start, stop - start)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                out.append(press.pack(sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(out, pa.binary())], names=["block", "packed"])
+
+    return rows.mapInArrow(run, "block int, packed binary").repartition(n_blocks, "block")
+
+
+class _Block:
+    """The documents of a block, its distinct pieces, and where each piece of a text stands among them."""
+
+    def __init__(self, packed: pa.ChunkedArray, definition: str, n_buckets: int, words: bool):
+        splitter, press = splitter_of(definition), _Press()
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        hashes, flat, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        inverses = []
+        for frame in packed:
+            for batch in chunks(iter(pa.ipc.open_stream(press.unpack(frame.as_py()))), PART_BYTES):
                 raw, offsets = text_buffer(text_column(batch))
                 starts, ends, counts = splitter.pieces(raw, offsets)
-                if not len(starts):
-                    continue
-                hashes = SpanHashes(raw)(starts, ends)
-                owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-                for block in np.unique(owner).tolist():
-                    mine = np.flatnonzero(owner == block)
-                    keys, first = np.unique(hashes[mine], return_index=True)
-                    known = seen.get(block, np.zeros(0, np.uint64))
-                    new = ~np.isin(keys, known, assume_unique=True)
-                    seen[block] = np.union1d(known, keys[new])
-                    at = mine[first[new]]
-                    lengths = ends[at] - starts[at]
-                    flat, places = gather(raw, starts[at], lengths), np.zeros(len(at) + 1, np.int32)
-                    np.cumsum(lengths, out=places[1:])
-                    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), pa.array(keys[new].view(np.int64)), words], names=["block", "hash", "word"])
-
-    return blocks.mapInArrow(run, "block int, hash long, word binary")
-
-
-def _encoded_words(words: DataFrame, definition: str) -> DataFrame:
-    """(word, ids) of the distinct words."""
+                keys, first, inverse = np.unique(SpanHashes(raw)(starts, ends) if len(starts) else hashes[0], return_index=True, return_inverse=True)
+                if words:
+                    sizes.append((ends - starts)[first] if len(starts) else sizes[0])
+                    flat.append(gather(raw, starts[first], sizes[-1]) if len(starts) else flat[0])
+                else:
+                    self.parts.append((batch.column(batch.schema.get_field_index("doc_id")), counts, inverse.astype(np.int32)))
+                inverses.append(len(keys))
+                hashes.append(keys)
+        every = np.concatenate(hashes)
+        keys, first, place = np.unique(every, return_index=True, return_inverse=True)
+        buckets = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(buckets, kind="stable")
+        self.buckets = buckets[order]
+        if words:
+            size, pool = np.concatenate(sizes), np.concatenate(flat)
+            self.sizes = size[first[order]]
+            self.flat = gather(pool, (np.cumsum(size) - size)[first[order]], self.sizes)
+        else:
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            cuts = np.append(0, np.cumsum(inverses))
+            self.places = [rank[place[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _block_words(blocks: DataFrame, definition: str, n_buckets: int) -> DataFrame:
+    """(block, bucket, lengths, words): a block's distinct pieces by bucket of their hash, as packed lists."""
+
+    def run(key: tuple, packed: pa.Table) -> pa.Table:
+        block, press = _Block(packed.column("packed"), definition, n_buckets, words=True), _Press()
+        used, first = np.unique(block.buckets, return_index=True)
+        last = np.append(first[1:], len(block.buckets))
+        ends = np.append(0, np.cumsum(block.sizes))
+        sizes = block.sizes.astype("<u4")
+        pa.default_memory_pool().release_unused()
+        return pa.table(
+            {
+                "block": pa.array([key[0].as_py()] * len(used), pa.int32()),
+                "bucket": pa.array(used.astype(np.int32)),
+                "lengths": pa.array([press.pack(sizes[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()),
+                "words": pa.array([press.pack(block.flat[ends[a] : ends[b]]) for a, b in zip(first, last, strict=True)], pa.binary()),
+            }
+        )
+
+    return blocks.groupBy("block").applyInArrow(run, "block int, bucket int, lengths binary, words binary")
+
+
+class _WordTable:
+    """The distinct words of a bucket with their ids; each is encoded when it first comes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        ends = np.cumsum(sizes)
+        keys, first, inverse = np.unique(SpanHashes(flat)(ends - sizes, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            data, stop = flat.tobytes(), ends[first[fresh]]
+            start = stop - sizes[first[fresh]]
+            lengths, pools = [], []
+            for k in range(0, len(fresh), 1024):  # as arrays at once, so that no large number of small objects lives
+                words = [data[a:b].decode() for a, b in zip(start[k : k + 1024].tolist(), stop[k : k + 1024].tolist(), strict=True)]
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                pools.append(np.fromiter((x for own in found for x in own), np.uint32, int(lengths[-1].sum())))
+            length = np.concatenate(lengths)
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.pool = np.concatenate([self.pool, *pools])
+            merged = np.concatenate([self.keys, keys[fresh]])
+            order = np.argsort(merged)
+            self.slots = np.concatenate([self.slots, len(self.slots) + np.arange(len(fresh))])[order]
+            self.keys = merged[order]
+            at = np.searchsorted(self.keys, keys)
+        slot = self.slots[at][inverse]
+        return self.length[slot], gather(self.pool, self.begin[slot], self.length[slot])
+
+
+def _encoded_words(words: DataFrame, definition: str, n_buckets: int) -> DataFrame:
+    """(block, bucket, counts, ids): the ids of each packed list. A bucket's table of distinct words lives in one task, and each word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(definition)
+        tokenizer, press = Tokenizer.from_str(definition), _Press()
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for batch in batches:
-            column = batch.column(0)
-            for start in range(0, batch.num_rows, 2048):
-                part = column.slice(start, 2048)
-                ids = [e.ids for e in tokenizer.encode_batch([w.decode() for w in part.to_pylist()], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word binary, ids array<int>")
-
-
-def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+        bucket, table = None, _WordTable(tokenizer)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
+                buckets = batch.column(1).to_numpy(zero_copy_only=False)
+                counts, ids = [b""] * len(buckets), [b""] * len(buckets)
+                cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b > a and buckets[a] != bucket:
+                        bucket, table = buckets[a], _WordTable(tokenizer)
+                    sizes = [np.frombuffer(press.unpack(batch.column(2)[i].as_py()), "<u4").astype(np.int64) for i in range(a, b)]
+                    flat = [np.frombuffer(press.unpack(batch.column(3)[i].as_py()), np.uint8) for i in range(a, b)]
+                    if not sizes:
+                        continue
+                    length, found = table.ids(np.concatenate(flat), np.concatenate(sizes))
+                    words_end = np.append(0, np.cumsum([len(x) for x in sizes]))
+                    ids_end = np.append(0, np.cumsum(length))[words_end]
+                    for k in range(b - a):
+                        counts[a + k] = press.pack(length[words_end[k] : words_end[k + 1]].astype("<u4"))
+                        ids[a + k] = press.pack(found[ids_end[k] : ids_end[k + 1]].astype("<u4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "counts", "ids"])
+
+    dealt = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block int, bucket int, counts binary, ids binary")
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, a row per row of ``docs`` (doc_id, text).
 
+    With ``digests`` each block is decoded where it was encoded, by the join that ``decode`` makes, and
+    the result is (doc_id, n_tokens, ids_sha256, decoded_sha256); no id leaves the task.
+
     ``tokenizer`` is the path of a byte-level BPE definition on the driver. Ids equal those of the
     tokenizer without special tokens added; special tokens written in a text are recognised. A
     null or empty text has no ids. Repeated rows and null ids are encoded like any others, an empty
@@ -202,73 +344,69 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
         definition = file.read()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n_blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    blocks = rows.select(block.alias("block"), "doc_id", "text").repartition(n_blocks, "block")
-    words = _block_words(blocks, definition)
-    table = _encoded_words(words.select("word").distinct(), definition)
-    back = words.join(table, "word").select("block", "hash", "ids")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    n_buckets = min(n_blocks, MOST_BUCKETS)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
+    blocks = _packed_blocks(rows.select(block.alias("block"), "doc_id", "text"), n_blocks)
+    splitting = splitting_part(definition)
+    back = _encoded_words(_block_words(blocks, splitting, n_buckets), definition, n_buckets)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, first = np.unique(right.column("hash").to_numpy().view(np.uint64), return_index=True)
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-        lists = pa.array([], pa.list_(pa.int32())) if isinstance(lists, pa.ChunkedArray) else lists
-        begin = lists.offsets.to_numpy()[first].astype(np.int64)
-        length = lists.value_lengths().to_numpy(zero_copy_only=False)[first].astype(np.int64)
-        pool = lists.values.to_numpy(zero_copy_only=False)
-        splitter, out = Splitter(definition), []
-        for batch in chunks(iter(left.combine_chunks().to_batches())):
-            raw, offsets = text_buffer(text_column(batch))
-            starts, ends, counts = splitter.pieces(raw, offsets)
-            at = np.searchsorted(keys, SpanHashes(raw)(starts, ends)) if len(starts) else np.zeros(0, np.int64)
-            ids = gather(pool, begin[at], length[at]) if len(at) else np.zeros(0, np.int32)
-            sums = np.append(0, np.cumsum(length[at])) if len(at) else np.zeros(1, np.int64)
-            places = sums[np.append(0, np.cumsum(counts))].astype(np.int32)
-            out.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.ListArray.from_arrays(pa.array(places), pa.array(ids, pa.int32()))], names=["doc_id", "ids"]))
-        kind = pa.schema([("doc_id", left.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))])
-        return pa.Table.from_batches([b.cast(kind) for b in out], schema=kind)
+        block, press = _Block(left.column("packed"), splitting, n_buckets, words=False), _Press()
+        order = np.argsort(right.column("bucket").to_numpy())
+        counts, pool = (np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(press.unpack(right.column(c)[int(i)].as_py()), "<u4") for i in order)]) for c in ("counts", "ids"))
+        length = counts.astype(np.int64)
+        begin = np.cumsum(length) - length
+        out = []
+        for (ids, counts, inverse), places in zip(block.parts, block.places, strict=True):
+            at = places[inverse] if len(places) else np.zeros(0, np.int64)
+            ends = np.append(0, np.cumsum(length[at]))[np.append(0, np.cumsum(counts))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(gather(pool, begin[at], length[at]).astype(np.int32)))
+            out.append(pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "ids"]))
+        del block, pool
+        pa.default_memory_pool().release_unused()
+        made = pa.Table.from_batches([b.cast(result) for b in out], schema=result)
+        return pa.Table.from_batches(list(pieces(iter(made.to_batches())))) if digests and out else made
 
     kind = dict(rows.dtypes)["doc_id"]
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
+    result = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("ids", pa.list_(pa.int32()))])
+    pieces = _decoder(definition, ["doc_id"], digests=True) if digests else None
+    shape = f"doc_id {kind}, {DIGESTS}" if digests else f"doc_id {kind}, ids array<int>"
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(place, shape)
 
 
-def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the pieces of ``ids``, joined by id, as text.
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    The id-to-piece table has one row an id of the vocabulary and goes to every task. Null ids give an
-    empty text, bytes that are no UTF-8 become replacement characters.
-    """
-    with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
-        definition = file.read()
+
+def _decoder(definition: str, names: list[str], digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that joins their ids with the id-to-piece table."""
     pool, offsets = _piece_bytes(definition)
-    names = encoded.columns
+    added = [f.split()[0] for f in DIGESTS.split(", ")] if digests else ["decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                texts = []
+                found: list[list] = [[] for _ in added]
                 for ids in batch.column(batch.schema.get_field_index("ids")):
                     own = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int64)
-                    texts.append(gather(pool, offsets[own], offsets[own + 1] - offsets[own]).tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+                    text = gather(pool, offsets[own], offsets[own + 1] - offsets[own]).tobytes().decode("utf-8", "replace")
+                    made = (len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (text,)
+                    for column, x in zip(found, made, strict=True):
+                        column.append(x)
+                kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64() if n == "n_tokens" else pa.string()) for n, c in zip(added, found, strict=True))], names=[*names, *added])
 
+    return run
 
-def ids_digest(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``ids_sha256`` for its column ``ids``: the digest of little-endian unsigned 32-bit ids."""
-    import hashlib
 
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in batch.column(batch.schema.get_field_index("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "ids_sha256"])
+def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``encoded`` with the column ``decoded``: the pieces of ``ids``, joined by id, as text.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, ids_sha256 string")
+    The id-to-piece table has one row an id of the vocabulary and goes to every task. Null ids give an
+    empty text, bytes that are no UTF-8 become replacement characters.
+    """
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
+        definition = file.read()
+    return encoded.mapInArrow(_decoder(definition, encoded.columns, digests=False), f"{fields_of(encoded)}, decoded string")

@@ -67,8 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their decoded texts, as digests."""
-    rows = bpe.ids_digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode(table(spark, sf_dir, "documents"), digests=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +77,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of the corpus pipeline; token ids as digests."""
-    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+    """All stages of the corpus pipeline; token ids as digests, which is what its last stage returns."""
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {

@@ -59,9 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): token ids of every row, and the digest of their decoded text."""
-    rows = bpe.ids_digest(bpe.decode(bpe.encode(docs)))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every row encoded and decoded again."""
+    return bpe.encode(docs, digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
