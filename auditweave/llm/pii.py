@@ -3,7 +3,7 @@
 The field scores whole candidate segments: runs of up to ``LONGEST`` words that begin and end with a word
 which holds a digit or an @ sign. A dynamic programme over the words, with segments of bounded
 length, sums over all segmentations for the fit and chooses boundaries and kinds jointly for the
-result. Its labels are the spans of the fixed patterns in a sample of documents; what it adds are
+result; of a long run it holds numbers by word, never features. Its labels are the spans of the fixed patterns in a sample of documents; what it adds are
 segments that look like them as a whole, such as numbers written without the leading sign.
 """
 
@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -23,10 +26,8 @@ from auditweave.llm.common import chunks, fields_of, text_column
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: Words and characters of a segment, at most.
-LONGEST, LONGEST_CHARS = 6, 96
-#: Longer runs of words with digits are cut into pieces of so many words, which bounds the work and the memory.
-PIECE = 256
+#: Words and characters of a segment, at most: a card number in four groups with a mark between them has seven words.
+LONGEST, LONGEST_CHARS = 7, 96
 #: Documents with a pattern's match that the field is fitted on, and documents with digits but no match, at most.
 PER_CLASS = 1500
 #: A segment is added if its share of all segmentations' weight is at least this.
@@ -82,20 +83,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Cluster:
-    """Neighbouring words of which segments can be made, and the features of every segment."""
+    """Words of which segments can be made, plain words among them, and the features of every segment."""
 
-    def __init__(self, text: str, words: list[tuple[int, int]], before: str, after: str):
-        self.words = words
+    def __init__(self, text: str, words: list[tuple[int, int]], before: str):
+        self.text, self.words, self.before = text, words, before
         self.active = [bool(_ACTIVE.search(text, a, b)) for a, b in words]
-        self.segments: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
-        for i in range(len(words)):
-            if not self.active[i]:
-                continue
-            for j in range(i, min(len(words), i + LONGEST)):
-                if self.active[j]:
-                    a, b = _trimmed(text, words[i][0], words[j][1])
-                    if a < b <= a + LONGEST_CHARS:
-                        self.segments[i, j] = (a, b, _features(text[a:b], before if i == 0 else text[words[i - 1][0] : words[i - 1][1]], after if j == len(words) - 1 else "word"))
+
+    def ending_at(self, j: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """First word, start, end and features of each segment whose last word is ``j``."""
+        if not self.active[j]:
+            return
+        for i in range(max(0, j - LONGEST + 1), j + 1):
+            if self.active[i]:
+                a, b = _trimmed(self.text, self.words[i][0], self.words[j][1])
+                if a < b <= a + LONGEST_CHARS:
+                    yield i, a, b, _features(self.text[a:b], self.before if i == 0 else self.text[slice(*self.words[i - 1])])
+
+    @cached_property
+    def segments(self) -> dict[tuple[int, int], tuple[int, int, np.ndarray]]:
+        """All segments at once, for the fit."""
+        return {(i, j): (a, b, feats) for j in range(len(self.words)) for i, a, b, feats in self.ending_at(j)}
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -111,7 +118,7 @@ def _shape(text: str) -> str:
     return re.sub(r"(.{1,3}?)\1+", r"\1\1", text)[:24]
 
 
-def _features(segment: str, before: str, after: str) -> list[int]:
+def _features(segment: str, before: str) -> np.ndarray:
     """Buckets of what describes a segment as a whole."""
     digits = "".join(c for c in segment if c in "0123456789")
     letters = sum(c.isalpha() for c in segment)
@@ -128,23 +135,19 @@ def _features(segment: str, before: str, after: str) -> list[int]:
         f"before|{_shape(before)}",
         "bias",
     ]
-    return [crc32(p.encode()) % BUCKETS for p in parts]
+    return np.array([crc32(p.encode()) % BUCKETS for p in parts], np.int32)
 
 
 def clusters(text: str) -> list[Cluster]:
-    """Runs of words around digits and @ signs; words that are out of reach of each other part them."""
+    """Runs of words around digits and @ signs; only words that no segment can hold together part them."""
     words = [m.span() for m in _WORD.finditer(text)]
     active = [k for k, (a, b) in enumerate(words) if _ACTIVE.search(text, a, b)]
-    out, run = [], []
-    for k in [*active, None]:
-        if run and (k is None or k - run[-1] > 1 or k - run[0] >= PIECE):
-            first, last = run[0], run[-1]
-            before = text[slice(*words[first - 1])] if first else ""
-            after = text[slice(*words[last + 1])] if last + 1 < len(words) else ""
-            out.append(Cluster(text, words[first : last + 1], before, after))
-            run = []
-        if k is not None:
-            run.append(k)
+    out, first = [], 0
+    for at, k in enumerate(active):
+        if at + 1 == len(active) or active[at + 1] - k >= LONGEST:
+            start = active[first]
+            out.append(Cluster(text, words[start : k + 1], text[slice(*words[start - 1])] if start else ""))
+            first = at + 1
     return out
 
 
@@ -168,27 +171,40 @@ def segment_marginals(cluster: Cluster, weights: np.ndarray) -> dict[tuple[int,
 
 
 def best_segments(cluster: Cluster, weights: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """The segmentation of the highest score: kind, start, end and marginal of its segments."""
-    n, scores = len(cluster.words), _scores(cluster, weights)
-    value, back = np.full(n + 1, -np.inf), [None] * (n + 1)
-    value[0] = 0.0
+    """The segmentation of the highest score: kind, start, end and marginal of its segments.
+
+    Features live as long as their segment is scored; what stays of a word is the weight of the
+    ``LONGEST`` segments that end at it and the best of them.
+    """
+    n = len(cluster.words)
+    value, left, totals = np.zeros(n + 1), np.zeros(n + 1), np.full((n, LONGEST), -np.inf)
+    size, chosen = np.zeros(n, np.int8), np.zeros(n, np.int8)
     for j in range(n):
-        value[j + 1], back[j + 1] = value[j], None
-        for i in range(max(0, j - LONGEST + 1), j + 1):
-            if (i, j) in scores:
-                kind = int(scores[i, j].argmax())
-                if value[i] + scores[i, j][kind] > value[j + 1]:
-                    value[j + 1], back[j + 1] = value[i] + scores[i, j][kind], (i, j, kind)
+        value[j + 1], left[j + 1] = value[j], left[j]
+        for i, _, _, feats in cluster.ending_at(j):
+            scores = weights[:, feats].sum(axis=1)
+            totals[j, j - i] = np.logaddexp.reduce(scores)
+            left[j + 1] = np.logaddexp(left[j + 1], left[i] + totals[j, j - i])
+            kind = int(scores.argmax())
+            if value[i] + scores[kind] > value[j + 1]:
+                value[j + 1], size[j], chosen[j] = value[i] + scores[kind], j - i + 1, kind
+    if not size.any():
+        return []
+    right = np.zeros(n + 1)
+    for i in range(n - 1, -1, -1):
+        right[i] = right[i + 1]
+        for j in range(i, min(n, i + LONGEST)) if cluster.active[i] else ():
+            if totals[j, j - i] > -np.inf:
+                right[i] = np.logaddexp(right[i], right[j + 1] + totals[j, j - i])
     out, at = [], n
-    if any(back):
-        share = segment_marginals(cluster, weights)
     while at:
-        if back[at] is None:
+        if not size[at - 1]:
             at -= 1
             continue
-        i, j, kind = back[at]
-        a, b, _ = cluster.segments[i, j]
-        out.append((KINDS[kind], a, b, float(share[i, j][kind])))
+        j, i = at - 1, at - int(size[at - 1])
+        a, b = _trimmed(cluster.text, cluster.words[i][0], cluster.words[j][1])
+        share = np.exp(min(left[i] + (value[at] - value[i]) + right[at] - left[n], 0.0))
+        out.append((KINDS[chosen[j]], a, b, float(share)))
         at = i
     return out[::-1]
 
@@ -211,10 +227,15 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:
         gold = {(a, b): KINDS.index(kind) for kind, a, b in base_spans(text)}
         for cluster in clusters(text):
             spans = {key: gold[a, b] for key, (a, b, _) in cluster.segments.items() if (a, b) in gold}
+            shown = {cluster.segments[key][:2] for key in spans}
             lo, hi = cluster.words[0][0], cluster.words[-1][1]
-            if len(spans) == sum(lo <= a and b <= hi for a, b in gold):  # else a match that no segment can show
-                rows.append(cluster)
-                goal.append(spans)
+            # Of a match that no segment can show, nothing is learned: the segments that touch it are left out.
+            hidden = [(a, b) for a, b in gold if a < hi and lo < b and (a, b) not in shown]
+            if hidden:
+                free = {key: s for key, s in cluster.segments.items() if all(s[1] <= a or b <= s[0] for a, b in hidden)}
+                cluster.segments, spans = free, {key: kind for key, kind in spans.items() if key in free}
+            rows.append(cluster)
+            goal.append(spans)
     weights = np.zeros((len(KINDS), BUCKETS))
     weights[:, crc32(b"bias") % BUCKETS] = -4.0
     squares = np.full_like(weights, 1e-6)
@@ -236,9 +257,12 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:
 def all_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
     """The base spans, and segments of the field that touch none of them, by kind and start."""
     out = list(base)
+    order = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in order], list(accumulate((b for _, b in order), max))
     for cluster in clusters(text):
         for kind, a, b, share in best_segments(cluster, weights):
-            if share >= ADD_LEAST and all(b <= x or y <= a for _, x, y in out):
+            earlier = bisect_left(starts, b)
+            if share >= ADD_LEAST and not (earlier and furthest[earlier - 1] > a):
                 out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

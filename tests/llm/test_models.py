@@ -232,6 +232,19 @@ def test_segments_equal_enumeration():
     assert [(k, a, b) for k, a, b, _ in pii.best_segments(cluster, weights)] == [(pii.KINDS[k], *cluster.segments[i, j][:2]) for i, j, k in best]
 
 
+def test_segments_hold_plain_words_and_have_no_cuts():
+    weights = np.zeros((len(pii.KINDS), pii.BUCKETS), np.float32)
+    card, phone = pii.KINDS.index("card"), pii.KINDS.index("phone")
+    weights[:, pii.crc32(b"bias") % pii.BUCKETS] = -4
+    weights[card, pii.crc32(b"runs|4-4-4-4|0") % pii.BUCKETS] = weights[phone, pii.crc32(b"runs|3-4-4|0") % pii.BUCKETS] = 12
+    for kind, value in (("phone", "020 - 7946 0958"), ("card", "4111 / 1111 / 1111 / 1111")):
+        assert pii.all_spans(f"say {value} now", [], weights) == [(kind, 4, 4 + len(value))]
+    for before in range(250, 260):  # a table of numbers, with the card on every side of word 256
+        text = "7 " * before + "4111 1111 1111 1111" + " 7" * 300
+        assert pii.all_spans(text, pii.base_spans(text), weights) == [("card", 2 * before, 2 * before + 19)]
+    assert len(pii.clusters("1" + " a" * (pii.LONGEST - 2) + " 2")) == 1 and len(pii.clusters("1" + " a" * (pii.LONGEST - 1) + " 2")) == 2
+
+
 def test_personal_data_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF2}/documents.parquet").collect()}
     rows = QUERIES["op10_pii"](spark, SF2).collect()
