@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from auditweave.llm.common import WORD, staged
 
-#: Rows of one source and size that one window group holds on average; larger groups are split by hash.
+#: Rows of one source and size that one window group holds on average; larger groups are split by ranges of doc_id.
 GROUP_ROWS = 16_384
+#: Ids that are drawn for each of those ranges; its bounds are taken from them at even distances.
+SAMPLED = 16
+#: Halvings that find a range among all of a group's: more than any list of bounds needs.
+HALVINGS = 32
 #: Random offsets drawn for each source; the one whose mix comes nearest to the target is used.
 DRAWS = 16
 
@@ -19,6 +23,19 @@ def _offset(source: Column, draw: int, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / float(1 << 24)
 
 
+def _range_of(doc_id: Column, bounds: Column) -> Column:
+    """How many of the sorted ``bounds`` are at most ``doc_id``; a null id stands before all."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        above = F.get(bounds, middle) <= doc_id
+        half = F.struct(F.when(above, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(above, at["hi"]).otherwise(middle).alias("hi"))
+        return F.when(at["lo"] < at["hi"], half).otherwise(at)
+
+    return F.when(doc_id.isNull() | bounds.isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halved)["lo"])
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """Targets of ``sources`` (source, source_size, ...): water filling under the cap of each.
 
@@ -43,7 +60,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     ``size`` counts words (a null text has none). Documents of a source stand in order of size and
     id; each adds its expected copies, target / source_size, to a running sum. With one random
     offset added, a document gets a copy for each whole number that the sum passes at it. The order
-    by size keeps the words taken close to the target. Rows of equal source, size and id are
+    by size keeps the words taken close to the target, and is the same however many rows a source
+    and size have: crowded ones are cut into ranges of ids. Rows of equal source, size and id are
     interchangeable; a null doc_id comes first, the null source is a source of its own. A source
     without words has target 0 and gives nothing, an empty text gets copies like any other. An
     empty table gives no rows. The columns doc_id, source and text are read, and those in ``keep``.
@@ -51,14 +69,18 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = staged(docs.select("doc_id", "source", size.alias("size")))
 
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
     by_size = narrow.groupBy("source", "size").agg(F.count("*").alias("rows"))
-    crowded = by_size.filter(F.col("rows") > GROUP_ROWS).select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.ceil(F.col("rows") / GROUP_ROWS).alias("parts"))
-    crowded = staged(crowded)
+    large = by_size.filter(F.col("rows") > GROUP_ROWS).select(F.col("source").alias("c_source"), F.col("size").alias("c_size"))
+    # The ids whose hashes are multiples of ``one_of``, which every run draws alike; each ``every``-th of them bounds a range.
+    one_of = max(1, GROUP_ROWS // SAMPLED)
+    every = max(1, GROUP_ROWS // one_of)
+    drawn = narrow.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)).join(large, same)
+    ids = drawn.groupBy("c_source", "c_size").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    crowded = staged(ids.select("c_source", "c_size", F.array_distinct(F.filter("ids", lambda _, i: i % every == every - 1)).alias("bounds")))
 
     def grouped(rows: DataFrame) -> DataFrame:
-        same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
-        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
-        return rows.join(crowded, same, "left").withColumn("part", part).drop("c_source", "c_size", "parts")
+        return rows.join(crowded, same, "left").withColumn("part", _range_of(F.col("doc_id"), F.col("bounds"))).drop("c_source", "c_size", "bounds")
 
     groups = staged(grouped(narrow).groupBy("source", "size", "part").agg(F.count("*").alias("rows")))
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
@@ -95,7 +117,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     )
 
 
-#: The same mixture in DuckDB's SQL, for tables without a source and size of more than GROUP_ROWS rows.
+#: The same mixture in DuckDB's SQL.
 MIXTURE_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -6,6 +6,7 @@ import hashlib
 import random
 import struct
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -63,6 +64,24 @@ def test_mixture(spark, monkeypatch, group):
         assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], rel=0.1)
 
 
+@pytest.mark.parametrize("group", [7, 16_384])
+def test_crowded_mixture_matches_sql(spark, monkeypatch, tmp_path, group):
+    """More rows of a source and size than a group holds: ids out of order, some repeated, and one with the words of many."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", group)
+    n = 3 * group if group > 1000 else 1000
+    docs = spark.range(n).selectExpr(
+        "case when id % 97 = 0 then 5 else (id * 7919) % 1000003 end as doc_id", "case id % 4 when 0 then null when 1 then 'b' else 'a' end as source",
+        "case when id % 11 = 0 then null when id % 13 = 0 then '' when id % 17 = 0 then 'one two' else 'one two three' end as text",
+    )
+    docs = docs.unionByName(spark.createDataFrame([(None, "a", "one two three")] * 3, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken")
+    assert differences(got, con, mixing.MIXTURE_SQL) == []
+
+
 def test_mixture_odd_rows(spark):
     docs = odd_documents(spark)
     assert mixing.mixture(docs, keep=("text", "kept")).count() == docs.count()
