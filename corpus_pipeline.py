@@ -17,19 +17,18 @@ from auditweave.llm.common import held_out, shared_path, table
 from auditweave.llm.near_dedup import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language score is below this are rejected like those without a language.
-LANGUAGE_LEAST = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language, with the predicted one in ``lang``.
 
-    Null texts and texts without letters have none and go. Without a single labelled row there is no
-    language to learn, and nothing is kept.
+    Null texts and texts without letters have none and go. All others stay, whatever their score: a clean
+    text in several languages has a low one. Without a single labelled row there is no language to
+    learn, and nothing is kept.
     """
     docs = docs.select(*COLUMNS)
     model = language.train(docs.filter(~held_out(F.col("doc_id"))))
-    found = language.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_LEAST))
+    found = language.identify(docs, model).filter(F.col("lang_pred") != "und")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -218,6 +218,16 @@ def test_pipeline_stages(spark):
     assert all(r["n_tokens"] == len(tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in tokens) and len(tokens) == len(texts)
 
 
+def test_language_stage_keeps_texts_of_several_languages(spark):
+    """Six languages are learned; texts that join three of them, and letters of no known script, stay."""
+    words = {"ru": "слово быстро человек дорога", "en": "the quick house reading", "fr": "être déjà quelque maison", "de": "straße über nicht gehen", "el": "λόγος άνθρωπος δρόμος", "es": "niño mañana pueblo calle"}
+    rows = [(d * 6 + i, " ".join(w.split() * 10), lang) for d in range(40) for i, (lang, w) in enumerate(words.items())]
+    rows += [(900, " ".join([words["ru"]] * 6 + [words["en"]] * 5 + [words["fr"]] * 5), None), (901, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ", None), (902, "12 34", None), (903, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' as source", "cast(0 as long) as n_chars")
+    kept = {r["doc_id"]: r["lang"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).collect()}
+    assert kept.keys() == {r[0] for r in rows} - {902, 903} and kept[900] in ("ru", "en", "fr")
+
+
 def test_pipeline_query(spark):
     rows = QUERIES["pipeline"](spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 100
