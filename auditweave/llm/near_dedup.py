@@ -3,7 +3,8 @@
 1. Every text gives its shingle set, ``BANDS`` band keys of ``ROWS`` MinHash values each, and an Odd
    sketch: the MinHash samples folded into ``SKETCH_BITS`` parity bits. The XOR population count of two
    sketches estimates their similarity.
-2. Equal sets form classes; only one vertex of a class goes on.
+2. Equal sets form classes. A class is a vertex, numbered in order of its smallest doc_id, those without
+   any id last; ids of documents come back at the end, so a document may be in several classes.
 3. In each band bucket, members are compared with the bucket's smallest member: sketches first,
    then, for the best such partner of each document, the full sets. Confirmed links join components.
 4. Buckets that still hold several components are compared in blocks of bounded size. Pairs of
@@ -35,14 +36,15 @@ WORDS = SKETCH_BITS // 64
 SKETCH_LEAST = 0.61
 #: Rows of one side of a block in step 4.
 BLOCK = 512
-NO_ID = (1 << 63) - 1
+#: Stands for a missing vertex in a minimum.
+NONE = (1 << 63) - 1
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
 def min_hashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,16 +82,16 @@ def estimate(differing_bits: np.ndarray) -> np.ndarray:
     return 1.0 + SKETCH_BITS / (4.0 * SAMPLES) * np.log1p(-share)
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-
-
 def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_buffer(text_column(batch))
     hashes, owner = word_shingles(lower_ascii(raw), offsets, shingle)
     return distinct_sets(hashes, owner, batch.num_rows)
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -100,16 +102,17 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             keys, sketches = band_keys(minima), odd_sketches(minima)
             digest = [None] * batch.num_rows
             for i in full:
-                digest[i] = hashlib.blake2b(hashes[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
+                digest[i] = _digest(hashes[offsets[i] : offsets[i + 1]])
             at = np.full(batch.num_rows, -1)
             at[full] = np.arange(len(full))
             picked = pa.array(np.where(at < 0, 0, at), mask=at < 0)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            columns = [pa.array(_ids(batch)), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), bands.take(picked)]
+            doc_id, text_hash = (batch.column(batch.schema.get_field_index(name)) for name in ("doc_id", "text_hash"))
+            columns = [doc_id, text_hash, pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), bands.take(picked)]
             columns += [pa.array(np.ascontiguousarray(sketches[:, w])).take(picked) for w in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", *(f"s{w}" for w in range(WORDS))])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "digest", "bands", *(f"s{w}" for w in range(WORDS))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNATURE)
 
 
 def _likely(a: str, b: str) -> Column:
@@ -124,18 +127,24 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, partner, is_hub, set): whole shingle sets of the documents in ``wanted``, which has the first three."""
+    """(vertex, partner, is_hub, set): whole shingle sets of the classes in ``wanted``.
+
+    ``wanted`` has the first three, the ``digest`` and one row of each class by ``at_id`` and ``at_hash``;
+    a row whose set has another digest only shares that hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, offsets = _sets(batch, shingle)
             flat = pa.py_buffer(hashes.tobytes())
             sets = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64).tobytes()), flat])
-            partner, hub = (batch.column(batch.schema.get_field_index(name)) for name in ("partner", "is_hub"))
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch)), partner, hub, sets.cast(pa.binary())], names=["doc_id", "partner", "is_hub", "set"])
+            digest, *passed = (batch.column(batch.schema.get_field_index(name)) for name in ("digest", "vertex", "partner", "is_hub"))
+            same = [_digest(hashes[offsets[i] : offsets[i + 1]]) == digest[i].as_py() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*passed, sets.cast(pa.binary())], names=["vertex", "partner", "is_hub", "set"]).filter(pa.array(same, pa.bool_()))
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return ids.join(wanted, "doc_id").mapInArrow(run, "doc_id long, partner long, is_hub boolean, set binary")
+    # Without an id, the hash of the text alone tells rows apart.
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("at_id"), F.xxhash64("text").alias("at_hash"), "text")
+    return texts.join(wanted, ["at_id", "at_hash"]).mapInArrow(run, "vertex long, partner long, is_hub boolean, set binary").dropDuplicates(["vertex"])
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -169,13 +178,13 @@ def _near_in_block(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[
 
 
 def _forest(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The groups that the pairs of ``_near_in_block`` connect, each as edges to its smallest document."""
-    ids = rows["doc_id"]
+    """The groups that the pairs of ``_near_in_block`` connect, each as edges to its smallest vertex."""
+    ids = rows["vertex"]
     label = np.arange(len(ids))
     for u, v, _ in _near_in_block(rows, percent):
         label[np.isin(label, np.unique(label[v]))] = label[u]
     groups, inverse, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    least = np.full(len(groups), NO_ID)
+    least = np.full(len(groups), NONE)
     np.minimum.at(least, inverse, ids)
     at = np.flatnonzero((sizes[inverse] > 1) & (least[inverse] != ids))
     return ids[at], least[inverse[at]]
@@ -213,7 +222,7 @@ def _in_blocks(rows: DataFrame, group: str, percent: int, work: Callable[[dict[s
     """
     cells = (
         rows.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
@@ -255,69 +264,80 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Two documents are linked if ``100 * intersection >= percent * union`` of their sets of distinct
     word shingles, A-Z lower-cased; a text of fewer words is one shingle. ``component_id`` is the
     smallest doc_id reached through links and ``kept`` says that it is the document's own. Null and
-    empty texts have an empty set and stay alone. Rows that repeat a doc_id are one document. Rows
-    without doc_id count as one document after all others; alone in their component they get a null
-    ``component_id`` and are kept. Other columns, whatever their names, are not read.
+    empty texts have an empty set and stay alone. Rows that repeat a doc_id are one document with the
+    links of all their texts. A row without doc_id is a document of its own, after all others: in a
+    component without any id, the ``component_id`` is null and one row is kept. Other columns, whatever
+    their names, are not read.
     """
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 0.8 or more")
     docs = docs.select("doc_id", "text")
-    rows = staged(signatures(docs, shingle))
+    rows = staged(signatures(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
     sketch = [f"s{w}" for w in range(WORDS)]
-    classes = staged(
-        rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sketch))
-    )
-    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+    at = F.min(F.struct(F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.col("text_hash").alias("hash")))
+    by_digest = rows.filter("n_shingles > 0").groupBy("digest").agg(at.alias("at"), F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sketch))
+    numbered = by_digest.repartitionByRange("at.id", "digest").sortWithinPartitions("at.id", "digest")
+    classes = staged(numbered.withColumn("vertex", F.monotonically_increasing_id()))
+    keyed = classes.select("vertex", F.explode("bands").alias("key"))
     # Grouped by key, joined on key and a remainder of it: so the join gets exchanges of its own, which adaptive execution can split.
     tag = F.pmod("key", F.lit(1009)).cast("int").alias("tag")
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("key", tag, "hub")
-    shared = staged(keyed.select("doc_id", "key", tag).join(hubs, ["key", "tag"]))
+    hubs = keyed.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("top")).filter("hub < top").select("key", tag, "hub")
+    shared = staged(keyed.select("vertex", "key", tag).join(hubs, ["key", "tag"]))
 
-    pairs = shared.filter("doc_id <> hub").select("doc_id", "hub").distinct()
-    x, h = classes.select("doc_id", "n", *sketch).alias("x"), classes.select("doc_id", "n", *sketch).alias("h")
+    pairs = shared.filter("vertex <> hub").select("vertex", "hub").distinct()
+    x, h = classes.select("vertex", "n", *sketch).alias("x"), classes.select("vertex", "n", *sketch).alias("h")
     near = (
-        pairs.join(x, F.col("x.doc_id") == pairs["doc_id"])
-        .join(h, F.col("h.doc_id") == pairs["hub"])
+        pairs.join(x, F.col("x.vertex") == pairs["vertex"])
+        .join(h, F.col("h.vertex") == pairs["hub"])
         .filter(_sizes_fit(F.col("x.n"), F.col("h.n"), percent))
-        .select(pairs["doc_id"], "hub", _likely("x", "h").alias("likely"))
+        .select(pairs["vertex"], "hub", _likely("x", "h").alias("likely"))
         .filter(F.col("likely") >= SKETCH_LEAST)
     )
-    best = staged(near.groupBy("doc_id").agg(F.max(F.struct("likely", -F.col("hub"))).alias("best")).select("doc_id", (-F.col("best.col2")).alias("partner")))
-    is_hub = best.select(F.col("partner").alias("doc_id"), F.lit(True).alias("is_hub")).distinct()
-    wanted = shared.select("doc_id").distinct().join(best, "doc_id", "left").join(is_hub, "doc_id", "left")
-    # The sets of all documents that share a bucket, from one pass over the texts.
-    sets = staged(_with_sets(docs, wanted, shingle).dropDuplicates(["doc_id"]))
-    ends = sets.filter("is_hub").select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
-    first = _confirm(sets.filter("partner is not null").select(F.col("doc_id").alias("u"), F.col("partner").alias("v"), F.col("set").alias("a")).join(ends, "v"), percent)
+    best = staged(near.groupBy("vertex").agg(F.max(F.struct("likely", -F.col("hub"))).alias("best")).select("vertex", (-F.col("best.col2")).alias("partner")))
+    is_hub = best.select(F.col("partner").alias("vertex"), F.lit(True).alias("is_hub")).distinct()
+    source = classes.select("vertex", "digest", F.col("at.id").alias("at_id"), F.col("at.hash").alias("at_hash"))
+    wanted = shared.select("vertex").distinct().join(source, "vertex").join(best, "vertex", "left").join(is_hub, "vertex", "left")
+    # The sets of all classes that share a bucket, from one pass over the texts.
+    sets = staged(_with_sets(docs, wanted, shingle))
+    ends = sets.filter("is_hub").select(F.col("vertex").alias("v"), F.col("set").alias("b"))
+    first = _confirm(sets.filter("partner is not null").select(F.col("vertex").alias("u"), F.col("partner").alias("v"), F.col("set").alias("a")).join(ends, "v"), percent)
 
     # A document whose rows hold several texts ties their classes together.
-    twice = rows.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi")
-    of_class = classes.select("digest", F.col("doc_id").alias("u"))
-    same = rows.select("doc_id", "digest").join(twice.select("doc_id"), "doc_id").join(of_class, "digest").select(F.col("doc_id").alias("v"), "u")
-    edges = staged(first.unionByName(same.select("u", "v")))
+    several = staged(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("doc_id", "lo"))
+    if not several.isEmpty():
+        of_class, of_least = classes.select("digest", F.col("vertex").alias("u")), classes.select(F.col("digest").alias("lo"), F.col("vertex").alias("v"))
+        same = rows.select("doc_id", "digest").join(several, "doc_id").join(of_class, "digest").join(of_least, "lo")
+        first = first.unionByName(same.select("u", "v"))
+    edges = staged(first)
     found = components(edges)
 
-    label = found.select(F.col("vertex").alias("doc_id"), "component")
-    marked = shared.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    marked = staged(marked.select("key", "tag", "doc_id", "component"))
+    label = found
+    marked = shared.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    marked = staged(marked.select("key", "tag", "vertex", "component"))
     open_keys = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", tag, "members")
-    details = classes.select("doc_id", "n", F.array(*sketch).alias("sketch"))
-    rows_of = marked.join(open_keys, ["key", "tag"]).join(details, "doc_id").select("key", "members", "doc_id", "component", "n", "sketch")
+    details = classes.select("vertex", "n", F.array(*sketch).alias("sketch"))
+    rows_of = marked.join(open_keys, ["key", "tag"]).join(details, "vertex").select("key", "members", "vertex", "component", "n", "sketch")
     forest = staged(_in_blocks(rows_of, "key", percent, _forest).distinct())
     if not forest.isEmpty():
-        suspects = components(forest).select(F.col("vertex").alias("doc_id"), F.col("component").alias("group"))
+        suspects = components(forest).select("vertex", F.col("component").alias("group"))
         sizes = suspects.groupBy("group").agg(F.count("*").alias("members"))
-        suspects = staged(suspects.join(sizes, "group").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(details, "doc_id"))
-        more = _in_blocks(suspects.join(sets.select("doc_id", "set"), "doc_id"), "group", percent, _links)
+        suspects = staged(suspects.join(sizes, "group").join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(details, "vertex"))
+        more = _in_blocks(suspects.join(sets.select("vertex", "set"), "vertex"), "group", percent, _links)
         # Those links join components; what joined before has the component's name now.
         joined = components(more).select(F.col("vertex").alias("component"), F.col("component").alias("larger"))
-        names = label.unionByName(joined.select(F.col("component").alias("doc_id"), "component").join(label, "doc_id", "left_anti"))
-        label = staged(names.join(joined, "component", "left").select("doc_id", F.coalesce("larger", "component").alias("component")))
-
-    label = label.withColumnRenamed("doc_id", "rep")
-    named = classes.select("digest", F.col("doc_id").alias("rep")).join(label, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(staged(named), "digest", "left")
-    own = F.coalesce("component", "doc_id")
-    return out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif(own, F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == own).alias("kept")
-    )
+        names = label.unionByName(joined.select(F.col("component").alias("vertex"), "component").join(label, "vertex", "left_anti"))
+        label = staged(names.join(joined, "component", "left").select("vertex", F.coalesce("larger", "component").alias("component")))
+
+    named = classes.select("digest", "vertex").join(label, "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
+    # A component is named by its first class, which has its smallest id, if any of its rows has one.
+    firsts = classes.select(F.col("vertex").alias("component"), F.col("doc_id").alias("component_id"))
+    of_digest = named.join(firsts, "component").withColumn("kept_row", F.lit(None).cast("long"))
+    if not classes.filter("doc_id is null").isEmpty():
+        of_digest = staged(of_digest.drop("kept_row"))
+        nameless = rows.join(of_digest.filter("component_id is null"), "digest")
+        alone = nameless.groupBy("component").agg(F.min(F.struct("text_hash", "row"))["row"].alias("kept_row"))
+        of_digest = of_digest.join(alone, "component", "left")
+    out = rows.select("doc_id", "n_shingles", "digest", "row").join(staged(of_digest.select("digest", "component_id", "kept_row")), "digest", "left")
+    own = F.coalesce("component_id", "doc_id")
+    kept = F.when(own.isNull(), F.col("digest").isNull() | (F.col("row") == F.col("kept_row"))).otherwise(F.col("doc_id").eqNullSafe(own))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"))

@@ -51,6 +51,23 @@ def test_odd_rows(spark):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
 
 
+def test_several_texts_of_an_id_and_rows_without_id(spark):
+    """Links of each text of a document count; rows without id are tied by their texts alone."""
+
+    def text(name, changed=0):
+        return " ".join(f"{name}{i}" if i >= changed else f"{name}x{i}" for i in range(100))
+
+    rows = [(1, text("a")), (2, text("b")), (3, text("c")), (4, text("d"))]
+    rows += [(10, text("a", 2)), (10, text("b", 2)), (11, text("c", 2)), (11, text("e"))]
+    rows += [(None, text("d")), (None, text("d", 3)), (None, text("f")), (None, text("g")), (None, text("g")), (None, text("g", 2)), (None, None), (12, text("h"))]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, shingle=2).collect()), key=str)
+        want = [(1, 1, True), (2, 1, False), (10, 1, False), (10, 1, False), (3, 3, True), (11, 3, False), (11, 3, False), (4, 4, True), (12, 12, True)]
+        want += [(None, 4, False), (None, 4, False), (None, None, True), (None, None, True), (None, None, True), (None, None, False), (None, None, False)]
+        assert got == sorted(want, key=str)
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(1)
     errors = []
