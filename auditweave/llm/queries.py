@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, fingerprints, language, mixing, pii, quality, toxicity, urls, warc
+from auditweave.llm import bpe, fill_middle, fingerprints, language, mixing, pii, quality, toxicity, urls, warc
 from auditweave.llm.common import held_out, shared_path, table
 from auditweave.llm.near_dedup import near_duplicates
 
@@ -76,6 +76,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.train(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-middle form, and the texts restored from it, as digests."""
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline; token ids as digests, which is what its last stage returns."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL}
+ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL, "op11_fill_in_middle": fill_middle.FILL_SQL}
