@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auditweave.llm.common import SpanHashes, chunks, code_points, fields_of, text_buffer, text_column
+from auditweave.llm.common import chunks, code_points, equal_spans, fields_of, span_keys, text_buffer, text_column
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -205,29 +205,26 @@ class _Block:
     def __init__(self, packed: pa.ChunkedArray, definition: str, n_buckets: int, words: bool):
         splitter, press = splitter_of(definition), _Press()
         self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        hashes, flat, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-        inverses = []
+        flat, sizes, inverses = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], []
         for frame in packed:
             for batch in chunks(iter(pa.ipc.open_stream(press.unpack(frame.as_py()))), PART_BYTES):
                 raw, offsets = text_buffer(text_column(batch))
                 starts, ends, counts = splitter.pieces(raw, offsets)
-                keys, first, inverse = np.unique(SpanHashes(raw)(starts, ends) if len(starts) else hashes[0], return_index=True, return_inverse=True)
-                if words:
-                    sizes.append((ends - starts)[first] if len(starts) else sizes[0])
-                    flat.append(gather(raw, starts[first], sizes[-1]) if len(starts) else flat[0])
-                else:
+                _, first, inverse = span_keys(raw, starts, ends)
+                sizes.append((ends - starts)[first])
+                flat.append(gather(raw, starts[first], sizes[-1]))
+                if not words:
                     self.parts.append((batch.column(batch.schema.get_field_index("doc_id")), counts, inverse.astype(np.int32)))
-                inverses.append(len(keys))
-                hashes.append(keys)
-        every = np.concatenate(hashes)
-        keys, first, place = np.unique(every, return_index=True, return_inverse=True)
+                inverses.append(len(first))
+        size, pool = np.concatenate(sizes), np.concatenate(flat)
+        stops = np.cumsum(size)
+        keys, first, place = span_keys(pool, stops - size, stops)
         buckets = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(buckets, kind="stable")
         self.buckets = buckets[order]
         if words:
-            size, pool = np.concatenate(sizes), np.concatenate(flat)
             self.sizes = size[first[order]]
-            self.flat = gather(pool, (np.cumsum(size) - size)[first[order]], self.sizes)
+            self.flat = gather(pool, (stops - size)[first[order]], self.sizes)
         else:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -257,41 +254,76 @@ def _block_words(blocks: DataFrame, definition: str, n_buckets: int) -> DataFram
     return blocks.groupBy("block").applyInArrow(run, "block int, bucket int, lengths binary, words binary")
 
 
+class _Pool:
+    """An array that grows at its end; its storage doubles, so that all growing together takes linear time."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def append(self, more: np.ndarray) -> int:
+        """The place where ``more`` begins."""
+        begin, self.size = self.size, self.size + len(more)
+        if self.size > len(self.data):
+            grown = np.zeros(max(self.size, 2 * len(self.data)), self.data.dtype)
+            grown[:begin] = self.data[:begin]
+            self.data = grown
+        self.data[begin : self.size] = more
+        return begin
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
 class _WordTable:
-    """The distinct words of a bucket with their ids; each is encoded when it first comes."""
+    """The distinct words of a bucket with their ids; each is encoded when it first comes.
+
+    A word is found by its hash and then compared byte by byte; one that meets another word's hash is
+    encoded for itself.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.length, self.pool = _Pool(np.int64), _Pool(np.int64), _Pool(np.uint32)
+        self.at, self.size, self.bytes = _Pool(np.int64), _Pool(np.int64), _Pool(np.uint8)
 
     def ids(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids."""
         ends = np.cumsum(sizes)
-        keys, first, inverse = np.unique(SpanHashes(flat)(ends - sizes, ends), return_index=True, return_inverse=True)
+        keys, first, inverse = span_keys(flat, ends - sizes, ends)
+        size, start = sizes[first], (ends - sizes)[first]
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        fresh = np.flatnonzero(~known)
+        taken = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        slot, hit = np.full(len(keys), -1), np.flatnonzero(taken)
+        if len(hit):
+            found = self.slots[at[hit]]
+            same = equal_spans(flat, start[hit], size[hit], self.bytes.values, self.at.values[found], self.size.values[found])
+            slot[hit[same]] = found[same]
+        fresh = np.flatnonzero(slot < 0)
         if len(fresh):
-            data, stop = flat.tobytes(), ends[first[fresh]]
-            start = stop - sizes[first[fresh]]
-            lengths, pools = [], []
-            for k in range(0, len(fresh), 1024):  # as arrays at once, so that no large number of small objects lives
-                words = [data[a:b].decode() for a, b in zip(start[k : k + 1024].tolist(), stop[k : k + 1024].tolist(), strict=True)]
-                found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-                pools.append(np.fromiter((x for own in found for x in own), np.uint32, int(lengths[-1].sum())))
-            length = np.concatenate(lengths)
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.pool = np.concatenate([self.pool, *pools])
-            merged = np.concatenate([self.keys, keys[fresh]])
-            order = np.argsort(merged)
-            self.slots = np.concatenate([self.slots, len(self.slots) + np.arange(len(fresh))])[order]
-            self.keys = merged[order]
-            at = np.searchsorted(self.keys, keys)
-        slot = self.slots[at][inverse]
-        return self.length[slot], gather(self.pool, self.begin[slot], self.length[slot])
+            slot[fresh] = self.length.size + np.arange(len(fresh))
+            self._encode(flat, start[fresh], size[fresh])
+            new = fresh[~taken[fresh]]
+            merged = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(merged, kind="stable")
+            self.keys, self.slots = merged[order], np.concatenate([self.slots, slot[new]])[order]
+        slot = slot[inverse]
+        length = self.length.values[slot]
+        return length, gather(self.pool.values, self.begin.values[slot], length)
+
+    def _encode(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        data = flat.tobytes()
+        for k in range(0, len(start), 1024):  # as arrays at once, so that no large number of small objects lives
+            words = [data[a : a + n].decode() for a, n in zip(start[k : k + 1024].tolist(), size[k : k + 1024].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            begin = self.pool.append(np.fromiter((x for own in found for x in own), np.uint32, int(length.sum())))
+            self.begin.append(begin + np.cumsum(length) - length)
+            self.length.append(length)
+        begin = self.bytes.append(gather(flat, start, size))
+        self.at.append(begin + np.cumsum(size) - size)
+        self.size.append(size)
 
 
 def _encoded_words(words: DataFrame, definition: str, n_buckets: int) -> DataFrame:

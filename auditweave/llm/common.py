@@ -6,6 +6,7 @@ of a batch is a handful of numpy calls and no Python object is made for a word.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20240607)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
+#: Longer spans are hashed by themselves, so that the steps over shorter ones have a bound.
+LONG_SPAN = 1 << 12
 #: Texts are worked on in pieces of about this many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 1 << 16
@@ -136,21 +136,6 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... (n numbers, modulo 2**64); kept between calls up to a bounded length."""
-    known = _tables.get(base)
-    if known is None or len(known) < n:
-        known = np.empty(max(n, 1 << 16), np.uint64)
-        known[0], known[1:] = 1, np.uint64(base)
-        np.multiply.accumulate(known, out=known)
-        if n <= 1 << 22:
-            _tables[base] = known
-    return known[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
     x = x ^ (x >> np.uint64(30))
@@ -160,19 +145,81 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 class SpanHashes:
-    """64-bit hashes of any byte spans of one buffer: a polynomial over random byte values, mixed."""
+    """64-bit hashes of any byte spans of one buffer.
 
-    def __init__(self, raw: np.ndarray):
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=self.sums[1:])
-        self.inverse = powers(_INVERSE, len(raw) + 1)
+    A span is taken eight bytes at a time and the state is mixed after each step, starting from the
+    span's length; so spans of up to eight bytes and equal length never share a hash, and longer ones
+    do so only by chance, whatever their structure. Very long spans take a part of their BLAKE2 digest.
+    """
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.lanes = raw, _lanes(raw)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        lengths = ends - starts
+        out = mixed(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D + salt))
+        long = lengths > LONG_SPAN
+        at = np.flatnonzero(~long)
+        step = 0
+        while len(at):
+            left = lengths[at] - step
+            lane = self.lanes[starts[at] + step] & _LOW_BYTES[np.minimum(left, 8)]
+            out[at] = mixed((out[at] ^ lane) * np.uint64(0xD6E8FEB86659FD93))
+            step += 8
+            at = at[left > 8]
+        for i in np.flatnonzero(long).tolist():
+            digest = hashlib.blake2b(self.raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+            out[i] = np.frombuffer(digest, "<u8")[0]
+        return out
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def equal_spans(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray, others: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of ``raw`` has the bytes of the span of ``pool`` beside it."""
+    mine, theirs = _lanes(raw), _lanes(pool) if pool is not raw else None
+    theirs = mine if theirs is None else theirs
+    same = lengths == other_lengths
+    long = lengths > LONG_SPAN
+    for i in np.flatnonzero(same & long & ((raw is not pool) | (starts != others))).tolist():
+        same[i] = np.array_equal(raw[starts[i] : starts[i] + lengths[i]], pool[others[i] : others[i] + lengths[i]])
+    at, step = np.flatnonzero(same & ~long & (lengths > 0)), 0
+    while len(at):
+        left = lengths[at] - step
+        good = (mine[starts[at] + step] ^ theirs[others[at] + step]) & _LOW_BYTES[np.minimum(left, 8)] == 0
+        same[at[~good]] = False
+        step += 8
+        at = at[good & (left > 8)]
+    return same
+
+
+def span_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct spans: a key of each in order, a place of each, and the key's number of every span.
+
+    Keys are hashes, and the bytes of all spans of a key are compared. Where they differ, the spans of
+    that key get other hashes, which follow from their bytes alone.
+    """
+    hashes, lengths, salt = SpanHashes(raw), ends - starts, 0
+    keys = hashes(starts, ends)
+    while True:
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        twin = first[inverse]
+        same = equal_spans(raw, starts, lengths, raw, starts[twin], lengths[twin])
+        if same.all():
+            return distinct, first, inverse
+        salt += 1
+        again = np.isin(inverse, inverse[~same])
+        keys[again] = hashes(starts[again], ends[again], salt)
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

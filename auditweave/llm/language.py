@@ -9,6 +9,7 @@ script are out of the question. Along a text, staying with a language is free an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SCRIPT_SHARE = 0.002
 #: Bytes of text whose paths a task finds together, and whose n-grams it counts together (these take a hundred times as much).
 TEXT_BYTES, GRAM_BYTES = 4 << 20, 1 << 19
 
-#: First and last code point of the letters of each script (Unicode blocks).
+#: First and last code point of the blocks that hold the letters of each script; other characters of a block are no letters.
 SCRIPTS = [
     ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
     ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF),
@@ -40,6 +41,12 @@ _LAST = np.array([b for _, _, b in SCRIPTS])
 _SCRIPT = np.array([SCRIPT_NAMES.index(name) + 1 for name, _, _ in SCRIPTS], np.int8)
 
 
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """Which code points are letters, by Unicode category."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 class Words:
     """The words of some texts: n-gram buckets by byte, script by word (0: no letter of a known script)."""
 
@@ -53,8 +60,11 @@ class Words:
         at = np.flatnonzero((self.raw & 0xC0) != 0x80)
         points = code_points(self.raw, at)
         place = np.searchsorted(_FIRST, points, "right") - 1
+        letter = letter_table()[points]
         script = np.zeros(n, np.int8)
-        script[at] = np.where((place >= 0) & (points <= _LAST[place]), _SCRIPT[place], 0)
+        script[at] = np.where((place >= 0) & (points <= _LAST[place]) & letter, _SCRIPT[place], 0)
+        #: Whether a text has a letter, of a known script or not.
+        self.lettered = np.diff(np.append(0, np.cumsum(letter))[np.searchsorted(at, self.offsets)]) > 0
         self.letters = np.concatenate([[0], np.cumsum(script > 0)])
         self.script = np.maximum.reduceat(script, self.starts) if len(self.starts) else np.zeros(0, np.int8)
         digits = np.concatenate([[0], np.cumsum((self.raw >= 0x30) & (self.raw <= 0x39))])
@@ -126,9 +136,9 @@ def word_scores(words: Words, model: dict) -> np.ndarray:
 
 
 def _measured(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of the words, words of each text, letters of each word that count, letters of each text."""
+    """Scores of the words, words of each text, letters of each word that count, whether each text has letters."""
     weight = np.where(words.script > 0, words.letters[words.ends] - words.letters[words.starts], 0)
-    return word_scores(words, model), words.counts, weight, np.diff(words.letters[words.offsets])
+    return word_scores(words, model), words.counts, weight, words.lettered
 
 
 def best_path(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -185,9 +195,9 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, TEXT_BYTES):
-            texts, n = text_column(batch), batch.num_rows
+            n = batch.num_rows
             gathered = [_measured(Words(text_column(part)), model) for part in chunks(iter([batch]), GRAM_BYTES)]
-            scores, counts, weight, n_letters = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            scores, counts, weight, lettered = (np.concatenate(x) for x in zip(*gathered, strict=True))
             owner = np.repeat(np.arange(n), counts)
             label = best_path(scores, counts) if langs else np.zeros(len(owner), np.int64)
             mass, sums = np.zeros((n, max(1, len(langs)))), np.zeros((n, max(1, len(langs))))
@@ -198,10 +208,7 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
             total = mass.sum(axis=1)
             shifted = np.exp(np.clip((sums - sums.max(axis=1, keepdims=True)) / 4.0, -700, 0))
             sure = shifted[np.arange(n), picked] / shifted.sum(axis=1)
-            none = n_letters == 0
-            for i in np.flatnonzero(none):  # letters outside the known scripts
-                none[i] = not any(c.isalpha() for c in texts[int(i)].as_py())
-            none |= not langs
+            none = ~lettered | (not langs)
             pred = [("und" if x else langs[p]) for x, p in zip(none, picked, strict=True)]
             score = np.where(none, 0.0, (np.where(total > 0, mass[np.arange(n), picked] / np.maximum(total, 1), 1.0 / max(1, len(langs))) + sure) / 2)
             columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.llm import bpe, fill_middle, fingerprints, language, mixing, pii, quality, toxicity, urls, warc
@@ -15,6 +15,11 @@ from auditweave.llm.near_dedup import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _listed(column: str, *fields: str) -> Column:
+    """An array of structs as text: fields joined by colons, entries by commas."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), ",").alias(column)
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
@@ -25,7 +30,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(~held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    found = language.identify(rows, model, spans=True)
+    return found.select("doc_id", "held_out", "lang_pred", "score", _listed("spans", "lang", "first_word", "end_word"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return toxicity.score_toxicity(rows, model).select("doc_id", "held_out", "score", "predicted")
+    found = toxicity.score_toxicity(rows, model, spans=True)
+    return found.select("doc_id", "held_out", "score", "predicted", _listed("spans", "start", "end"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

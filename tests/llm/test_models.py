@@ -51,6 +51,24 @@ def test_mixed_text_and_scripts(spark):
     assert rows[2]["lang_pred"] != "und" and rows[3]["lang_pred"] == rows[4]["lang_pred"] == "und" and rows[4]["score"] == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    """Every code point of the scripts' blocks alone, and texts of signs and digits, against ``str.isalpha``."""
+    points = [chr(c) for _, first, last in language.SCRIPTS for c in range(first, min(last, first + 3000) + 1) if not 0xD800 <= c < 0xE000]
+    texts = [*points, "3 × 4 ÷ 2", "٣٤٥ ٦", "।॥", "・", "҂ ҂҂", "12 34", "×a", "٣ ب", "\u0301", "𝔄", "ª", "ǅ", "一二", "〇"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    known = spark.createDataFrame([("guten Tag und mehr", "de"), ("good day and more", "en")], "text string, lang string")
+    found = language.identify(docs, language.train(known), spans=True).collect()
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in found} == {i: any(c.isalpha() for c in t) for i, t in enumerate(texts)}
+
+
+def test_queries_return_spans(spark):
+    for r in QUERIES["op2_language"](spark, SF2).collect():
+        ends = [int(s.split(":")[2]) for s in r["spans"].split(",") if s]
+        assert ends == sorted(ends)
+    toxic = [r for r in QUERIES["op9_toxicity"](spark, SF2).collect() if r["predicted"]]
+    assert toxic and all(r["spans"] for r in toxic)
+
+
 def test_language_odd_rows(spark):
     docs = odd_documents(spark)
     found = language.identify(docs, language.train(docs))
