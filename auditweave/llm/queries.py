@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import alignment, bpe, fill_middle, fingerprints, language, mixing, pii, quality, toxicity, urls, warc
+from auditweave.llm import alignment, bpe, fill_middle, fingerprints, group_join, language, mixing, pii, quality, toxicity, urls, warc
 from auditweave.llm.common import held_out, shared_path, table
 from auditweave.llm.near_dedup import near_duplicates
 
@@ -88,6 +88,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose three-word shingles are similar to nine tenths."""
+    return group_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers in all documents, aligned and linked."""
     return alignment.alignment_counts(table(spark, sf_dir, "documents"))
@@ -110,7 +115,14 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.REVISIT_SQL, "op6_mix_sources": mixing.MIXTURE_SQL, "op11_fill_in_middle": fill_middle.FILL_SQL}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": group_join.components_sql(2, 80, kept=True),
+    "op5_warc": warc.REVISIT_SQL,
+    "op6_mix_sources": mixing.MIXTURE_SQL,
+    "op11_fill_in_middle": fill_middle.FILL_SQL,
+    "op12_jaccard_join": group_join.components_sql(3, 90, kept=False),
+}
