@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,6 +54,39 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"[\s\x0B\x1C-\x1F]+", " "))
 
 
+def longest_word_at_each_place(words: Iterable[str]) -> str:
+    """A regular expression whose group 1 is, at each place of a text, the longest of ``words`` that begins there.
+
+    The words form a prefix tree, so a place costs a walk down the tree, however many words there are. Matches
+    are empty, so words that overlap are all seen; a word that another found word begins with is implied.
+    """
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        if word:
+            node[""] = {}
+
+    def quoted(letter: str) -> str:
+        return letter if letter.isalnum() or letter == "_" else f"\\x{{{ord(letter):x}}}"
+
+    def pattern(node: dict) -> str:
+        branches = []
+        for letter in sorted(k for k in node if k):
+            below, prefix = node[letter], quoted(letter)
+            while len(below) == 1 and "" not in below:
+                (letter, below), *_ = below.items()
+                prefix += quoted(letter)
+            branches.append(prefix + pattern(below))
+        if not branches:
+            return ""
+        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+
+    first = "".join(quoted(letter) for letter in sorted(tree))
+    return f"(?=[{first}])(?=({pattern(tree)}))" if tree else "(?!)()"
+
+
 def token_count(value: Column) -> Column:
     """Default tokenizer: runs of word characters, counted inside the JVM."""
     return F.regexp_count(value, F.lit(V.TOKEN_PATTERN)).cast("bigint")

@@ -1,25 +1,23 @@
 """Checklists over evidence: findings, risks, roadmaps.
 
-All checks of all branches run in one pass: a combining aggregate keeps, per run
-and check, the smallest order number of a matching evidence row. The few rows so
-named are fetched by a join, and no evidence row is repeated or sorted.
+All checks of all branches run in one pass, however long the catalogue: a prefix
+tree of all keywords finds those that an evidence text holds, a join with the
+keyword table gives their rules, and a combining aggregate keeps, per run and
+check, the first matching evidence row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
 from auditweave.functions.ranks import any_word_in, rank_of
 from auditweave.functions.skew import attach
-from auditweave.functions.text import short_digest
-
-#: Rules that one aggregate tests; a larger catalogue is planned in several, so no projection grows with it.
-RULES_PER_PASS = 100
+from auditweave.functions.text import longest_word_at_each_place, short_digest
 
 EVIDENCE_REF = "STRUCT<file: STRING, line_start: INT, line_end: INT, source: STRING, rule_id: STRING>"
 FINDING_COLUMNS = [
@@ -116,41 +114,53 @@ def runs_of(evidence: DataFrame) -> DataFrame:
     return evidence.select("run_id", "repo").distinct()
 
 
+def keyword_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(keyword, category, rule): the rules that a found keyword stands for.
+
+    A found keyword is the longest at its place, so it also stands for the rules of all keywords that it
+    begins with. The empty keyword, found in every text, has the rules that list it, and rule -1.
+    """
+    of: dict[str, set[int]] = {}
+    for number, rule in enumerate(rules):
+        for word in rule.keywords:
+            of.setdefault(word, set()).add(number)
+    rows = [("", None, -1)]
+    for word in of.keys() | {""}:
+        numbers = set().union(*(of.get(word[:n], ()) for n in range(1 if word else 0, len(word) + 1)))
+        rows += [(word, rules[n].category, n) for n in sorted(numbers)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)]
+    return spark.createDataFrame(pa.table(columns, ["keyword", "category", "rule"]))
+
+
 def first_match(evidence: DataFrame, rules: list[Rule], runs: DataFrame | None = None) -> DataFrame:
     """For each run and check the first evidence (by ``ord``, unique in a run) with any keyword, or nulls.
 
     ``runs`` lists runs that need a row even without evidence; by default the
-    runs seen in the evidence. One aggregate keeps, per run and rule, the smallest
-    matching ``ord``; only these few numbers fetch their evidence rows.
+    runs seen in the evidence. The evidence is read once, whatever the number of
+    rules; Spark broadcasts the keyword table only if it is small. An evidence row
+    is repeated for its matches alone, before a combining aggregate.
     """
-    branches = sorted({r.category for r in rules})
     keys = ["run_id", "repo"]
-    prepared = evidence.select(
-        *keys,
-        "ord",
-        F.lower(F.concat("summary", F.lit(" "), "file")).alias("_text"),
-        *[BRANCH_FILTER.get(b, lambda: F.lit(True))().alias(f"_in_{b}") for b in branches],
-    )
+    branches = sorted({r.category for r in rules})
+    item = F.struct("file", "line_start", "line_end", "source", "summary", "confidence")
+    pattern = longest_word_at_each_place({k for r in rules for k in r.keywords})
+    held = F.regexp_extract_all(F.lower(F.concat("summary", F.lit(" "), "file")), F.lit(pattern), F.lit(1))
+    fits = [F.when(BRANCH_FILTER.get(b, lambda: F.lit(True))(), F.lit(b)) for b in branches]
+    prepared = evidence.select(*keys, "ord", item.alias("item"), held.alias("held"), F.array_compact(F.array(*fits)).alias("branches"))
     if runs is not None:
         blank = [F.lit(None).cast(prepared.schema[c].dataType).alias(c) for c in prepared.columns if c not in keys]
         prepared = prepared.unionByName(runs.select(*keys, *blank))
-
-    def first_of(number: int, rule: Rule) -> Column:
-        hit = F.col(f"_in_{rule.category}") & any_word_in(F.col("_text"), list(rule.keywords))
-        return F.struct(F.lit(number).alias("rule"), F.min(F.when(hit, F.col("ord"))).alias("ord"))
-
-    passes = []
-    for start in range(0, len(rules), RULES_PER_PASS):
-        firsts = [first_of(start + i, rule).alias(f"_{i}") for i, rule in enumerate(rules[start : start + RULES_PER_PASS])]
-        grouped = prepared.groupBy(*keys).agg(*firsts)
-        passes.append(grouped.select(*keys, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(firsts))])).alias("x")))
-    found = reduce(DataFrame.unionByName, passes).select(*keys, "x.rule", "x.ord")
-    item = F.struct("file", "line_start", "line_end", "source", "summary", "confidence")
-    items = evidence.select(*keys, "ord", item.alias("item"))
-    hits = found.filter(F.col("ord").isNotNull()).join(items, [*keys, "ord"]).drop("ord")
-    misses = found.filter(F.col("ord").isNull()).select(*keys, "rule", F.lit(None).cast(items.schema["item"].dataType).alias("item"))
+    nothing = F.array(F.lit(""))
+    words = F.explode(F.coalesce(F.array_distinct(F.concat(nothing, "held")), nothing))
+    found = prepared.withColumn("keyword", words).drop("held").join(keyword_table(evidence.sparkSession, rules), "keyword")
+    found = found.filter(F.col("category").isNull() | F.array_contains("branches", F.col("category")))
+    firsts = found.groupBy(*keys, "rule").agg(F.min_by(F.when(F.col("rule") >= 0, F.col("item")), "ord").alias("item"))
+    # Rule -1 is seen in every run; it stands for a row without evidence of each rule.
+    every = F.sequence(F.lit(0), F.lit(len(rules) - 1))
+    spread = firsts.withColumn("rule", F.explode(F.when(F.col("rule") >= 0, F.array("rule")).otherwise(every)))
+    whole = spread.groupBy(*keys, "rule").agg(F.first("item", ignorenulls=True).alias("item"))
     names = F.array(*[F.lit(r.check_id) for r in rules])
-    return hits.unionByName(misses).withColumn("check_id", F.element_at(names, F.col("rule") + 1))
+    return whole.withColumn("check_id", F.element_at(names, F.col("rule") + 1)).select(*keys, "rule", "item", "check_id")
 
 
 def _rule_column(rules: list[Rule], attribute: str) -> Column:

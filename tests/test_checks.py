@@ -81,17 +81,47 @@ def test_roadmap_order_and_buckets(spark):
     ]
 
 
-def test_rule_catalogue_of_several_passes(spark):
-    n = 2 * checks.RULES_PER_PASS + 30
+def _rules(words_of_rules, category="c"):
+    return [checks.Rule(category, f"x{i}", "Low", tuple(words), "t", "t", "t") for i, words in enumerate(words_of_rules)]
+
+
+ROWS = "run_id string, repo string, ord bigint, file string, line_start int, line_end int, source string, signal_type string, summary string, confidence double"
+
+
+def _first(rows, rules):
+    """Order number of the first match by run and rule, one substring test after another."""
+    out = {}
+    for run in {r[0] for r in rows}:
+        for i, rule in enumerate(rules):
+            hits = [r[2] for r in rows if r[0] == run and any(k in f"{r[8]} {r[3]}".lower() for k in rule.keywords)]
+            out[run, i] = min(hits, default=None)
+    return out
+
+
+def test_keywords_that_overlap_and_contain_each_other(spark):
+    """Against plain substring tests: nested, overlapping and odd keywords, and the empty one."""
+    words = [["ab"], ["abc", "zz"], ["bcd"], ["b"], ["cd."], [".*"], ["(x|y)"], ["\\", "$1"], ["é ü"], [""], [], ["abcd", "ab"], ["🙂", "a\tb"], ["[a-z]"], ["nope"]]
+    rules = _rules(words)
+    texts = ["xabcdx", "bab", "zz top.", "a.*b", "(x|y)", "cost $1 \\", "É Ü", "🙂🙂", "a\tb", "[a-z]", "", "abc\ncd.", "ABC"]
+    rows = [(f"r{i % 3}", "p", i, "f", 1, 1, "s", "t", t, 0.5) for i, t in enumerate(texts)]
+    got = checks.first_match(spark.createDataFrame(rows, ROWS).withColumn("line_end", F.col("ord").cast("int")), rules).collect()
+    assert {(r.run_id, r.rule): r.item.line_end if r.item else None for r in got} == _first(rows, rules)
+
+
+def test_large_catalogue_reads_the_evidence_once(spark, tmp_path):
+    """5,000 rules: results as by substring tests, and one scan of the evidence in the plan."""
+    n = 5000
     rules = checks.rules_from_table(spark.range(n).select(
         F.lit("c").alias("category"), F.col("id").alias("position"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("check_id"), F.lit("Low").alias("severity"),
-        F.array(F.concat(F.lit("K"), F.col("id").cast("string"), F.lit("."))).alias("keywords"), F.lit("t").alias("title"), F.lit("t").alias("concern"), F.lit("t").alias("advice"),
+        F.array(F.concat(F.lit("K"), F.col("id").cast("string"), F.lit(".")), F.concat(F.lit("id-"), F.col("id").cast("string"))).alias("keywords"), F.lit("t").alias("title"), F.lit("t").alias("concern"), F.lit("t").alias("advice"),
     ))
-    rows = [("r", "p", i, "f", 1, 1, "s", f"about k{i}. here", 0.8) for i in (5, 120, n - 1)] + [("r", "p", 900, "f", 1, 1, "s", "k5.", 0.8)]
-    evidence = spark.createDataFrame(rows, "run_id string, repo string, ord bigint, file string, line_start int, line_end int, source string, summary string, confidence double")
-    found = {r.check_id: r.item.summary for r in checks.first_match(evidence, rules).collect() if r.item}
-    assert found == {f"x{i}": f"about k{i}. here" for i in (5, 120, n - 1)}
-    assert checks.first_match(evidence, rules).count() == n
+    rows = [(f"r{i % 4}", "p", i, "f", 1, i, "s", "t", f"about k{i * 37 % n}. and id-{i * 11 % n} here", 0.8) for i in range(300)]
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/evidence")
+    found = checks.first_match(spark.read.parquet(f"{tmp_path}/evidence"), rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = found.collect()
+    assert len(got) == 4 * n
+    assert {(r.run_id, r.rule): r.item.line_end if r.item else None for r in got} == _first(rows, rules)
 
 
 def test_two_states_of_one_branch(spark):
