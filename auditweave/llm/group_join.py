@@ -25,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditweave.llm import blocks
+from auditweave.llm.blocks import Rows, in_blocks, joined, pairs_in_blocks
 from auditweave.llm.common import chunks, mixed, staged
 from auditweave.llm.components import components
-from auditweave.llm.near_dedup import NONE, SKETCH_BITS, WORDS, _confirm, _digest, _in_blocks, _sets, _sizes_fit, _with_sets
+from auditweave.llm.near_dedup import NONE, _confirm, _digest, _sets, _sizes_fit
 
 #: A shingle that is in the heads of so many classes goes behind all rarer ones.
 FREQUENT = 64
-#: Frequent shingles up to this number (12 bytes each) go to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Frequent shingles, or classes whose texts are wanted, up to this number (some 16 MB) go to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+#: 64-bit words of a set's bitmap, and of that of a set of more than LONG_SET shingles.
+WORDS, LONG_WORDS, LONG_SET = 8, 32, 1000
 #: Texts whose bitmaps are made together.
-BITMAP_ROWS = 1 << 12
+BITMAP_ROWS = 1 << 10
 TOP = np.uint64(1 << 63)
 
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, head array<long>, sketch array<long>"
@@ -51,16 +55,21 @@ def head_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each shingle flips the bit that it hashes to; a row a set."""
-    n = len(offsets) - 1
-    out = np.zeros((n, WORDS), np.uint64)
-    bits = (mixed(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    """Each shingle flips the bit that it hashes to; a row of ``LONG_WORDS`` words a set."""
+    n, size = len(offsets) - 1, 64 * LONG_WORDS
+    out = np.zeros((n, LONG_WORDS), np.uint64)
+    bits = (mixed(hashes) % np.uint64(size)).astype(np.int64)
     for first in range(0, n, BITMAP_ROWS):
         last = min(n, first + BITMAP_ROWS)
         owner = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
-        times = np.bincount(owner * SKETCH_BITS + bits[offsets[first] : offsets[last]], minlength=(last - first) * SKETCH_BITS)
-        out[first:last] = np.packbits((times & 1).astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1, bitorder="little").view(np.uint64)
-    return out.view(np.int64)
+        times = np.bincount(owner * size + bits[offsets[first] : offsets[last]], minlength=(last - first) * size)
+        out[first:last] = np.packbits((times & 1).astype(np.uint8).reshape(-1, size), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def folded(bitmaps: np.ndarray) -> np.ndarray:
+    """Long bitmaps as those of ``WORDS`` words: a bit's place is taken modulo the smaller size."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), LONG_WORDS // WORDS, WORDS), axis=1)
 
 
 def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -74,7 +83,11 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             ends = np.append(0, np.cumsum(kept))
             at = np.repeat(offsets[:-1] - ends[:-1], kept) + np.arange(ends[-1])
             heads = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes[at] ^ TOP).view(np.int64)))
-            sketches = pa.FixedSizeListArray.from_arrays(pa.array(parity_bitmaps(hashes, offsets).ravel()), WORDS).cast(pa.list_(pa.int64()))
+            bitmaps = parity_bitmaps(hashes, offsets)
+            width = np.where(sizes > LONG_SET, LONG_WORDS, WORDS)
+            flat = np.where(np.arange(LONG_WORDS) < width[:, None], np.where(sizes[:, None] > LONG_SET, bitmaps, np.tile(folded(bitmaps), LONG_WORDS // WORDS)), 0)
+            flat = flat[np.arange(LONG_WORDS) < width[:, None]]
+            sketches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width)).astype(np.int32)), pa.array(flat.view(np.int64)))
             digest = [_digest(hashes[a:b]) if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             doc_id, text_hash = (batch.column(batch.schema.get_field_index(name)) for name in ("doc_id", "text_hash"))
             columns = [doc_id, text_hash, pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), heads, sketches]
@@ -92,6 +105,28 @@ def _prefix_size(percent: int) -> Column:
     return F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)")
 
 
+def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """(vertex, partner, is_hub, set): whole sets of the classes in ``wanted``, from one pass over the texts.
+
+    ``wanted`` has the first three, the ``digest`` and a row of each class by ``at_id`` and ``at_hash``; a row
+    whose set has another digest only shares that hash. ``repeated``: some rows of ``docs`` are the same.
+    """
+    wanted = staged(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, offsets = _sets(batch, shingle)
+            sets = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64).tobytes()), pa.py_buffer(hashes.tobytes())])
+            digest, *passed = (batch.column(batch.schema.get_field_index(name)) for name in ("digest", "vertex", "partner", "is_hub"))
+            same = [_digest(hashes[a:b]) == d.as_py() for a, b, d in zip(offsets[:-1].tolist(), offsets[1:].tolist(), digest, strict=True)]
+            yield pa.RecordBatch.from_arrays([*passed, sets.cast(pa.binary())], names=["vertex", "partner", "is_hub", "set"]).filter(pa.array(same, pa.bool_()))
+
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("at_id"), F.xxhash64("text").alias("at_hash"), "text")
+    sets = texts.join(F.broadcast(wanted) if few else wanted, ["at_id", "at_hash"]).mapInArrow(run, "vertex long, partner long, is_hub boolean, set binary")
+    return sets.dropDuplicates(["vertex"]) if repeated else sets
+
+
 def _exploded_sets(sets: DataFrame) -> DataFrame:
     """(vertex, token): the shingles of whole sets, as numbers in order."""
 
@@ -104,7 +139,7 @@ def _exploded_sets(sets: DataFrame) -> DataFrame:
     return sets.select("vertex", "set").mapInArrow(run, "vertex long, token long")
 
 
-def prefixes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, repeated: bool) -> DataFrame:
     """(vertex, n, prefix): the first shingles of each class in the common order.
 
     Where the head holds enough shingles that are not frequent, they are the prefix. Other classes have
@@ -130,7 +165,7 @@ def prefixes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     if late.isEmpty():
         return ready
     wanted = late.select("vertex", "digest", F.col("at.id").alias("at_id"), F.col("at.hash").alias("at_hash"), F.lit(None).cast("long").alias("partner"), F.lit(None).cast("boolean").alias("is_hub"))
-    tokens = looked_up(_exploded_sets(_with_sets(docs, wanted, shingle)), "left").join(late.select("vertex", "n", "size"), "vertex")
+    tokens = looked_up(_exploded_sets(_whole_sets(docs, wanted, shingle, repeated)), "left").join(late.select("vertex", "n", "size"), "vertex")
     ranked = F.expr("row_number() over (partition by vertex order by coalesce(times, 0), token)")
     first = tokens.withColumn("place", ranked).filter("place <= size")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])
@@ -162,70 +197,94 @@ def _places_fit(a: str, b: str, percent: int) -> Column:
     return _sizes_fit(F.col(f"{a}.n"), F.col(f"{b}.n"), percent) & (left >= _least_overlap(F.col(f"{a}.n"), F.col(f"{b}.n"), percent))
 
 
-def _most_differing(sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Shingles in just one of two sets, at most, if they link."""
-    both = sizes + size
-    return both - 2 * ((percent * both + 99 + percent) // (100 + percent))
-
-
-def _suspects(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of chunk i: the rows of chunk j that may link to it, with the number of differing bits."""
-    left, right = np.flatnonzero(rows["chunk"] == rows["i"]), np.flatnonzero(rows["chunk"] == rows["j"])
-    sketch, n, comp = rows["sketch"], rows["n"], rows["component"]
-    same = rows["i"][0] == rows["j"][0]
-    for u in left.tolist():
-        v = right[right > u] if same else right
-        v = v[(comp[v] != comp[u]) & (100 * np.minimum(n[v], n[u]) >= percent * np.maximum(n[v], n[u]))]
-        if "place" in rows and len(v):
-            both = n[v] + n[u]
-            # Members of one group meet at their first shingle; rows of the cell above meet in their own.
-            v = v[((rows["group"][v] != rows["group"][u]) | (rows["place"][u] == 0)) & (rows["own"][v] | rows["own"][u]) & (np.minimum(n[v] - rows["place"][v], n[u] - rows["place"][u]) >= (percent * both + 99 + percent) // (100 + percent))]
-        if len(v):
-            bits = np.bitwise_count(sketch[v] ^ sketch[u]).sum(axis=1)
-            keep = bits <= _most_differing(n[v], n[u], percent)
-            if keep.any():
-                yield u, v[keep], bits[keep]
-
-
-def _forest(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Short bitmaps of all rows, long ones of those that have them, and which have."""
+    long = np.fromiter(map(len, lists), np.int64, len(lists)) == LONG_WORDS
+    short, wide = np.zeros((len(lists), WORDS), np.uint64), np.zeros((len(lists), LONG_WORDS), np.uint64)
+    if long.any():
+        wide[long] = np.concatenate(lists[long]).view(np.uint64).reshape(-1, LONG_WORDS)
+        short[long] = folded(wide[long])
+    if not long.all():
+        short[~long] = np.concatenate(lists[~long]).view(np.uint64).reshape(-1, WORDS)
+    return short, wide, long
+
+
+def _least_common(both: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that two sets with this sum of sizes share at least if they link."""
+    return (percent * both + 99 + percent) // (100 + percent)
+
+
+def _suspects(rows: Rows, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a block that may link, with the number of differing bits."""
+    n, component = rows["n"], rows["component"]
+    short, wide, long = _bitmaps(rows["sketch"])
+    out = [(np.zeros(0, np.int64),) * 3]
+    for u, v in pairs_in_blocks(rows):
+        keep = (component[u] != component[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
+        if "place" in rows:
+            # Members of one group meet at their first shingle; two rows of the cell above meet in their own.
+            keep &= ((rows["group"][u] != rows["group"][v]) | (rows["place"][u] == 0)) & (rows["own"][u] | rows["own"][v])
+            keep &= np.minimum(n[u] - rows["place"][u], n[v] - rows["place"][v]) >= _least_common(n[u] + n[v], percent)
+        u, v = u[keep], v[keep]
+        bits, most = np.bitwise_count(short[u] ^ short[v]).sum(axis=1).astype(np.int64), n[u] + n[v] - 2 * _least_common(n[u] + n[v], percent)
+        both = np.flatnonzero(long[u] & long[v] & (bits <= most))
+        bits[both] = np.bitwise_count(wide[u[both]] ^ wide[v[both]]).sum(axis=1)
+        keep = bits <= most
+        out.append((u[keep], v[keep], bits[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _forest(rows: Rows, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The groups that suspect pairs connect, each as edges to its smallest vertex."""
-    ids, label = rows["vertex"], np.arange(len(rows["vertex"]))
-    for u, v, _ in _suspects(rows, percent):
-        label[np.isin(label, np.unique(label[v]))] = label[u]
-    _, inverse, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    least = np.full(len(sizes), NONE)
-    np.minimum.at(least, inverse, ids)
-    at = np.flatnonzero((sizes[inverse] > 1) & (least[inverse] != ids))
-    return ids[at], least[inverse[at]]
-
-
-def _links(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Components that links on full sets join, the likeliest pairs first; pairs that links of the block connect already are left out."""
-    found = list(_suspects(rows, percent))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v, bits = np.concatenate([np.full(len(v), u) for u, v, _ in found]), np.concatenate([v for _, v, _ in found]), np.concatenate([b for _, _, b in found])
-    _, label = np.unique(rows["component"], return_inverse=True)
+    u, v, _ = _suspects(rows, percent)
+    ids, place = np.unique(rows["vertex"], return_inverse=True)
+    label = joined(place[u], place[v], len(ids))
+    at = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[at], ids[label[at]]
+
+
+def _links(rows: Rows, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components that links on full sets join, the likeliest pairs first; pairs that links found before connect already are left out."""
+    u, v, bits = _suspects(rows, percent)
+    names, label = np.unique(rows["component"], return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     links = []
-    order = np.argsort(bits, kind="stable")
+    order = np.argsort(bits / (rows["n"][u] + rows["n"][v]), kind="stable")
     for a, b in zip(u[order].tolist(), v[order].tolist(), strict=True):
-        if label[a] != label[b]:
-            x, y = (np.frombuffer(rows["set"][k], np.uint64) for k in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
+        x, y = root(label[a]), root(label[b])
+        if x != y:
+            one, other = (np.frombuffer(rows["set"][k], np.uint64) for k in (a, b))
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            if 100 * both >= percent * (len(one) + len(other) - both):
                 links.append((a, b))
-                label[label == label[b]] = label[a]
+                parent[max(x, y)] = min(x, y)
     at = np.array(links, np.int64).reshape(-1, 2)
     return rows["component"][at[:, 0]], rows["component"][at[:, 1]]
 
 
+def _folded(long: Column) -> Column:
+    """``folded`` of one long bitmap."""
+    parts = [F.slice(long, i + 1, WORDS) for i in range(0, LONG_WORDS, WORDS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda p, q: p.bitwiseXOR(q))
+    return out
+
+
 def _best_hubs(groups: DataFrame, shared: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """(vertex, partner): each group and, of the smallest groups of its buckets that sizes, places and bitmaps allow, the one with the fewest differing bits."""
     x, h = shared.alias("x"), shared.filter("group = hub").select("token", "tag", "n", "place").alias("h")
     pairs = x.filter("group <> hub").join(h, ["token", "tag"]).filter(_places_fit("x", "h", percent)).select(F.col("x.group").alias("vertex"), "hub").distinct()
     a, b = bitmaps.alias("a"), bitmaps.alias("b")
     near = pairs.join(a, F.col("a.vertex") == pairs["vertex"]).join(b, F.col("b.vertex") == pairs["hub"])
-    bits = sum((F.bit_count(F.col("a.sketch")[w].bitwiseXOR(F.col("b.sketch")[w])) for w in range(WORDS)), F.lit(0))
+    short = [F.when(F.size(f"{x}.sketch") == WORDS, F.col(f"{x}.sketch")).otherwise(_folded(F.col(f"{x}.sketch"))) for x in "ab"]
+    bits = F.aggregate(F.zip_with(*short, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
     both = F.col("a.n") + F.col("b.n")
     near = near.select(pairs["vertex"], "hub", bits.alias("bits"), (both - 2 * _least_overlap(F.col("a.n"), F.col("b.n"), percent)).alias("most")).filter("bits <= most")
     return near.groupBy("vertex").agg(F.min(F.struct("bits", "hub"))["hub"].alias("partner"))
@@ -248,7 +307,8 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90) -> D
     numbered = by_digest.repartitionByRange("at.id", "digest").sortWithinPartitions("at.id", "digest")
     classes = staged(numbered.withColumn("vertex", F.monotonically_increasing_id()))
     bitmaps = classes.select("vertex", "n", "sketch")
-    member, groups = grouped(staged(prefixes(docs, classes, shingle, percent)))
+    repeated = not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    member, groups = grouped(staged(prefixes(docs, classes, shingle, percent, repeated)))
     groups = staged(groups)
 
     # Buckets: prefix shingles that two members have at least, whether of one group or of several.
@@ -260,11 +320,9 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90) -> D
 
     best = _best_hubs(groups, shared, bitmaps, percent).unionByName(member.filter("vertex <> group").select("vertex", F.col("group").alias("partner")))
     best = staged(best)
-    is_hub = best.select(F.col("partner").alias("vertex"), F.lit(True).alias("is_hub")).distinct()
     source = classes.select("vertex", "digest", F.col("at.id").alias("at_id"), F.col("at.hash").alias("at_hash"))
-    expanded = member.join(shared.select("group").distinct(), "group").select("vertex")
-    wanted = expanded.join(source, "vertex").join(best, "vertex", "left").join(is_hub, "vertex", "left")
-    sets = staged(_with_sets(docs, wanted, shingle))
+    is_hub = best.select(F.col("partner").alias("vertex"), F.lit(True).alias("is_hub")).distinct()
+    sets = staged(_whole_sets(docs, best.join(is_hub, "vertex", "full").join(source, "vertex"), shingle, repeated))
     ends = sets.filter("is_hub").select(F.col("vertex").alias("v"), F.col("set").alias("b"))
     first = _confirm(sets.filter("partner is not null").select(F.col("vertex").alias("u"), F.col("partner").alias("v"), F.col("set").alias("a")).join(ends, "v"), percent)
     # A document whose rows hold several texts ties their classes together.
@@ -274,26 +332,29 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90) -> D
         first = first.unionByName(rows.select("doc_id", "digest").join(several, "doc_id").join(of_class, "digest").join(of_least, "lo").select("u", "v"))
     label = components(staged(first))
 
-    # Buckets with several components, as cells of similar sizes: a row is in the cell of its size and in the one below.
+    # Buckets with several components. Crowded ones become cells of similar sizes: a row is in the cell of its size and in the one below.
     labelled = member.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    spread = labelled.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    ranges = shared.join(spread, "group").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("token", _tag("token"))
+    spread = labelled.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    ranges = shared.join(spread, "group").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("members").alias("size")).filter("lo < hi")
+    open_rows = shared.join(ranges.select("token", _tag("token"), "size"), ["token", "tag"]).join(labelled, "group")
     cell = F.floor(F.log("n") / float(np.log(100.0 / percent * 1.001)))
-    open_rows = shared.join(ranges, ["token", "tag"]).withColumn("cell", cell).join(labelled, "group")
-    cells = open_rows.withColumn("in", F.explode(F.array("cell", F.col("cell") - 1))).select(F.xxhash64("token", "in").alias("key"), (F.col("in") == F.col("cell")).alias("own"), "vertex", "group", "component", "n", "place")
+    cells = open_rows.withColumn("in", F.explode(F.when(F.col("size") > blocks.BLOCK, F.array(cell, cell - 1)).otherwise(F.array(F.lit(-2).cast("long")))))
+    cells = cells.select(F.xxhash64("token", "in").alias("key"), ((F.col("in") == -2) | (F.col("in") == cell)).alias("own"), "vertex", "group", "component", "n", "place")
     cells = staged(cells.withColumn("tag", _tag("key")))
     open_keys = cells.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("own").alias("any"), F.count("*").alias("members")).filter("lo < hi and any").select("key", _tag("key"), "members")
     facts = cells.join(open_keys, ["key", "tag"]).join(classes.select("vertex", "sketch"), "vertex").select("key", "members", "vertex", "component", "n", "sketch", "group", "place", "own")
-    forest = staged(_in_blocks(facts, "key", percent, _forest).distinct())
+    forest = staged(in_blocks(facts, "key", lambda block: _forest(block, percent)).distinct())
     if not forest.isEmpty():
         suspects = components(forest).select("vertex", F.col("component").alias("key"))
         sizes = suspects.groupBy("key").agg(F.count("*").alias("members"))
         suspects = suspects.join(sizes, "key").join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).join(bitmaps, "vertex")
-        more = _in_blocks(suspects.join(sets.select("vertex", "set"), "vertex"), "key", percent, _links)
+        nobody = {"partner": F.lit(None).cast("long"), "is_hub": F.lit(None).cast("boolean")}
+        sets = _whole_sets(docs, suspects.select("vertex").join(source, "vertex").withColumns(nobody), shingle, repeated)
+        more = in_blocks(suspects.join(sets.select("vertex", "set"), "vertex"), "key", lambda block: _links(block, percent))
         # Those links join components; what joined before has the component's name now.
-        joined = components(more).select(F.col("vertex").alias("component"), F.col("component").alias("larger"))
-        names = label.unionByName(joined.select(F.col("component").alias("vertex"), "component").join(label, "vertex", "left_anti"))
-        label = staged(names.join(joined, "component", "left").select("vertex", F.coalesce("larger", "component").alias("component")))
+        merged = components(more).select(F.col("vertex").alias("component"), F.col("component").alias("larger"))
+        names = label.unionByName(merged.select(F.col("component").alias("vertex"), "component").join(label, "vertex", "left_anti"))
+        label = staged(names.join(merged, "component", "left").select("vertex", F.coalesce("larger", "component").alias("component")))
 
     # A component is named by its first class, which has its smallest id, if any of its rows has one.
     firsts = classes.select(F.col("vertex").alias("component"), F.col("doc_id").alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from samples import SF, components, empty_documents, odd_documents, shingles
 
-from auditweave.llm import group_join, near_dedup
+from auditweave.llm import blocks, group_join
 from auditweave.llm.queries import QUERIES
 
 
@@ -34,7 +34,8 @@ def test_families_and_common_passages(spark, monkeypatch, frequent, broadcast):
     """Near copies around the threshold, passages in many documents, short texts; small blocks, both kinds of join."""
     monkeypatch.setattr(group_join, "FREQUENT", frequent)
     monkeypatch.setattr(group_join, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(group_join, "LONG_SET", 40)
     rng = random.Random(frequent)
     texts, passage = {}, [f"p{i}" for i in range(25)]
     for family in range(6):
@@ -63,12 +64,24 @@ def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 600, 400, dtype=np.uint64)) for _ in "ab")
-        x, y = group_join.parity_bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
-    for n in range(1, 60):
-        for m in range(1, 60):
-            least = next(o for o in range(200) if 100 * o >= 90 * (n + m - o))
-            assert group_join._most_differing(np.array([n]), m, 90)[0] == n + m - 2 * least
+        long = group_join.parity_bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = [int(np.bitwise_count(x[0] ^ x[1]).sum()) for x in (group_join.folded(long), long)]
+        assert bits[0] <= bits[1] <= len(np.setxor1d(a, b))
+    for both in range(2, 300):
+        assert group_join._least_common(np.array([both]), 90)[0] == next(o for o in range(300) if 100 * o >= 90 * (both - o))
+
+
+def test_pairs_of_blocks():
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 30, 400))
+    i, j = keys % 3, keys % 3 + keys % 2
+    rows = {"key": keys, "i": i, "j": j, "chunk": np.where(rng.integers(0, 2, 400) > 0, i, j)}
+    got = sorted((a, b) for u, v in blocks.pairs_in_blocks(rows) for a, b in zip(u.tolist(), v.tolist(), strict=True))
+    want = [(a, b) for a in range(400) for b in range(a + 1, 400) if keys[a] == keys[b] and (i[a] == j[a] or rows["chunk"][a] != rows["chunk"][b])]
+    assert got == want
+    u, v = rng.integers(0, 100, (2, 60))
+    label = blocks.joined(u, v, 100)
+    assert (label[u] == label[v]).all() and (label <= np.arange(100)).all() and len(set(label)) >= 40
 
 
 def test_odd_rows(spark):
