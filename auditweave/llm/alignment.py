@@ -13,6 +13,7 @@ So a link costs a few bits and only distinct pairs of a block are shuffled as ro
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auditweave.llm.bpe import _piece_bytes, _Press, default_tokenizer, gather
+from auditweave.llm.bpe import Splitter, _piece_bytes, _Press, _WordTable, default_tokenizer, gather, splitting_part
 from auditweave.llm.common import chunks, staged, text_column
 
 #: Characters after which a text is cut at the next safe place, and characters worked on at a time.
 PART_CHARS, WORK_CHARS = 1 << 15, 1 << 18
+#: Words that a task keeps with their ids before it starts anew.
+MOST_WORDS = 1 << 18
 #: Bytes of text whose links share one table of pairs.
 BLOCK_BYTES = 8 << 20
 #: A blank between letters or digits: no token of either kind reaches over its front.
@@ -113,6 +116,8 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        self.splitter = Splitter(json.dumps(json.loads(splitting_part(definition)) | {"added_tokens": []}))
+        self.words = _WordTable(self.a)
         self.b = SentencePieceProcessor(model_proto=model)
         self.a_pool, self.a_offsets = _piece_bytes(definition)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -132,12 +137,21 @@ class Aligner:
             start = cut.end()
         return [*out, text[start:]] if text else []
 
+    def _a_tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and their number by text; each distinct word is encoded when it first comes."""
+        if len(self.words.keys) > MOST_WORDS:
+            self.words = _WordTable(self.a)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        starts, ends, counts = self.splitter.pieces(raw, np.append(0, np.cumsum([len(t) for t in texts])))
+        lengths, ids = self.words.ids(raw, ends - starts)
+        return ids.astype(np.int64), np.diff(np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))])
+
     def groups(self, parts: list[str]) -> Groups:
         """Tokens and groups of all parts; a part whose token bytes are not blank and text has none and is not good."""
         texts = [" " + p for p in parts]
-        a_ids, n_a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
-        b_ids, n_b = _flat(self.b.encode(parts, num_threads=1))
         want = [t.encode() for t in texts]
+        a_ids, n_a = self._a_tokens(want)
+        b_ids, n_b = _flat(self.b.encode(parts, num_threads=1))
         good = _same(want, self.a_pool, self.a_offsets, a_ids, n_a) & _same(want, self.b_pool, self.b_offsets, b_ids, n_b)
         if not good.all():
             a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
