@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
+from auditweave.functions.ranks import literal_map, lookup
 from auditweave.functions.skew import DEFAULT_SLICE, attach, neighbours
-from auditweave.functions.text import redacted, short_digest
+from auditweave.functions.text import redacted, short_digest, strip
 
 
 def latest_state(transitions: DataFrame) -> DataFrame:
@@ -175,9 +176,6 @@ def run_manifest(requests: DataFrame, statuses: DataFrame, failures: DataFrame,
     Every input has at most one row per run. Of ``MANIFEST_FIELDS`` those that
     the requests have are taken over.
     """
-    from auditweave.functions.ranks import literal_map, lookup
-    from auditweave.functions.text import strip
-
     url_name = F.nullif(F.regexp_extract("github_url", V.HOSTING_URL_PATTERN, 2), F.lit(""))
     local = F.col("source_type") == "local_path"
     folder = F.regexp_replace("local_path", "/+$", "")

@@ -6,8 +6,12 @@ a large report may come in several parts, numbered from 0.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Numbers are read as text first: a number written as a string must not void its row.
 SEMGREP_DDL = (
@@ -27,37 +31,89 @@ REPORT_DDL = {"semgrep": SEMGREP_DDL, "bandit": BANDIT_DDL, "osv-scanner": OSV_D
 
 
 def read_report_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Report files below ``path``, one per row, laid out as run_id=…/repo=…/tool=…/part=….json."""
-    folder = F.col("_metadata.file_path")
-    texts = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    return texts.select(
-        *[F.regexp_extract(folder, rf"/{name}=([^/]+)/", 1).alias(name) for name in ("run_id", "repo", "tool")],
-        F.regexp_extract(folder, r"/part=(\d+)[^/]*$", 1).cast("bigint").alias("part"),
-        F.col("value").alias("payload"),
-    )
+    """Report files below ``path``, one per row, laid out as run_id=…/repo=…/tool=…/part=….json.
 
+    Run, repository and tool are partition columns: a filter on them skips whole folders.
+    """
+    texts = spark.read.schema("value STRING, run_id STRING, repo STRING, tool STRING").option("wholetext", True).text(path)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part=(\d+)", 1).cast("bigint")
+    return texts.select("run_id", "repo", "tool", part.alias("part"), F.col("value").alias("payload"))
 
-def recovered_json(text: Column) -> Column:
-    """The text from the first '{' that starts a JSON object; null when there is none.
 
-    A clean document is parsed once and returned. Only a noisy one is cut at its
-    braces and folded; there, candidates are parsed until one is found.
+#: A token of JSON behind white space: a string, a number or word, or a mark.
+_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:("[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*")'
+    r"|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)|([{}\[\]:,]))"
+)
+KEY, FIRST_KEY, COLON, VALUE, FIRST_VALUE, NEXT = range(6)
+
+
+def _read_object(text: str, begin: int, seen: set[int], ends: dict[int, int]) -> None:
+    """Read tokens from the brace at ``begin`` until its object ends or can't go on.
+
+    Every object on the way is noted in ``seen`` and, once complete, in ``ends``: read from its own brace, it
+    would be the same.
     """
-    clean = F.ltrim(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+    open_starts, place, expected = [], begin, VALUE
+    while token := _TOKEN.match(text, place):
+        start, place = token.start(token.lastindex), token.end()
+        string, word, mark = token.groups()
+        if mark in ("{", "[") and expected in (VALUE, FIRST_VALUE):
+            open_starts.append(start if mark == "{" else ~start)
+            expected = FIRST_KEY if mark == "{" else FIRST_VALUE
+            if mark == "{":
+                seen.add(start)
+        elif mark in ("}", "]") and expected in (NEXT, FIRST_KEY if mark == "}" else FIRST_VALUE) and (open_starts[-1] >= 0) == (mark == "}"):
+            opened = open_starts.pop()
+            if opened >= 0:
+                ends[opened] = place
+            if not open_starts:
+                return
+            expected = NEXT
+        elif mark == "," and expected == NEXT:
+            expected = KEY if open_starts[-1] >= 0 else VALUE
+        elif mark == ":" and expected == COLON:
+            expected = VALUE
+        elif string is not None and expected in (KEY, FIRST_KEY):
+            expected = COLON
+        elif (string is not None or word is not None) and expected in (VALUE, FIRST_VALUE):
+            expected = NEXT
+        else:
+            return
+
+
+def first_object(text: str) -> str | None:
+    """The first complete JSON object of a text, or none.
+
+    A brace that an earlier object passed is not read again, whether its own object ended or not; so the
+    time is linear also for texts full of braces and for deep objects that are never closed.
+    """
+    seen: set[int] = set()
+    ends: dict[int, int] = {}
+    begin = text.find("{")
+    while begin >= 0:
+        if begin not in seen:
+            _read_object(text, begin, seen, ends)
+        if begin in ends:
+            return text[begin : ends[begin]]
+        begin = text.find("{", begin + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def _first_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else first_object(text))
 
-    def step(state: Column, piece: Column) -> Column:
-        # Text that starts with a brace and parses is an object.
-        candidate = F.substring(text, state["at"], F.length(text))
-        found = (
-            F.when(state["found"].isNotNull(), state["found"])
-            .when(state["at"] == 0, F.lit(None).cast("string"))
-            .when(F.try_parse_json(candidate).isNotNull(), candidate)
-        )
-        return F.struct((state["at"] + F.length(piece) + 1).alias("at"), found.alias("found"))
 
-    recovered = F.aggregate(F.split(text, r"\{"), start, step, lambda state: state["found"])
-    return F.when(clean.startswith("{") & F.try_parse_json(clean).isNotNull(), clean).otherwise(recovered)
+def recovered_json(text: Column) -> Column:
+    """The first JSON object of a text; null when there is none.
+
+    A text that is an object as a whole is parsed in the JVM and returned. Only noisy texts go to the
+    brace scanner.
+    """
+    clean = F.ltrim(text)
+    whole = F.when(clean.startswith("{") & F.try_parse_json(clean).isNotNull(), clean)
+    return F.coalesce(whole, _first_objects(F.when(whole.isNull(), text)))
 
 
 def recover_json(logs: DataFrame, column: str = "stdout", result: str = "payload") -> DataFrame:
@@ -67,15 +123,22 @@ def recover_json(logs: DataFrame, column: str = "stdout", result: str = "payload
 def load_reports(reports: DataFrame, tool: str) -> DataFrame:
     """Typed documents of one tool; ``readable`` is false for rows to quarantine.
 
-    An empty report is a tool that found nothing: readable, without results.
+    An empty report is a tool that found nothing: readable, without results. A clean report is parsed
+    once, straight to its type; only what that parser marks as broken is recovered and parsed again.
     """
-    blank = F.trim(F.coalesce("payload", F.lit(""))) == ""
+    ddl = REPORT_DDL[tool]
+    text = F.ltrim(F.coalesce("payload", F.lit("")))
+    text = F.when(F.trim(text) == "", F.lit("{}")).otherwise(text)
+    parsed = F.from_json(F.when(text.startswith("{"), text), f"{ddl}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
+    fine = F.col("_parsed").isNotNull() & F.col("_parsed._broken").isNull()
+    again = F.from_json("_part", ddl)
     return (
         reports.filter(F.col("tool") == tool)
-        .withColumn("_text", F.when(blank, F.lit("{}")).otherwise(recovered_json(F.col("payload"))))
-        .withColumn("readable", F.col("_text").isNotNull())
-        .withColumn("document", F.from_json("_text", REPORT_DDL[tool]))
-        .drop("_text")
+        .withColumn("_parsed", parsed)
+        .withColumn("_part", _first_objects(F.when(~fine, F.col("payload"))))
+        .withColumn("readable", fine | F.col("_part").isNotNull())
+        .withColumn("document", F.when(fine, F.struct("_parsed.results")).otherwise(again))
+        .drop("_parsed", "_part")
     )
 
 

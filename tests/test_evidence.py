@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditweave.operators import evidence
@@ -38,6 +41,66 @@ def test_json_is_recovered_from_logs(spark, log, expected):
         assert json.JSONDecoder().raw_decode(got)[0] == json.loads(expected)
 
 
+PIECES = ["{", "}", '"', '"a"', ":", "1", ",", "[", "]", " ", "\n", "\\", '{"a":1}', '{"b":{"c":[1,2]}}', "x", "true", "-", "NaN", '"{"', '\\"', "ü"]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_first_object_equals_decoding_at_every_brace(text):
+    want, start = None, text.find("{")
+    while start >= 0 and want is None:
+        try:
+            _, end = json.JSONDecoder().raw_decode(text, start)
+            want = text[start:end]
+        except json.JSONDecodeError:
+            start = text.find("{", start + 1)
+    assert reports.first_object(text) == want
+
+
+@pytest.mark.parametrize("noise", ["{", '{"a":', '{"a":1 x', '{"', '{"x":"{",', '{"a":[{"b":1 ,', '{":":"'])
+def test_recovery_takes_linear_time(noise):
+    """Twice the text takes about twice the time; steps per brace would take four times as long."""
+
+    def seconds(size):
+        text = noise * (size // len(noise)) + ' {"found": [1]}'
+        start = time.perf_counter()
+        found = reports.first_object(text)
+        assert found is None or json.loads(found)
+        return time.perf_counter() - start
+
+    small, large = (min(seconds(size) for _ in range(3)) for size in (500_000, 1_000_000))
+    assert large < 3.2 * small + 0.05
+
+
+def test_broken_types_and_noise_in_reports(spark):
+    """A clean report is parsed at once; noise, other types and trailing text take the second way."""
+    good = json.dumps({"results": [{"filename": "a.py", "line_number": 3, "issue_text": "x"}], "other": {"deep": [1]}})
+    rows = loaded(spark, "bandit", good, f"log {{x}} {good} tail {{", '{"results": "text"}', "", "  ", "[]", "{broken", None, '{"results": [{"filename": 7}]}', "\n" + good).orderBy("part").collect()
+    assert [r.readable for r in rows] == [True, True, True, True, True, False, False, False, True, True]
+    assert [len(r.document.results) if r.document and r.document.results else 0 for r in rows] == [1, 1, 0, 0, 0, 0, 0, 0, 1, 1]
+    assert rows[8].document.results[0].filename == "7"
+
+
+def test_report_folders_are_pruned(spark, tmp_path):
+    """Each tool's parse opens its own files only, and values of the folders come back unescaped."""
+    for run in ("r1", "r2"):
+        for tool in ("semgrep", "bandit", "osv-scanner"):
+            folder = tmp_path / f"run_id={run}" / "repo=a%2Fb" / f"tool={tool}"
+            folder.mkdir(parents=True)
+            for part in range(3):
+                (folder / f"part={part}.json").write_text('{"results": []}\n')
+    texts = reports.read_report_texts(spark, f"file://{tmp_path}")
+    assert sorted({(r.run_id, r.repo, r.tool, r.part) for r in texts.collect()}) == sorted((run, "a/b", tool, part) for run in ("r1", "r2") for tool in reports.REPORT_DDL for part in range(3))
+    for wanted, files in ((reports.load_reports(texts, "bandit"), 6), (reports.load_reports(texts.filter("run_id = 'r2'"), "semgrep"), 3)):
+        assert wanted.filter("readable").count() == files
+        rows = wanted.select("run_id", "document")
+        rows.write.format("noop").mode("overwrite").save()
+        plan = rows._jdf.queryExecution().executedPlan()
+        rows._jdf.collectAsList() if hasattr(rows._jdf, "collectAsList") else None
+        scan = plan.collectLeaves().apply(0)
+        assert scan.metrics().apply("numFiles").value() == files
+
+
 def test_unreadable_reports_are_set_apart(spark):
     rows = loaded(spark, "bandit", {"results": []}, "not json")
     assert [r.readable for r in rows.orderBy("part").collect()] == [True, False]
