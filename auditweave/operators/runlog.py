@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
 from auditweave.functions.ranks import literal_map, lookup
-from auditweave.functions.skew import DEFAULT_SLICE, attach, neighbours
+from auditweave.functions.skew import SLICE_ROWS, attach, neighbours
 from auditweave.functions.text import redacted, short_digest, strip
 
 
@@ -91,19 +91,19 @@ def fan_in_ready(transitions: DataFrame) -> DataFrame:
     return states.filter(ready)
 
 
-def transition_chain(transitions: DataFrame, slice_width: int = DEFAULT_SLICE) -> DataFrame:
+def transition_chain(transitions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``from_state``: the run's state before each row, 'pending' at first."""
-    chained = neighbours(transitions, ["run_id"], "seq", F.col("to_state"), before="_before", slice_width=slice_width)
+    chained = neighbours(transitions, ["run_id"], "seq", F.col("to_state"), before="_before", slice_rows=slice_rows)
     return chained.withColumn("from_state", F.coalesce("_before", F.lit("pending"))).drop("_before")
 
 
-def chain_breaks(recorded: DataFrame, slice_width: int = DEFAULT_SLICE) -> DataFrame:
+def chain_breaks(recorded: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows of a log whose recorded from_state is not the state before them."""
-    expected = transition_chain(recorded.withColumnRenamed("from_state", "recorded"), slice_width)
+    expected = transition_chain(recorded.withColumnRenamed("from_state", "recorded"), slice_rows)
     return expected.filter(~F.col("recorded").eqNullSafe(F.col("from_state")))
 
 
-def stage_spans(transitions: DataFrame, slice_width: int = DEFAULT_SLICE) -> DataFrame:
+def stage_spans(transitions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Start and end of every stage execution.
 
     A 'running' row starts a span that the next finished row of the same stage
@@ -120,7 +120,7 @@ def stage_spans(transitions: DataFrame, slice_width: int = DEFAULT_SLICE) -> Dat
         F.struct("to_state", "ts"),
         before="_before",
         after="_after",
-        slice_width=slice_width,
+        slice_rows=slice_rows,
     )
     running = F.col("to_state") == "running"
     starts_nothing = ~running & F.coalesce(F.col("_before.to_state") == "running", F.lit(False))

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditweave.functions import paths
-from auditweave.functions.skew import first_n, neighbours
+from auditweave.functions.skew import first_n, neighbours, slice_bounds
 from auditweave.operators import checks, inventory, profiling
 from auditweave.operators.inventory import ScanPolicy
 from auditweave.sources.files import readable_files, requests_below, scan_files
@@ -165,12 +166,28 @@ def test_first_n_of_a_hot_group(spark):
         assert [r.v for r in got.filter(F.col("k") == key).orderBy("position").collect()] == expected
 
 
+def test_sparse_sequence_numbers_make_few_slices(spark):
+    """A log numbered by microseconds: border rows follow the number of rows, and every neighbour is found."""
+    rng = random.Random(7)
+    rows = {("hot", rng.randrange(10**15)) for _ in range(4000)} | {(f"run{i % 50}", 10**15 + i * 10**9) for i in range(500)}
+    rows = sorted(rows)
+    log = spark.createDataFrame([(k, s, f"v{s}") for k, s in rows], "k string, seq long, v string").repartition(6)
+    bounds = slice_bounds(log, ["k"], "seq", 500).collect()
+    assert [b.k for b in bounds] == ["hot"] and len(bounds[0]._bounds) == 7
+    sizes = Counter(sum(b < s for b in bounds[0]._bounds) for k, s in rows if k == "hot")
+    assert max(sizes.values()) < 1.2 * min(sizes.values())
+    got = {(r.k, r.seq): (r.b, r.a) for r in neighbours(log, ["k"], "seq", F.col("v"), before="b", after="a", slice_rows=500).collect()}
+    assert len(got) == len(rows)
+    for (k, s), left, right in zip(rows, [None, *rows], [*rows[1:], None], strict=False):
+        assert got[k, s] == (f"v{left[1]}" if left and left[0] == k else None, f"v{right[1]}" if right and right[0] == k else None)
+
+
 @pytest.mark.parametrize("width", [1, 3, 1000])
 def test_neighbours_across_slices(spark, width):
     generator = random.Random(5)
     rows = [(generator.choice(["hot", "hot", "hot", "b"]), seq, None if seq % 11 == 0 else f"s{seq}") for seq in range(120)]
     table_ = spark.createDataFrame(rows, "k string, seq bigint, v string")
-    got = neighbours(table_, ["k"], "seq", F.col("v"), before="b", after="a", slice_width=width)
+    got = neighbours(table_, ["k"], "seq", F.col("v"), before="b", after="a", slice_rows=width)
     found = {(r.k, r.seq): (r.b, r.a) for r in got.collect()}
     for key in ("hot", "b"):
         mine = [r for r in rows if r[0] == key]

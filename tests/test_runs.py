@@ -124,10 +124,10 @@ def test_run_log(spark):
     assert ("a", "security") in plan and len([p for p in plan if p[0] == "a"]) == 1 and len(plan) == 6
     assert [tuple(r) for r in runlog.roadmap_state(log).collect()] == [("a", "degraded")]
     assert [r.run_id for r in runlog.fan_in_ready(log).collect()] == ["a"]
-    chain = {r.seq: r.from_state for r in runlog.transition_chain(log, slice_width=2).collect()}
+    chain = {r.seq: r.from_state for r in runlog.transition_chain(log, slice_rows=2).collect()}
     assert (chain[0], chain[1], chain[5], chain[11], chain[12]) == ("pending", "completed", "running", "pending", "completed")
     assert runlog.chain_breaks(runlog.transition_chain(log)).count() == 0
-    spans = {(r.run_id, r.node_id, r.seq): (r.closed_by, r.ended_at.second) for r in runlog.stage_spans(log, slice_width=3).collect()}
+    spans = {(r.run_id, r.node_id, r.seq): (r.closed_by, r.ended_at.second) for r in runlog.stage_spans(log, slice_rows=3).collect()}
     assert spans[("a", "security", 4)] == ("failed", 6)
     assert spans[("b", "scanner", 12)] == ("run_end", 12)
     assert spans[("a", "start", 0)] == ("instant", 0)
