@@ -887,4 +887,4 @@ def _(spark, sf_dir):
     )
     root = shared_folder(spark, "runs")
     feeds.run_incremental_merge(spark, updates, root, shared_folder(spark, "runs-log"))
-    return feeds.newest_version(spark, root)
+    return feeds.merged_rows(spark, root)

@@ -17,13 +17,14 @@ LOG_BUCKETS = 32
 def upsert_runs(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Merge run rows on run_id: the first ``started_at`` stays, the rest is overwritten.
 
-    ``seq`` orders the updates. Both rules are combining aggregates, so a run
-    with very many updates is reduced before the shuffle.
+    ``seq`` orders the updates; an existing row comes before all of them, so merging the same
+    updates again changes nothing. Both rules are combining aggregates, so a run with very many
+    updates is reduced before the shuffle.
     """
     rest = [c for c in existing.columns if c not in ("run_id", "started_at", "seq")]
-    both = existing.unionByName(updates)
+    both = existing.withColumn("_new", F.lit(False)).unionByName(updates.withColumn("_new", F.lit(True)))
     merged = both.groupBy("run_id").agg(
-        F.min_by("started_at", "seq").alias("started_at"),
+        F.min_by("started_at", F.struct("_new", "seq")).alias("started_at"),
         F.max_by(F.struct(*rest), "seq").alias("_last"),
         F.max("seq").alias("seq"),
     )
@@ -41,25 +42,29 @@ def upsert_latest(existing: DataFrame, updates: DataFrame, key: str = "run_id",
 upsert_scan_outputs = upsert_latest
 
 
+def log_bucket(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(LOG_BUCKETS)).cast("int")
+
+
 def append_transitions(transitions: DataFrame, path: str, time: str = "ts") -> None:
-    """Append to the log, one folder per day.
+    """Append to the log, one folder per bucket of run ids and day.
 
-    Rows are clustered by day and ``LOG_BUCKETS`` hashes of the run first, so a
-    write makes at most that many files a day. A ``reason`` is redacted.
+    Rows are clustered the same way first, so a write makes at most ``LOG_BUCKETS`` files a day, and
+    sorted by run, so a file's own statistics tell its runs apart. A ``reason`` is redacted.
     """
     if "reason" in transitions.columns:
         transitions = transitions.withColumn("reason", redacted(F.col("reason")))
-    dated = transitions.withColumn("date", F.to_date(time))
-    bucket = F.pmod(F.xxhash64("run_id"), F.lit(LOG_BUCKETS))
-    dated.repartition("date", bucket).write.mode("append").partitionBy("date").parquet(path)
+    dated = transitions.withColumns({"bucket": log_bucket(F.col("run_id")), "date": F.to_date(time)})
+    clustered = dated.repartition("bucket", "date").sortWithinPartitions("bucket", "date", "run_id", "seq")
+    clustered.write.mode("append").partitionBy("bucket", "date").parquet(path)
 
 
-def list_transitions(spark: SparkSession, path: str, run_id: Column | str | None = None) -> DataFrame:
-    """The log, or one run of it in insertion order."""
+def list_transitions(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """The log, or one run of it in insertion order, for which only the run's bucket is opened."""
     log = spark.read.parquet(path)
-    if run_id is None:
-        return log
-    return log.filter(F.col("run_id") == run_id).orderBy("seq")
+    if run_id is not None:
+        log = log.filter((F.col("bucket") == log_bucket(F.lit(run_id))) & (F.col("run_id") == run_id)).orderBy("seq")
+    return log.drop("bucket")
 
 
 def manifest_rows(manifests: DataFrame, seq: str = "seq") -> DataFrame:

@@ -79,22 +79,31 @@ def run_append(rows: DataFrame, table: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_incremental_merge(spark: SparkSession, updates: DataFrame, root: str, checkpoint: str) -> None:
-    """Merge new run rows into a versioned table, batch by batch.
+MERGE_BUCKETS = 64
 
-    Version n+1 is the merge of version n with batch n, so a repeated batch
-    rebuilds the same version instead of being applied twice.
+
+def run_incremental_merge(spark: SparkSession, updates: DataFrame, root: str, checkpoint: str, buckets: int = MERGE_BUCKETS) -> None:
+    """Merge new run rows into a table of hash buckets, batch by batch.
+
+    A batch reads and rewrites the buckets of its own runs only; Spark writes them beside the old ones
+    and puts them in place when the batch is done. Merging rows twice changes nothing, so a repeated batch
+    does no harm. The table belongs to one stream: a root that another checkpoint filled is refused, as
+    its rows would be merged with a history that this stream does not know. ``buckets`` must stay the
+    same for a root; rows of a bucket are bounded by choosing it in proportion to the number of runs.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if batch_id == 0:
-            existing = session.createDataFrame([], batch.schema)
-        else:
-            existing = session.read.parquet(f"{root}/version={batch_id}")
-        upsert_runs(existing, batch).select(*batch.columns).write.mode("overwrite").parquet(
-            f"{root}/version={batch_id + 1}"
-        )
+        _own(session, root, session.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        existing = session.read.schema(dealt.schema).parquet(root).filter(F.col("bucket").isin(touched))
+        merged = upsert_runs(existing.select(*batch.columns), batch).select(*batch.columns)
+        placed = merged.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+        clustered = placed.repartition("bucket").sortWithinPartitions("bucket", "run_id")
+        clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
 
     query = (
         updates.writeStream.option("checkpointLocation", checkpoint)
@@ -105,11 +114,19 @@ def run_incremental_merge(spark: SparkSession, updates: DataFrame, root: str, ch
     query.awaitTermination()
 
 
-def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The last version of a versioned table that was written to its end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in system.listStatus(path) if f.getPath().getName().startswith("version=")]
-    done = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    versions = [int(p.getName().split("=")[1]) for p in done]
-    return spark.read.parquet(f"{root}/version={max(versions)}")
+def _own(spark: SparkSession, root: str, query_id: str) -> None:
+    """Mark an empty root as this query's; raise if it is another's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = path(root, f"_stream-{query_id}")
+    if system.exists(mark):
+        return
+    if system.exists(folder) and len(system.listStatus(folder)):
+        raise ValueError(f"{root} holds rows of another stream: give this one a root of its own, or its old checkpoint")
+    system.create(mark).close()
+
+
+def merged_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of a merged table."""
+    return spark.read.parquet(root).drop("bucket")

@@ -94,10 +94,8 @@ def test_report_folders_are_pruned(spark, tmp_path):
     for wanted, files in ((reports.load_reports(texts, "bandit"), 6), (reports.load_reports(texts.filter("run_id = 'r2'"), "semgrep"), 3)):
         assert wanted.filter("readable").count() == files
         rows = wanted.select("run_id", "document")
-        rows.write.format("noop").mode("overwrite").save()
-        plan = rows._jdf.queryExecution().executedPlan()
-        rows._jdf.collectAsList() if hasattr(rows._jdf, "collectAsList") else None
-        scan = plan.collectLeaves().apply(0)
+        rows.collect()
+        scan = rows._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
         assert scan.metrics().apply("numFiles").value() == files
 
 

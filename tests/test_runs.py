@@ -154,11 +154,61 @@ def test_reports_are_written_in_order(spark, tmp_path):
     lines = spark.createDataFrame(rows, "run_id string, section int, part int, k1 bigint, k2 double, k3 string, k4 bigint, line string")
     documents.write_report(lines, str(tmp_path / "report"), partitions=6)
     for run in ("hot", "cold"):
-        folder = tmp_path / "report" / f"run_id={run}"
-        parts = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
-        text = "".join((folder / p).read_text() for p in parts).splitlines()
-        assert text == [f"line {i}" for i in range(5000) if (i % 20 > 0) == (run == "hot")]
-        assert len(parts) > 1 or run == "cold"
+        want = [f"line {i}" for i in range(5000) if (i % 20 > 0) == (run == "hot")]
+        assert [r.value for r in documents.read_document(spark, str(tmp_path / "report"), run).collect()] == want
+        target = tmp_path / f"{run}-text"
+        documents.export_document(spark, str(tmp_path / "report"), run, str(target))
+        assert "".join((target / p).read_text() for p in sorted(os.listdir(target)) if p.startswith("part-")).splitlines() == want
+    bucket = documents.bucket_of(F.lit("hot"))
+    number = spark.range(1).select(bucket.alias("b")).first().b
+    assert len([p for p in os.listdir(tmp_path / "report" / f"bucket={number}") if p.startswith("part-")]) > 1
+
+
+def files_read(rows):
+    """Files that the scan of a plan opened."""
+    session = rows.sparkSession
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh = rows.select("*")
+        fresh.collect()
+        return fresh._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+    finally:
+        session.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def data_files(folder):
+    return [os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.startswith("part-")]
+
+
+def test_number_of_files_does_not_follow_the_runs(spark, tmp_path):
+    """Thousands of summaries in at most a file a bucket; one run is read by opening its bucket."""
+    made = spark.range(3000).select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("run_id"), F.to_json(F.struct("id")).alias("document"))
+    documents.write_summary(made, str(tmp_path / "summary"))
+    total = len(data_files(tmp_path / "summary"))
+    assert total <= 2 * documents.DOCUMENT_BUCKETS
+    one = documents.read_document(spark, str(tmp_path / "summary"), "run-77")
+    assert [json.loads(r.value) for r in one.collect()] == [{"id": 77}]
+    assert files_read(one) <= 2
+    assert documents.read_documents(spark, str(tmp_path / "summary")).count() == 3000
+    assert documents.read_document(spark, str(tmp_path / "summary"), "nobody").count() == 0
+
+
+def test_point_lookup_opens_one_bucket(spark, tmp_path):
+    """The transitions of one run come from its bucket alone, over all days and appends."""
+    path = str(tmp_path / "log")
+    for day in (1, 2):
+        log = spark.range(2000).select(
+            F.concat(F.lit("run-"), (F.col("id") % 200).cast("string")).alias("run_id"), F.lit("scanner").alias("node_id"), F.lit("running").alias("to_state"),
+            (F.col("id") + 10_000 * day).alias("seq"), F.to_timestamp(F.lit(f"2024-01-0{day} 10:00:00")).alias("ts"), F.lit("failed, token=abcdefabcdef").alias("reason"),
+        )
+        tables.append_transitions(log, path)
+    one = tables.list_transitions(spark, path, "run-7")
+    assert [r.seq for r in one.collect()] == [d * 10_000 + i for d in (1, 2) for i in range(7, 2000, 200)]
+    assert files_read(one) == 2 and len(data_files(path)) > 40
+    assert {r.reason for r in one.collect()} == {"failed, token=[REDACTED]"}
+    whole = tables.list_transitions(spark, path)
+    assert whole.count() == 4000 and "bucket" not in whole.columns
+    assert tables.list_transitions(spark, path, "nobody").count() == 0
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -184,12 +234,35 @@ def test_incremental_merge_resumes(spark, tmp_path):
     def arrive(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         feeds.run_incremental_merge(spark, feeds.read_feed(spark, folder, schema), root, log)
-        return {r.run_id: (r.status, r.started_at) for r in feeds.newest_version(spark, root).collect()}
+        return {r.run_id: (r.status, r.started_at) for r in feeds.merged_rows(spark, root).collect()}
 
     assert arrive([("a", "s1", "t1", "t1", 1)]) == {"a": ("s1", "t1")}
     assert arrive([("a", "s2", "t2", "t2", 2), ("b", "s1", "t3", "t3", 3)]) == {"a": ("s2", "t1"), "b": ("s1", "t3")}
 
 
+def test_incremental_merge_leaves_other_buckets_alone(spark, tmp_path):
+    """A batch rewrites its own buckets only, a repeated one changes nothing, and a stale root is refused."""
+    schema = "run_id string, status string, started_at string, finished_at string, seq bigint"
+    folder, root, log = (str(tmp_path / n) for n in ("in", "runs", "log"))
+
+    def arrive(rows, checkpoint=log):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        feeds.run_incremental_merge(spark, feeds.read_feed(spark, folder, schema), root, checkpoint)
+        return {r.run_id: (r.status, r.started_at, r.seq) for r in feeds.merged_rows(spark, root).collect()}
+
+    first = arrive([(f"run-{i}", "s1", "t1", "t1", i) for i in range(300)])
+    before = {f: os.stat(f).st_mtime_ns for f in data_files(root)}
+    assert len(first) == 300 and 50 < len(before) <= feeds.MERGE_BUCKETS
+    second = arrive([("run-5", "s2", "t2", "t2", 1000), ("new", "s1", "t3", "t3", 1001)])
+    assert second == first | {"run-5": ("s2", "t1", 1000), "new": ("s1", "t3", 1001)}
+    after = {f: os.stat(f).st_mtime_ns for f in data_files(root)}
+    assert len(set(before.items()) & set(after.items())) >= len(before) - 2
+    assert arrive([("run-5", "s2", "t2", "t2", 1000)]) == second
+    with pytest.raises(Exception, match="another stream"):
+        arrive([("x", "s", "t", "t", 1)], checkpoint=str(tmp_path / "other"))
+    assert {r.run_id: (r.status, r.started_at, r.seq) for r in feeds.merged_rows(spark, root).collect()} == second
+
+
 @pytest.fixture
 def trees(tmp_path):
     contents = {
@@ -226,8 +299,7 @@ def test_whole_audit(spark, trees):
     }
     assert "bandit" not in {t["tool"] for t in summary["run-two"]["scanner_tooling"]}
     assert summary["run-one"]["top_security_risks"][0]["severity"] == "High"
-    folder = trees / "out" / "report" / "run_id=run-one"
-    text = "".join((folder / p).read_text() for p in sorted(os.listdir(folder)) if p.startswith("part-"))
+    text = "\n".join(r.value for r in documents.read_document(spark, f"{out}/report", "run-one").collect())
     headings = [line for line in text.splitlines() if line.startswith("#")]
     from auditweave.fixed_values import REPORT_HEADINGS
 
