@@ -15,12 +15,12 @@ FILES = """
 select doc_id, source as repo, concat('run-',source) run_id,
  case when d='' then n else concat(d,'/m',cast(doc_id as STR),'/',n) end rel_path, content, BYTES(content) size_bytes
 from (select *, case n
-   when 'package.json' then case when doc_id%5=0 then '{broken' else concat('{"dependencies":{"',kw,'":"1","left-pad":"1"},"devDependencies":{"react":"2"}}') end
-   when 'requirements.txt' then concat('# deps',chr(10),'fastapi==0.1',chr(10),chr(10),kw,'>=1',chr(10))
-   when 'pyproject.toml' then concat('[project]',chr(10),'dependencies = [',chr(10),'  "django>=4",',chr(10),'  "rich",',chr(10),']',chr(10))
-   when 'pom.xml' then '<dependency>a</dependency><dependency>b</dependency>'
+   when 'package.json' then case when doc_id%5=0 then concat('{broken ',body) else concat('{"dependencies":{"',kw,'":"1","left-pad":"1"},"devDependencies":{"react":"2"},"keywords":',JLIST(body),'}') end
+   when 'requirements.txt' then concat('# deps',chr(10),'fastapi==0.1',chr(10),chr(10),kw,'>=1',chr(10),'# ',replace(body,chr(10),concat(chr(10),'# ')),chr(10))
+   when 'pyproject.toml' then concat('[project]',chr(10),'dependencies = [',chr(10),'  "django>=4",',chr(10),'  "rich",',chr(10),']',chr(10),'# ',replace(body,chr(10),concat(chr(10),'# ')),chr(10))
+   when 'pom.xml' then concat('<dependency>a</dependency><dependency>b</dependency><!-- ',body,' -->')
    else text end content
- from (select *, PICK(doc_id%16; 'main.py','utils.py','index.js','package.json','requirements.txt','pyproject.toml','pom.xml','Dockerfile','server.ts','users.JSX','Main.java','uv.lock','go.sum','README.md','lib.rs','app.cs')KCIP n,
+ from (select *, coalesce(text,'') body, PICK(doc_id%16; 'main.py','utils.py','index.js','package.json','requirements.txt','pyproject.toml','pom.xml','Dockerfile','server.ts','users.JSX','Main.java','uv.lock','go.sum','README.md','lib.rs','app.cs')KCIP n,
    PICK(IDIV(doc_id,16)%12; '','src','src/services','api/routes','tests','tests/fixtures/sample','node_modules/pkg','docs','models','build','.venv/lib','services')KCIP d,
    PICK(IDIV(doc_id,16)%9; 'Express','nestjs','next','vue','fastapi','lodash','flask','spring-boot','django')KCIP kw from @documents))
 """
@@ -68,7 +68,9 @@ from (select *, cast(JGET(props,'$.k') as int) k from @events)
 REQUESTS = """
 select concat('run-',cast(c_custkey as STR)) run_id, PICK(c_custkey%3; 'github_url','local_path','ftp')KCIP source_type,
  case when c_custkey%4=0 then null when c_custkey%4=1 then concat('git@github.com:',c_mktsegment,'/r',cast(c_custkey as STR),'.git') when c_custkey%4=2 then concat('https://github.com/',c_mktsegment,'/r',cast(c_custkey as STR)) else 'https://example.org/x' end github_url,
- case when c_custkey%5=0 then null else concat('/data/r',cast(c_custkey as STR)) end local_path, PICK(c_custkey%5; 'openai','lmstudio',' LM-Studio ','lm_studio','other')KCIP provider, cast(1000+c_custkey%9000 as int) max_tokens, 4096 context_window
+ case when c_custkey%5=0 then null else concat('/data/r',cast(c_custkey as STR)) end local_path, PICK(c_custkey%5; 'openai','lmstudio',' LM-Studio ','lm_studio','other')KCIP provider, cast(1000+c_custkey%9000 as int) max_tokens, 4096 context_window,
+ concat('2024-01-0',cast(1+c_custkey%9 as STR),'T00:00:00Z') created_at, case when c_custkey%6=0 then null else concat('c',cast(c_custkey*7919 as STR)) end commit_id,
+ case when c_custkey%7=0 then null else concat('profile-',cast(c_custkey%3 as STR)) end profile, case when c_custkey%8=0 then null else concat('model-',cast(c_custkey%4 as STR)) end model
 from @customer
 """
 
@@ -102,6 +104,7 @@ def spark_text(view: str, sf_dir: str) -> str:
         {
             r"\bSTR\b": "string",
             r"\bJGET\(": "get_json_object(",
+            r"\bJLIST\((\w+)\)": r"to_json(array(\1))",
             r"\bBYTES\(": "octet_length(",
             _TABLE: lambda m: f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`",
         },
@@ -116,6 +119,7 @@ def oracle_text(view: str) -> str:
         {
             r"\bSTR\b": "varchar",
             r"\bJGET\(": "json_extract_string(",
+            r"\bJLIST\((\w+)\)": r"cast(to_json([\1]) as varchar)",
             r"\bBYTES\(": "strlen(",
             _TABLE: r"\1",
         },

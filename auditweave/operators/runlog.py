@@ -165,17 +165,14 @@ def stage_statuses(transitions: DataFrame) -> DataFrame:
     return last.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("analysis_status"))
 
 
-#: What a request may say about its run besides source and provider.
-MANIFEST_FIELDS = ["created_at", "commit_id", "profile", "model", "prompt_versions"]
-
-
 def run_manifest(requests: DataFrame, statuses: DataFrame, failures: DataFrame, settings: dict) -> DataFrame:
     """Nested manifest per run from its request, states and failures.
 
-    ``settings`` holds constants of the job: versions, retries and timeouts.
-    Every input has at most one row per run. Of ``MANIFEST_FIELDS`` those that
-    the requests have are taken over.
+    ``settings`` holds constants of the job: versions of tools and prompts, retries and timeouts. Every
+    input has at most one row per run. ``created_at``, ``commit_id``, ``profile`` and ``model`` of a
+    request may be null or absent.
     """
+    optional = {c: F.col(c) if c in requests.columns else F.lit(None).cast("string") for c in ("created_at", "commit_id", "profile", "model")}
     url_name = F.nullif(F.regexp_extract("github_url", V.HOSTING_URL_PATTERN, 2), F.lit(""))
     local = F.col("source_type") == "local_path"
     folder = F.regexp_replace("local_path", "/+$", "")
@@ -196,14 +193,17 @@ def run_manifest(requests: DataFrame, statuses: DataFrame, failures: DataFrame,
     return joined.select(
         "run_id",
         F.lit(settings["schema_version"]).alias("schema_version"),
-        F.struct(F.col("_name").alias("repo_name"), place.alias("resolved_path")).alias("repo"),
+        optional["created_at"].alias("created_at"),
+        F.struct(F.col("_name").alias("repo_name"), place.alias("resolved_path"), optional["commit_id"].alias("git_commit_sha")).alias("repo"),
         F.struct(
+            optional["profile"].alias("profile"),
             lookup(F.lower(strip(F.col("provider"))), V.PROVIDER_SPELLINGS).alias("provider_type"),
+            optional["model"].alias("model"),
             F.col("max_tokens").alias("max_tokens"),
         ).alias("provider"),
         literal_map(settings["tool_versions"]).alias("tool_versions"),
+        literal_map(settings["prompt_versions"]).alias("prompt_versions"),
         *constants.values(),
         F.coalesce("analysis_status", no_map).alias("analysis_status"),
         F.transform_values(F.coalesce("branch_failures", no_map), lambda _k, v: redacted(v)).alias("branch_failures"),
-        *[F.col(c) for c in MANIFEST_FIELDS if c in requests.columns],
     )

@@ -31,6 +31,7 @@ TIER_BUDGETS = {"scanner": 2000, "security": 150, "roadmap": 20}
 MANIFEST_SETTINGS = {
     "schema_version": SCHEMA_VERSION,
     "workspace_root": "/workspace",
+    "prompt_versions": {"architecture": "v1", "roadmap": "v2", "scanner": "v1"},
     "tool_versions": {"python": "3.12", "semgrep": "1.0"},
     "retries": {"max_attempts": 3, "backoff_seconds": 1.0, "jitter_seconds": 0.2},
     "timeouts": {"scanner_seconds": 900, "agent_seconds": 600},

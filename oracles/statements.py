@@ -37,10 +37,10 @@ _REPO_NAME = r"""case when source_type = 'local_path' then regexp_extract(rtrim(
 _STATUS_MAP = "(select string_agg(node_id || '=' || state, '|' order by node_id) from latest l where l.run_id = r.run_id)"
 STATEMENTS["manifest_store"] = f"select run_id, {_REPO_NAME} as repo_name, coalesce({_STATUS_MAP}, '') as analysis_status from v_requests r"
 _REDACTED_FAILURES = "(select string_agg(branch || '=' || branch || ' stopped, token=[REDACTED]', '|' order by branch) from last_failures f where f.run_id = r.run_id)"
-STATEMENTS["run_manifest"] = f"""select run_id, '{SCHEMA_VERSION}' as schema_version, name as repo_repo_name,
+STATEMENTS["run_manifest"] = f"""select run_id, '{SCHEMA_VERSION}' as schema_version, created_at, name as repo_repo_name, commit_id as repo_git_commit_sha, profile as provider_profile, model as provider_model,
     case when source_type = 'local_path' then rtrim(local_path, '/') else '/workspace/' || name || '-' || run_id end as repo_resolved_path,
     {case_map('lower(trim(provider))', V.PROVIDER_SPELLINGS)} as provider_provider_type, max_tokens::bigint as provider_max_tokens,
-    'python=3.12|semgrep=1.0' as tool_versions, 3::bigint as retries_max_attempts, 1.0::double as retries_backoff_seconds,
+    'python=3.12|semgrep=1.0' as tool_versions, 'architecture=v1|roadmap=v2|scanner=v1' as prompt_versions, 3::bigint as retries_max_attempts, 1.0::double as retries_backoff_seconds,
     0.2::double as retries_jitter_seconds, 900::bigint as timeouts_scanner_seconds, 600::bigint as timeouts_agent_seconds,
     coalesce({_STATUS_MAP}, '') as analysis_status, coalesce({_REDACTED_FAILURES}, '') as branch_failures
     from (select *, {_REPO_NAME} as name from v_requests) r"""
