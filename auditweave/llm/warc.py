@@ -9,6 +9,7 @@ successful tasks return says which files count.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_BYTES = 1 << 20
+#: Records are sampled in pieces of this many bytes.
+PIECE_BYTES = 4 << 10
 LEVEL = 3
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 RECORD_SCHEMA = pa.schema(
@@ -79,25 +82,31 @@ def parse_record(record: bytes) -> dict:
     return out
 
 
+def _dictionary(records: list[bytes]):
+    """A dictionary of pieces from all over the records, so that few large records give as many as many small ones.
+
+    Where the trainer finds too little in common, the first pieces themselves are the dictionary.
+    """
+    import zstandard
+
+    total = sum(map(len, records))
+    step = max(1, total // SAMPLE_BYTES)
+    sample = [r[at : at + PIECE_BYTES] for r in records for at in range(0, len(r), PIECE_BYTES)][::step]
+    size = min(DICTIONARY_BYTES, max(256, total // 8))
+    if len(sample) >= 16:
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.train_dictionary(size, sample, k=256 if size >= 4096 else 64, d=8)
+    first = b"".join(piece[: max(64, size // len(sample))] for piece in sample[: size // 64])[:size]
+    return zstandard.ZstdCompressionDict(first, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def archive_bytes(records: list[bytes]) -> bytes:
-    """An archive of ``records``, its dictionary in the leading frame (empty if too few records train one)."""
+    """An archive of ``records``: their dictionary in the leading skippable frame, then a frame a record."""
     import zstandard
 
-    sample, total = [], 0
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    for record in records[::step]:
-        if total >= SAMPLE_BYTES:
-            break
-        sample.append(record)
-        total += len(record)
-    trained = None
-    if len(sample) >= 16 and total >= 8 * DICTIONARY_BYTES:
-        try:
-            trained = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8)
-        except zstandard.ZstdError:  # the sample has nothing in common
-            trained = None
-    raw = trained.as_bytes() if trained else b""
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True) if trained else zstandard.ZstdCompressor(level=LEVEL)
+    trained = _dictionary(records)
+    raw = trained.as_bytes()
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
     return struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw + b"".join(press.compress(r) for r in records)
 
 
@@ -203,7 +212,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, RECORDS)
+    # By number, as adaptive execution would put the short list of paths into one task.
+    total = archives.count()
+    tasks = max(1, min(total, max(4 * archives.sparkSession.sparkContext.defaultParallelism, total // 8)))
+    return archives.select("path").repartition(tasks).mapInArrow(run, RECORDS)
 
 
 #: The query's rows in DuckDB's SQL; base32 from 20-bit pieces of the hexadecimal digest.

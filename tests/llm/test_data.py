@@ -89,6 +89,23 @@ def test_mixture_odd_rows(spark):
 
 
 # ------------------------------------------------------------------ archives
+def test_every_archive_has_a_dictionary():
+    """Few large records, many small ones, one alone, and records with nothing in common."""
+    rng = random.Random(8)
+    words = [f"word{rng.randrange(999)}" for _ in range(60_000)]
+    large = [(" ".join(rng.sample(words, 30_000))).encode() for _ in range(3)]
+    small = [b"WARC/1.1 common head " + " ".join(rng.choices(words, k=4)).encode() for _ in range(3000)]
+    for records in (large, large[:1], small, small[:3], [rng.randbytes(5000) for _ in range(40)], [b"x"], [b""]):
+        data = warc.archive_bytes(records)
+        magic, size = struct.unpack_from("<II", data)
+        assert magic == 0x184D2A5D and list(warc.read_archive(data)) == records
+        assert size > 0 or not any(records)
+    import zstandard
+
+    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in small)
+    assert len(warc.archive_bytes(small)) < 0.8 * plain
+
+
 def test_archive_round_trip():
     rng = random.Random(1)
     records = [b"WARC/1.1\r\nhead: same\r\n\r\n" + bytes(rng.choice(b"abcdefgh <>/") for _ in range(rng.randrange(5000))) for _ in range(400)]
