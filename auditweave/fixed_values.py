@@ -137,6 +137,9 @@ DEFAULT_TOKEN_BUDGETS = {
     "scanner": 8000, "architecture": 6000, "security": 6000, "performance": 6000, "roadmap": 6000,
 }
 TOKEN_PATTERN = "[A-Za-z0-9_]+"
+TOOL_DETAILS_LIMIT = 500
+MINIMAL_MODE = "minimal"
+MINIMAL_NOTE = "Context reduced to fit branch token budget."
 
 # Redaction patterns in the order they apply; True keeps the label in group 1.
 REDACTED = "[REDACTED]"

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from auditweave import fixed_values as V
 from auditweave import fixtures
-from auditweave.functions.text import token_counter
+from auditweave.functions.text import token_count, token_counter
 from auditweave.operators import checks, compaction, evidence, inventory, profiling, quality, redaction, reporting, runlog
 from auditweave.plans import inputs
 from auditweave.session import shared_folder
@@ -27,7 +27,7 @@ QUERIES: dict[str, Query] = {}
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 SCHEMA_VERSION = "1.0.0"
 EVIDENCE_TOTAL, EVIDENCE_PER_SOURCE, DEPENDENCY_TOP, MINIMAL_TOP = 10, {"semgrep": 3, "bandit": 2, "osv": 4, "scanner_heuristic": 2}, 3, 2
-TIER_BUDGETS = {"scanner": 2000, "security": 150, "roadmap": 20}
+TIER_BUDGETS = {"scanner": 2500, "security": 1400, "roadmap": 760}
 MANIFEST_SETTINGS = {
     "schema_version": SCHEMA_VERSION,
     "workspace_root": "/workspace",
@@ -611,13 +611,44 @@ def _(spark, sf_dir):
     return top.select("run_id", "position", "severity", "vulnerability_id", "package", "version")
 
 
+def _context_runs(spark, sf_dir):
+    """Runs of the evidence with what every payload repeats: profile, file counts, state of the dependency scan."""
+    stats = inventory.scan_stats(inventory.skip_reason(inputs.files_by_run(spark, sf_dir), inputs.SMALL_POLICY))
+    counts = ["total_files_seen", "files_scanned", "files_skipped"]
+    runs = checks.runs_of(fixtures.evidence(spark, sf_dir)).join(stats.select("repo", *counts), "repo", "left")
+    scan = F.when(F.col("run_id").endswith("-3"), "failed").otherwise("completed")
+    return runs.select(
+        "run_id", "repo", F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("repo").alias("repo_name")).alias("repo_profile"),
+        F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in counts]).alias("scan_stats"), scan.alias("vulnerability_scan_status"),
+    )
+
+
+def _context_tables(spark, sf_dir):
+    """Folders, manifests and tool runs of the runs, from their evidence and reports."""
+    found = fixtures.evidence(spark, sf_dir)
+    keys = found.select("run_id", "signal_type", "file").distinct()
+    folders = keys.select("run_id", F.concat_ws("/", F.split_part("file", F.lit("/"), F.lit(1)), "signal_type").alias("path")).distinct()
+    folders = folders.withColumn("purpose_guess", F.lit("Source folder")).withColumn("confidence", F.lit(0.5))
+    manifests = keys.filter("signal_type = 'dependency'").select(
+        "run_id", F.col("file").alias("path"), F.lit("npm").alias("ecosystem"), F.length("file").cast("bigint").alias("direct_dependency_count")
+    )
+    tools = found.groupBy("run_id", F.col("source").alias("tool")).agg(F.count(F.lit(1)).alias("n")).select(
+        "run_id", "tool", F.when(F.col("n") % 3 == 0, "failed").otherwise("completed").alias("status"),
+        F.when(F.col("n") % 3 > 0, F.lit(0)).alias("exit_code"), F.repeat(F.concat(F.lit("line "), F.col("n").cast("string"), F.lit(" ")), 100).alias("details"),
+    )
+    return {"folders": folders, "manifests": manifests, "tool_runs": tools}
+
+
 @query("minimal_context")
 def _(spark, sf_dir):
-    runs = checks.runs_of(fixtures.evidence(spark, sf_dir))
-    context = compaction.minimal_context(runs, inputs.dependencies(spark, sf_dir), MINIMAL_TOP)
-    return context.select(
-        "run_id", "repo", "mode", "dependency_findings",
-        F.transform("vulnerability_findings", lambda d: d["vulnerability_id"]).alias("top"),
+    tables_of = _context_tables(spark, sf_dir)
+    context = compaction.minimal_context(
+        _context_runs(spark, sf_dir), inputs.dependencies(spark, sf_dir), MINIMAL_TOP, tables_of["manifests"], tables_of["tool_runs"]
+    )
+    return context.join(compaction.payload_json(context), "run_id").select(
+        "run_id", "repo", "mode", "dependency_findings", "manifest_count", F.transform("vulnerability_findings", lambda d: d["vulnerability_id"]).alias("top"),
+        F.transform("scanner_tool_runs", lambda t: F.concat_ws(":", t["tool"], t["status"], F.length(t["details"]).cast("string"))).alias("tools"),
+        F.get_json_object("payload", "$.scan_stats.files_scanned").cast("bigint").alias("files_scanned"), token_count(F.col("payload")).alias("payload_tokens"),
     )
 
 
@@ -629,14 +660,17 @@ def _(spark, sf_dir):
 
 @query("compacted_context")
 def _(spark, sf_dir):
-    found = _identified(spark, sf_dir)
     context = compaction.compacted_context(
-        checks.runs_of(found), found, inputs.dependencies(spark, sf_dir), EVIDENCE_TOTAL, EVIDENCE_PER_SOURCE, DEPENDENCY_TOP
+        _context_runs(spark, sf_dir), _identified(spark, sf_dir), inputs.dependencies(spark, sf_dir), EVIDENCE_TOTAL, EVIDENCE_PER_SOURCE, DEPENDENCY_TOP,
+        **_context_tables(spark, sf_dir),
+    )
+    shown = context.withColumn("evidence_ids", F.transform("evidence_index", lambda e: e["id"])).withColumn(
+        "vulnerability_ids", F.transform("vulnerability_findings", lambda d: d["vulnerability_id"])
     )
-    return (
-        context.withColumn("evidence_ids", F.transform("evidence_index", lambda e: e["id"]))
-        .withColumn("vulnerability_ids", F.transform("vulnerability_findings", lambda d: d["vulnerability_id"]))
-        .drop("evidence_index", "vulnerability_findings")
+    shown = shown.withColumns({"folders": F.transform("folders", lambda x: x["path"]), "manifests": F.transform("manifests", lambda x: x["path"])})
+    counted = compaction.payload_json(context).select("run_id", token_count(F.col("payload")).alias("payload_tokens"))
+    return shown.join(counted, "run_id").select(
+        "run_id", "repo", "evidence_ids", "vulnerability_ids", "folders", "manifests", "payload_tokens", *compaction.COMPACTION_COUNTS
     )
 
 
@@ -659,22 +693,10 @@ def _(spark, sf_dir):
 
 def _sizes(spark, sf_dir):
     """Tokens of the full, compact and minimal payload per run."""
-    found, deps = _identified(spark, sf_dir), inputs.dependencies(spark, sf_dir)
-
-    def evidence_piece(rows):
-        return rows.select("run_id", F.concat_ws(" ", "file", "source", "signal_type", "summary").alias("piece"))
-
-    def dependency_piece(rows):
-        return rows.select("run_id", F.concat_ws(" ", "package", "ecosystem", "version", "vulnerability_id").alias("piece"))
-
-    full = compaction.piece_tokens(evidence_piece(found).unionByName(dependency_piece(deps)), "full_tokens")
-    kept = compaction.evidence_cap(found, EVIDENCE_TOTAL, EVIDENCE_PER_SOURCE)
-    compact = compaction.piece_tokens(
-        evidence_piece(kept).unionByName(dependency_piece(compaction.dep_top_n(deps, DEPENDENCY_TOP))), "compact_tokens"
+    return compaction.context_sizes(
+        _context_runs(spark, sf_dir), _identified(spark, sf_dir), inputs.dependencies(spark, sf_dir), EVIDENCE_TOTAL, EVIDENCE_PER_SOURCE, DEPENDENCY_TOP,
+        MINIMAL_TOP, **_context_tables(spark, sf_dir),
     )
-    minimal = compaction.piece_tokens(dependency_piece(compaction.dep_top_n(deps, MINIMAL_TOP)), "minimal_tokens")
-    joined = full.join(compact, "run_id", "left").join(minimal, "run_id", "left")
-    return joined.na.fill(0, ["compact_tokens", "minimal_tokens"])
 
 
 @query("context_tier")

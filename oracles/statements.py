@@ -204,25 +204,75 @@ _TOP_DEPS = f"(select *, row_number() over (partition by run_id order by {_DEP_O
 _LEAST_DEPS = f"""(select *, row_number() over (partition by run_id order by {_DEP_RANK}, vulnerability_id, package, l_orderkey, l_linenumber) as n
     from deps qualify n <= {MINIMAL_TOP})"""
 STATEMENTS["dep_top_n"] = f"select run_id, n as position, severity, vulnerability_id, package, version from {_TOP_DEPS.format(n=DEPENDENCY_TOP)}"
-STATEMENTS["minimal_context"] = f"""select run_id, repo, 'minimal' as mode, (select count(*) from deps d where d.run_id = r.run_id) as dependency_findings,
-    coalesce((select string_agg(vulnerability_id, '|' order by n) from {_LEAST_DEPS} d where d.run_id = r.run_id), '') as top from runs r"""
+_COUNT_NAMES = ["total_files_seen", "files_scanned", "files_skipped"]
+_CONTEXT_RUNS = f"""(select r.run_id, r.repo, coalesce(total_files_seen, 0) as total_files_seen, coalesce(files_scanned, 0) as files_scanned,
+    coalesce(files_skipped, 0) as files_skipped, case when r.run_id like '%-3' then 'failed' else 'completed' end as scan
+    from runs r left join (select 'repo-' || (doc_id % 100) as repo, count(*) as total_files_seen, count(*) filter (reason is null) as files_scanned,
+      count(*) filter (reason is not null) as files_skipped from labelled group by 1) s on s.repo = r.repo)"""
+_FOLDERS = "(select distinct run_id, split_part(file, '/', 1) || '/' || signal_type as path from v_evidence)"
+_MANIFESTS = "(select distinct run_id, file as path from v_evidence where signal_type = 'dependency')"
+_TOOLS = """(select run_id, source as tool, case when count(*) % 3 = 0 then 'failed' else 'completed' end as status,
+    case when count(*) % 3 > 0 then 0 end as exit_code, repeat('line ' || count(*) || ' ', 100) as details from v_evidence group by run_id, source)"""
+_SHORT = "case when length(details) > 500 then left(details, 497) || '...' else details end"
+
+
+def _json_tokens(fields: dict[str, str]) -> str:
+    """Tokens of a JSON object of these fields."""
+    return _TOKENS.format(x="cast(to_json({" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}) as varchar)")
+
+
+_TOKENS = "len(regexp_extract_all({x}, '[A-Za-z0-9_]+'))"
+_HEAD_FIELDS = {"schema_version": f"'{SCHEMA_VERSION}'", "run_id": "run_id", "repo_profile": "{'repo_name': repo}", "scan_stats": "{" + ", ".join(f"'{c}': {c}" for c in _COUNT_NAMES) + "}"}
+_DIGEST = "sha256(concat_ws(':', file, line_start, line_end, source, signal_type, summary))"
+_ITEM_FIELDS = {"id": f"substr({_DIGEST}, 1, 16)", "file": "file", "line_start": "line_start", "line_end": "line_end", "snippet_hash": _DIGEST, "source": "source", "signal_type": "signal_type", "summary": "summary", "confidence": "confidence"}
+_DEP_FIELDS = {"package": "package", "ecosystem": "ecosystem", "version": "version", "vulnerability_id": "vulnerability_id", "aliases": "[]", "severity": "severity", "fixed_version": "fixed_version", "source_file": "source_file"}
+_FOLDER_FIELDS = {"path": "path", "purpose_guess": "'Source folder'", "confidence": "0.5::double"}
+_MANIFEST_FIELDS = {"path": "path", "ecosystem": "'npm'", "direct_dependency_count": "length(path)"}
+_TOOL_FIELDS = {"tool": "tool", "status": "status", "exit_code": "exit_code", "details": "details"}
+
+
+def _tier_tokens(tier: str) -> str:
+    """(run_id, tier, tokens): a row for every item of the payloads of a tier, and one for the rest."""
+    minimal = tier == "minimal"
+    block = {
+        "full": {},
+        "compact": {"context_compaction": "{'enabled': true, 'original_evidence_count': 0, 'compacted_evidence_count': 0, 'original_dependency_findings': 0, 'compacted_dependency_findings': 0}"},
+        "minimal": {"context_compaction": f"{{'enabled': true, 'mode': 'minimal', 'note': {text(V.MINIMAL_NOTE)}}}"},
+    }[tier]
+    summary = "{'vulnerability_scan_status': scan, 'vulnerability_findings': [], " + ("'manifest_count': 0}" if minimal else "'manifests': []}")
+    lists = {"dependency_summary": summary, "evidence_index": "[]", "scanner_tool_runs": "[]"} | ({} if minimal else {"folders": "[]"})
+    tools = _TOOL_FIELDS if tier == "full" else _TOOL_FIELDS | {"details": _SHORT}
+    rows = [
+        (_CONTEXT_RUNS, _HEAD_FIELDS | lists | block),
+        (_TOOLS, tools),
+        ({"full": "deps", "compact": _TOP_DEPS.format(n=DEPENDENCY_TOP), "minimal": _LEAST_DEPS}[tier], _DEP_FIELDS),
+    ]
+    if not minimal:
+        rows += [(_FOLDERS, _FOLDER_FIELDS), (_MANIFESTS, _MANIFEST_FIELDS), ("v_evidence" if tier == "full" else _CAPPED, _ITEM_FIELDS)]
+    return " union all ".join(f"select run_id, '{tier}' as tier, {_json_tokens(fields)} as tokens from {source} x" for source, fields in rows)
+
+
+STATEMENTS["minimal_context"] = f"""with sizes as (select run_id, sum(tokens)::bigint as payload_tokens from ({_tier_tokens('minimal')}) group by run_id)
+    select r.run_id, repo, 'minimal' as mode, (select count(*) from deps d where d.run_id = r.run_id) as dependency_findings,
+    (select count(*) from {_MANIFESTS} m where m.run_id = r.run_id) as manifest_count,
+    coalesce((select string_agg(vulnerability_id, '|' order by n) from {_LEAST_DEPS} d where d.run_id = r.run_id), '') as top,
+    (select string_agg(concat_ws(':', tool, status, length({_SHORT})), '|' order by tool) from {_TOOLS} t where t.run_id = r.run_id) as tools,
+    files_scanned, payload_tokens from {_CONTEXT_RUNS} r join sizes on sizes.run_id = r.run_id"""
 STATEMENTS["truncate_details"] = """select conv_id, turn, case when length(text) > 500 then left(text, 497) || '...' else text end as details from conversations"""
 STATEMENTS["compacted_context"] = f"""with kept as (select run_id, string_agg(id, '|' order by place) as ids, count(*) as n from {_CAPPED} group by run_id),
-    top as (select run_id, string_agg(vulnerability_id, '|' order by n) as ids, count(*) as m from {_TOP_DEPS.format(n=DEPENDENCY_TOP)} group by run_id)
-    select r.run_id, r.repo, coalesce(k.ids, '') as evidence_ids, coalesce(t.ids, '') as vulnerability_ids,
+    top as (select run_id, string_agg(vulnerability_id, '|' order by n) as ids, count(*) as m from {_TOP_DEPS.format(n=DEPENDENCY_TOP)} group by run_id),
+    sizes as (select run_id, sum(tokens)::bigint as payload_tokens from ({_tier_tokens('compact')}) group by run_id)
+    select r.run_id, r.repo, coalesce(k.ids, '') as evidence_ids, coalesce(t.ids, '') as vulnerability_ids, payload_tokens,
+      coalesce((select string_agg(path, '|' order by path) from {_FOLDERS} f where f.run_id = r.run_id), '') as folders,
+      coalesce((select string_agg(path, '|' order by path) from {_MANIFESTS} m where m.run_id = r.run_id), '') as manifests,
       (select count(*) from v_evidence e where e.run_id = r.run_id) as original_evidence_count, coalesce(k.n, 0) as compacted_evidence_count,
       (select count(*) from deps d where d.run_id = r.run_id) as original_dependency_findings, coalesce(t.m, 0) as compacted_dependency_findings
-    from runs r left join kept k on k.run_id = r.run_id left join top t on t.run_id = r.run_id"""
-_TOKENS = "len(regexp_extract_all({x}, '[A-Za-z0-9_]+'))"
+    from runs r left join kept k on k.run_id = r.run_id left join top t on t.run_id = r.run_id join sizes s on s.run_id = r.run_id"""
 STATEMENTS["token_counts"] = f"select source, lang, sum({_TOKENS.format(x='text')})::bigint as tokens, count(*) as documents from documents group by 1, 2"
 STATEMENTS["token_udf"] = STATEMENTS["token_counts"]
-_E_PIECE = _TOKENS.format(x="concat_ws(' ', file, source, signal_type, summary)")
-_D_PIECE = _TOKENS.format(x="concat_ws(' ', package, ecosystem, version, vulnerability_id)")
-STATEMENTS["context_tier"] = f"""with pieces as (select run_id, 'full' as kind, {_E_PIECE} as t from v_evidence union all select run_id, 'full', {_D_PIECE} from deps
-      union all select run_id, 'compact', {_E_PIECE} from {_CAPPED} union all select run_id, 'compact', {_D_PIECE} from {_TOP_DEPS.format(n=DEPENDENCY_TOP)}
-      union all select run_id, 'minimal', {_D_PIECE} from {_TOP_DEPS.format(n=MINIMAL_TOP)}),
-    sizes as (select run_id, coalesce(sum(t) filter (kind = 'full'), 0)::bigint as full_tokens, coalesce(sum(t) filter (kind = 'compact'), 0)::bigint as compact_tokens,
-      coalesce(sum(t) filter (kind = 'minimal'), 0)::bigint as minimal_tokens from pieces group by run_id),
+STATEMENTS["context_tier"] = f"""with pieces as ({' union all '.join(_tier_tokens(t) for t in ('full', 'compact', 'minimal'))}),
+    sizes as (select p.run_id, {', '.join(f"coalesce(sum(tokens) filter (tier = '{t}'), 0)::bigint as {t}_tokens" for t in ('full', 'compact', 'minimal'))}
+      from pieces p join runs r on r.run_id = p.run_id group by p.run_id),
     budgets as ({values_table(list(TIER_BUDGETS.items()), 'stage, budget')})
     select run_id, full_tokens, compact_tokens, minimal_tokens, stage, budget::bigint as budget,
       case when full_tokens <= budget then 'full' when compact_tokens <= budget then 'compact' when minimal_tokens <= budget then 'minimal' else 'over_budget' end as tier

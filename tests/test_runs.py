@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,43 @@ def test_nested_redaction_keeps_shape_and_keys(spark):
     assert out.orderBy("id").collect()[1].body is None
 
 
+def test_sizes_are_the_tokens_of_the_payloads(spark):
+    """Against the JSON texts: runs with many rows, ties, caps that bite, and a run without anything."""
+    generator = random.Random(11)
+    pick = generator.choice
+    rows = [
+        (pick(["a", "a", "a", "b"]), i, f"e-{i}", f"f_{pick('xyz')}.py", n := generator.randrange(1, 4), n, f"h{i}", pick(["bandit", "semgrep", "osv", "rg"]), "vuln", pick(["one", "two words", "three more words", 'say "x"']), pick([0.5, 0.85]))
+        for i in range(600)
+    ]
+    found = spark.createDataFrame(rows, EVIDENCE).repartition(5)
+    deps = spark.createDataFrame(
+        [(pick("aab"), i, f"pkg {pick('pq')}", "PyPI", f"{i % 5}.0", f"GHSA-{pick('uvw')}", pick(["High", "Low", "Unknown"]), pick([None, "2.0"]), "r.txt") for i in range(300)], DEPENDENCIES
+    )
+    runs = spark.createDataFrame([(r, "1.0.0", "completed") for r in ("a", "b", "bare")], "run_id string, schema_version string, vulnerability_scan_status string")
+    runs = runs.withColumn("repo_profile", F.struct(F.lit("my repo").alias("repo_name"), F.array(F.lit("Go")).alias("languages_detected"))).withColumn("scan_stats", F.struct(F.lit(3).alias("files_scanned")))
+    more = {
+        "folders": spark.createDataFrame([("a", f"d{i}", "Source folder", 0.5) for i in range(7)], "run_id string, path string, purpose_guess string, confidence double"),
+        "manifests": spark.createDataFrame([("a", "package.json", "npm", 12), ("b", "go.mod", "go", 1)], "run_id string, path string, ecosystem string, direct_dependency_count bigint"),
+        "tool_runs": spark.createDataFrame([("a", "bandit", "failed", None, "many words " * 90), ("a", "osv", "completed", 0, None), ("b", "osv", "completed", 1, "x")], "run_id string, tool string, status string, exit_code int, details string"),
+    }
+    limits = {"total": 40, "per_source": {"bandit": 9, "semgrep": 20, "osv": 2}, "dependency_limit": 25}
+    sizes = {r.run_id: r for r in compaction.context_sizes(runs, found, deps, **limits, minimal_limit=6, **more).collect()}
+    assert sorted(sizes) == ["a", "b", "bare"]
+
+    def tokens(context):
+        return {r.run_id: len(re.findall("[A-Za-z0-9_]+", r.payload)) for r in compaction.payload_json(context).collect()}
+
+    assert {r: s.compact_tokens for r, s in sizes.items()} == tokens(compaction.compacted_context(runs, found, deps, **limits, **more))
+    assert {r: s.minimal_tokens for r, s in sizes.items()} == tokens(compaction.minimal_context(runs, deps, 6, more["manifests"], more["tool_runs"]))
+    # Nothing is capped: the payload is the full one but for its note on the compaction and the details that are cut.
+    unique = found.withColumn("summary", F.concat("summary", F.lit(" "), "ord"))
+    whole = {"total": 10_000, "per_source": {}, "dependency_limit": 10_000}
+    plain = more | {"tool_runs": more["tool_runs"].withColumn("details", F.left("details", F.lit(400)))}
+    sizes = {r.run_id: r.full_tokens for r in compaction.context_sizes(runs, unique, deps, **whole, **plain).collect()}
+    note = 3 + 2 * len(compaction.COMPACTION_COUNTS)
+    assert {r: n + note for r, n in sizes.items()} == tokens(compaction.compacted_context(runs, unique, deps, **whole, **plain))
+
+
 LOG = "run_id string, node_id string, to_state string, seq bigint, ts timestamp"
 
 
