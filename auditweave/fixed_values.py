@@ -121,6 +121,9 @@ PROVIDER_SPELLINGS = {
     "openai": "openai", "lmstudio": "lm_studio", "lm-studio": "lm_studio", "lm_studio": "lm_studio",
 }
 
+# Ignore files inside a tree, weakest first.
+IGNORE_FILES = [".gitignore", ".ignore", ".rgignore"]
+
 # Evidence selection of the branches.
 SECURITY_SOURCES = ["semgrep", "bandit", "osv"]
 SECURITY_SIGNALS = ["secret", "vuln", "auth", "route"]

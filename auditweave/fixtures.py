@@ -25,6 +25,13 @@ from (select *, case n
    PICK(IDIV(doc_id,16)%9; 'Express','nestjs','next','vue','fastapi','lodash','flask','spring-boot','django')KCIP kw from @documents))
 """
 
+IGNORE_FILES = """
+select repo, run_id, concat(folder, case when folder='' then '' else '/' end, case when rank%3=2 then '.ignore' else '.gitignore' end) rel_path,
+ PICK(rank%6; '*.md','# none','/m1*','m?[0-4]/','**/index.js','server.*')KCIP first_line, PICK(rank%5; '!README.md','build/','!m1?3','tests/**','/src/services/')KCIP second_line
+from (select *, length(folder)+length(repo) rank from (select distinct repo, run_id, case when d in ('src/services','tests/fixtures/sample','node_modules/pkg') then '' else d end folder
+  from (select source as repo, concat('run-',source) run_id, PICK(IDIV(doc_id,16)%12; '','src','src/services','api/routes','tests','tests/fixtures/sample','node_modules/pkg','docs','models','build','.venv/lib','services')KCIP d from @documents)))
+"""
+
 EVIDENCE = """
 select event_id ord, concat('run-',cast(user_id as STR),'-',cast(k%4 as STR)) run_id, concat('repo-',cast(user_id as STR)) repo,
  case event_type when 'error' then 'semgrep' when 'click' then 'bandit' when 'view' then 'osv' when 'purchase' then 'scanner_heuristic' else 'rg' end source,
@@ -76,6 +83,7 @@ from @customer
 
 VIEWS = {
     "v_files": FILES,
+    "v_ignore": IGNORE_FILES,
     "v_evidence": EVIDENCE,
     "v_findings": FINDINGS,
     "v_dep": DEPENDENCIES,
@@ -134,6 +142,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files")
 
 
+def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_ignore")
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_evidence")
 

@@ -108,3 +108,27 @@ def matches_globs(path: Column, globs: list[str]) -> Column:
         hit = path.rlike("|".join(regexes))
         decided = F.when(hit, F.lit(positive)).otherwise(decided) if not positive or len(runs) > 1 else hit
     return decided
+
+
+def glob_regex_of(glob: Column) -> Column:
+    """``glob_regex`` of a column of patterns, for whole paths relative to the pattern's folder.
+
+    '**' as a whole segment crosses slashes; '*', '?' and '[...]' do not. A pattern without a slash inside
+    matches at any depth. Unlike ``glob_regex`` it does not match what lies below a match.
+    """
+    body = F.regexp_replace(glob, "^/+|/+$", "")
+    anchored = glob.startswith("/") | body.contains("/")
+    some, rest, any_depth = "\x01", "\x02", "\x03"
+    out = F.regexp_replace(body, r"([.+^$(){}|])", r"\\$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"\[!", "[^"), r"\[\\\^", "[^")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?<=^|/)\*\*/", any_depth), r"(?<=^|/)\*\*$", rest)
+    out = F.regexp_replace(F.regexp_replace(out, r"(?<!\\)\*+", some), r"(?<!\\)\?", "[^/]")
+    for mark, regex in ((some, "[^/]*"), (rest, ".+"), (any_depth, "(?:.*/)?")):
+        out = F.replace(out, F.lit(mark), F.lit(regex))
+    return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), out, F.lit("$"))
+
+
+def ancestors(path: Column) -> Column:
+    """All folders above a path, the tree's root ('') first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))

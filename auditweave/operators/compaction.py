@@ -227,15 +227,14 @@ def _dependency_sizes(dependencies: DataFrame, limit: int, minimal: int, count:
     """
     severity = rank_of(F.col("severity"), V.DEPENDENCY_SEVERITIES, 99).alias("severity")
     rows = dependencies.select(
-        "run_id", salt_of(F.col("ord"), salts=DEFAULT_SALTS).alias("salt"), count(_json(*_dependency_fields(dependencies))).alias("tokens"),
-        F.struct(severity, *DEPENDENCY_ORDER, "ord").alias("o1"), F.struct(severity, *MINIMAL_ORDER, "ord").alias("o2"),
-    )
+        "run_id", salt_of(F.col("ord"), salts=DEFAULT_SALTS).alias("salt"), severity, *DEPENDENCY_ORDER, "ord", count(_json(*_dependency_fields(dependencies))).alias("tokens")
+    )
     part = Window.partitionBy("run_id", "salt")
-    ranked = rows.withColumn("n1", F.row_number().over(part.orderBy("o1"))).withColumn("n2", F.row_number().over(part.orderBy("o2")))
+    orders = [["severity", *DEPENDENCY_ORDER, "ord"], ["severity", *MINIMAL_ORDER, "ord"]]
+    ranked = rows.withColumn("n1", F.row_number().over(part.orderBy(*orders[0]))).withColumn("n2", F.row_number().over(part.orderBy(*orders[1])))
     listed = ranked.groupBy("run_id").agg(
         F.sum("tokens").alias("full"),
-        F.collect_list(F.when(F.col("n1") <= limit, F.struct("o1", "tokens"))).alias("l1"),
-        F.collect_list(F.when(F.col("n2") <= minimal, F.struct("o2", "tokens"))).alias("l2"),
+        *[F.collect_list(F.when(F.col(f"n{i}") <= most, F.struct(*orders[i - 1], "tokens"))).alias(f"l{i}") for i, most in ((1, limit), (2, minimal))],
     )
     return listed.select("run_id", "full", _top_tokens(F.col("l1"), limit).alias("compact"), _top_tokens(F.col("l2"), minimal).alias("minimal"))
 
@@ -247,9 +246,10 @@ def _evidence_sizes(evidence: DataFrame, total: int, caps: dict[str, int], count
     rows = evidence.select(*same, "line_end", "id", "ord", count(_json(*EVIDENCE_ITEM)).alias("tokens"))
     first = rows.groupBy(*same).agg(F.sum("tokens").alias("full"), F.min_by(F.struct("line_end", "id", "ord", "tokens"), "ord").alias("x"))
     limit = F.coalesce(lookup(F.col("source"), caps), F.lit(total)) if caps else F.lit(total)
-    keyed = first.select("run_id", "full", "source", limit.alias("limit"), salt_of(*[F.col(c) for c in order], salts=DEFAULT_SALTS).alias("salt"), F.col("x.tokens").alias("tokens"), F.struct(*[F.col(c if c in order else f"x.{c}").alias(c) for c in [*EVIDENCE_ORDER, "ord"]]).alias("o"))
-    ranked = keyed.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "source", "salt").orderBy("o")))
-    item = F.struct("o", "tokens", "limit")
+    keyed = first.select("run_id", "full", limit.alias("limit"), salt_of(*[F.col(c) for c in order], salts=DEFAULT_SALTS).alias("salt"), *order, "x.*")
+    placed = [*EVIDENCE_ORDER, "ord"]
+    ranked = keyed.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "source", "salt").orderBy(*placed)))
+    item = F.struct(F.struct(*placed).alias("o"), "tokens", "limit")
     listed = ranked.groupBy("run_id").agg(F.sum("full").alias("full"), F.collect_list(F.when(F.col("n") <= F.least("limit", F.lit(total)), item)).alias("items"))
     # In order, a row is taken while its source and the whole list are below their caps.
     start = F.struct(F.lit(None).cast("string").alias("source"), F.lit(0).alias("used"), F.lit(0).alias("taken"), F.lit(0).cast("bigint").alias("tokens"))

@@ -54,6 +54,56 @@ def is_ignored(path: Column, policy: ScanPolicy) -> Column:
     return in_excluded_folder(path) | outside_globs(path, policy)
 
 
+def is_ignore_file(path: Column) -> Column:
+    return paths.file_name(path).isin(*V.IGNORE_FILES)
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """(repo, run_id, folder, kind, line, regex, negated, folders_only): the patterns of all ignore files, a row each.
+
+    ``folder`` is that of the file ('' for the root). Blank lines and comments are no patterns; blanks at the
+    end of a line do not count, unless a backslash stands before them.
+    """
+    name = paths.file_name(F.col("rel_path"))
+    lines = F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("line", "raw")
+    kind = F.array_position(F.array(*[F.lit(k) for k in V.IGNORE_FILES]), name).cast("int").alias("kind")
+    folder = F.when(F.col("rel_path").contains("/"), F.regexp_replace("rel_path", "/[^/]*$", "")).otherwise("").alias("folder")
+    raw = files.filter(is_ignore_file(F.col("rel_path"))).select("repo", "run_id", folder, kind, lines)
+    text = F.regexp_replace("raw", r"(?<!\\)[ \t]+$", "")
+    found = raw.withColumn("glob", text).filter((F.col("glob") != "") & ~F.col("glob").startswith("#"))
+    found = found.withColumn("negated", F.col("glob").startswith("!")).withColumn("glob", F.regexp_replace("glob", r"^!|^\\(?=[!#])", ""))
+    found = found.filter(F.regexp_replace("glob", "/", "") != "")
+    return found.select(
+        "repo", "run_id", "folder", "kind", "line", paths.glob_regex_of(F.col("glob")).alias("regex"), "negated", F.col("glob").endswith("/").alias("folders_only")
+    )
+
+
+def nested_ignore(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The files that the ignore files inside their own trees leave.
+
+    A rule speaks of paths below its folder. Of the rules that match a path, the strongest kind of file decides,
+    in it the deepest folder, and there the last line; a negated rule keeps the path. What lies below an
+    ignored folder is ignored and can't be named again. Paths meet rules by an equality join on the folders
+    above them, so a path is compared with the rules above it alone, and folders are judged once for all their
+    files. Only folders that have rules take part, and the ignored paths are the only rows that come back.
+    """
+    keys = ["repo", "run_id"]
+    rules = ignore_rules(files) if rules is None else rules
+    listed = files.select(*keys, "rel_path")
+    folders = listed.select(*keys, F.explode(paths.ancestors(F.col("rel_path"))).alias("path")).filter("path <> ''").distinct()
+    targets = folders.withColumn("is_folder", F.lit(True)).unionByName(listed.select(*keys, F.col("rel_path").alias("path"), F.lit(False).alias("is_folder")))
+    above = targets.withColumn("folder", F.explode(paths.ancestors(F.col("path"))))
+    met = above.join(rules, [*keys, "folder"])
+    below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
+    hits = met.filter((F.col("is_folder") | ~F.col("folders_only")) & F.rlike(below, F.col("regex")))
+    order = F.struct("kind", F.length("folder").alias("depth"), "line")
+    decided = hits.groupBy(*keys, "path", "is_folder").agg(F.max_by("negated", order).alias("kept")).filter("not kept").drop("kept")
+    hidden = decided.filter("is_folder").select(*keys, F.col("path").alias("up"))
+    inside = listed.withColumn("up", F.explode(paths.ancestors(F.col("rel_path")))).join(hidden, [*keys, "up"]).select(*keys, "rel_path")
+    gone = inside.unionByName(decided.filter("not is_folder").select(*keys, F.col("path").alias("rel_path"))).distinct()
+    return attach(files, gone, [*keys, "rel_path"], ["rel_path"], how="left_anti", salts=1)
+
+
 def skip_reason(files: DataFrame, policy: ScanPolicy) -> DataFrame:
     """Add ``reason``: the first test a file fails, null when it is scanned.
 

@@ -111,10 +111,12 @@ def run_audit(
 
     # Scan: bytes are needed for the tests and, later, only of manifests.
     found = files.readable_files(runs, policy)
-    keep = F.when(profiling.is_manifest(F.col("rel_path")) & F.col("reason").isNull(), F.col("content"))
+    wanted = profiling.is_manifest(F.col("rel_path")) | inventory.is_ignore_file(F.col("rel_path"))
+    keep = F.when(wanted & F.col("reason").isNull(), F.col("content"))
     labelled = stage(
         "files", inventory.language_map(inventory.skip_reason(found, policy)).withColumn("content", keep)
     )
+    labelled = stage("listed", inventory.nested_ignore(labelled))
     seen = stage("seen", inventory.max_files_cap(labelled, policy.max_files))
     scanned = seen.filter(F.col("reason").isNull())
     beyond = (

@@ -211,6 +211,14 @@ def _(spark, sf_dir):
     return inventory.glob_policy(fixtures.files(spark, sf_dir), policy).select("doc_id", "repo", "rel_path")
 
 
+@query("nested_ignore")
+def _(spark, sf_dir):
+    listed = fixtures.files(spark, sf_dir).select("repo", "run_id", "rel_path")
+    ignoring = fixtures.ignore_files(spark, sf_dir)
+    rules = inventory.ignore_rules(ignoring.withColumn("content", F.concat_ws("\n", "first_line", "second_line", F.lit(""))))
+    return inventory.nested_ignore(listed, rules).select("repo", "rel_path")
+
+
 def _labelled(spark, sf_dir):
     return inventory.skip_reason(fixtures.files(spark, sf_dir), inputs.SMALL_POLICY)
 

@@ -52,6 +52,26 @@ STATEMENTS["glob_policy"] = r"""select doc_id, repo, rel_path from (select *, sp
     where (starts_with(rel_path, 'src/') or name like '%.py' or starts_with(rel_path, 'docs/') or name = 'uv.lock')
       and not ((starts_with(rel_path, 'tests/fixtures/') or name like '%.toml')
                and not (starts_with(rel_path, 'src/') and name = 'pyproject.toml'))"""
+# The patterns of the ignore files as regular expressions below their folder: (pattern, regex, negated, folders only).
+_IGNORE_PATTERNS = values_table(
+    [
+        ("*.md", "^(.*/)?[^/]*[.]md$", 0, 0), ("/m1*", "^m1[^/]*$", 0, 0), ("m?[0-4]/", "^(.*/)?m[^/][0-4]$", 0, 1), ("**/index.js", "^(.*/)?index[.]js$", 0, 0),
+        ("server.*", "^(.*/)?server[.][^/]*$", 0, 0), ("!README.md", "^(.*/)?README[.]md$", 1, 0), ("build/", "^(.*/)?build$", 0, 1), ("!m1?3", "^(.*/)?m1[^/]3$", 1, 0),
+        ("tests/**", "^tests/.+$", 0, 0), ("/src/services/", "^src/services$", 0, 1),
+    ],
+    "pattern, regex, negated, dirs",
+)
+STATEMENTS["nested_ignore"] = f"""with ignoring as (select repo, folder, kind, line, regex, negated, dirs from
+      (select repo, case when contains(rel_path, '/') then regexp_replace(rel_path, '/[^/]*$', '') else '' end as folder, (rel_path like '%.ignore')::int as kind,
+         unnest([first_line, second_line]) as pattern, unnest([0, 1]) as line from v_ignore) join ({_IGNORE_PATTERNS}) using (pattern)),
+    listed_paths as (select distinct repo, rel_path as path, false as is_folder from v_files
+      union select repo, array_to_string(string_split(rel_path, '/')[1:n], '/'), true from (select repo, rel_path, unnest(range(1, len(string_split(rel_path, '/')))) as n from v_files)),
+    hits as (select c.repo, c.path, c.is_folder, negated, row_number() over (partition by c.repo, c.path, c.is_folder order by kind desc, length(folder) desc, line desc) as n
+      from listed_paths c join ignoring r on r.repo = c.repo and (folder = '' or starts_with(c.path, folder || '/')) and (is_folder or dirs = 0)
+        and regexp_matches(case when folder = '' then c.path else substr(c.path, length(folder) + 2) end, regex)),
+    gone as (select repo, path, is_folder from hits where n = 1 and negated = 0)
+    select f.repo, f.rel_path from v_files f where not exists (select 1 from gone g where g.repo = f.repo
+      and ((g.path = f.rel_path and not g.is_folder) or (g.is_folder and starts_with(f.rel_path, g.path || '/'))))"""
 STATEMENTS["skip_reason"] = "select doc_id, repo, rel_path, size_bytes, reason from labelled"
 _STATS = """repo, run_id, count(*) as total_files_seen, count(*) filter (reason is null) as files_scanned,
     count(*) filter (reason is not null) as files_skipped, count(*) filter (reason = 'ignored_pathspec') as ignored_pathspec,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import subprocess
 from collections import Counter
 
 import pytest
@@ -227,3 +228,40 @@ def test_repo_names_from_urls(spark):
     urls = ["https://github.com/o/r", "git@github.com:o/r2.git", "https://example.org/x", None]
     rows = inventory.repo_from_url(spark.createDataFrame([(u,) for u in urls], "github_url string"))
     assert [r.repo_name for r in rows.collect()] == ["r", "r2", None, None]
+
+
+PATTERNS = ["*.md", "!keep.md", "a/", "/b", "b/**", "**/c", "a/*.py", "!a/", "x?z", "[xy]*", "[!a-m]1", "\\#odd", "# comment", "", "d ", "/a/b/", "!*.py", "*", "!*/", "**", "a**b", "c/d/*", "*.p[yx]", "(1)", "e+f", "!/b/keep.md"]
+NAMES = ["a", "b", "c", "d", "xyz", "x1", "m1", "keep.md", "one.md", "t.py", "#odd", "(1)", "e+f", "ab", "aXb"]
+
+
+def test_nested_ignore_files_as_git_sees_them(spark, tmp_path):
+    """Random trees with ignore files at several depths, against the files that git lists."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for number in range(25):
+        root, paths_of = tmp_path / f"r{number}", {}
+        for _ in range(40):
+            parts = [rng.choice(NAMES[:7]) for _ in range(rng.randrange(4))] + [rng.choice(NAMES)]
+            if not any("/".join(parts[:i]) in paths_of for i in range(1, len(parts))) and not any(p.startswith("/".join(parts) + "/") for p in paths_of):
+                paths_of["/".join(parts)] = b"x"
+        folders = sorted({p.rsplit("/", n)[0] if p.count("/") >= n else "" for p in paths_of for n in (1, 2, 3)})
+        for folder in rng.sample(folders, min(3, len(folders))):
+            lines = [rng.choice(PATTERNS) for _ in range(rng.randrange(1, 5))]
+            paths_of[f"{folder}/.gitignore".lstrip("/")] = ("\n".join(lines) + rng.choice(["", "\n", "\r\n"])).encode()
+        for path, body in paths_of.items():
+            (root / path).parent.mkdir(parents=True, exist_ok=True)
+            (root / path).write_bytes(body)
+            rows.append((f"r{number}", f"run-r{number}", path, len(body), bytearray(body)))
+        subprocess.run(["git", "init", "-q"], cwd=root, check=True)
+        out = subprocess.run(["git", "-c", "core.quotePath=false", "-c", "core.excludesFile=", "ls-files", "-z", "--others", "--exclude-standard"], cwd=root, check=True, capture_output=True)
+        want |= {(f"r{number}", path) for path in out.stdout.decode().split("\0") if path}
+    files = spark.createDataFrame(rows, FILES).repartition(4)
+    got = {(r.repo, r.rel_path) for r in inventory.nested_ignore(files).collect()}
+    assert got == want and 0.2 * len(rows) < len(got) < 0.95 * len(rows)
+
+
+def test_stronger_ignore_files_and_trees_without_any(spark):
+    files = table(spark, {".gitignore": b"*.log\n", "sub/.ignore": b"!deep.log\n", "sub/deep.log": b"", "sub/x/deep.log": b"", "top.log": b"", "a.py": b""}).unionByName(table(spark, {"top.log": b""}, "other"))
+    kept = {(r.repo, r.rel_path) for r in inventory.nested_ignore(files).collect()}
+    assert kept == {("r", p) for p in (".gitignore", "sub/.ignore", "sub/deep.log", "sub/x/deep.log", "a.py")} | {("other", "top.log")}
+    assert inventory.nested_ignore(files.limit(0)).count() == 0
