@@ -124,6 +124,19 @@ PROVIDER_SPELLINGS = {
 # Ignore files inside a tree, weakest first.
 IGNORE_FILES = [".gitignore", ".ignore", ".rgignore"]
 
+# Lines and entries that count as direct dependencies of a manifest.
+LINE_BREAK_PATTERN = "\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+COMMENT_MARK = "#"
+PYPROJECT_ENTRY_PATTERN = r'(?md)^\s*"[A-Za-z0-9_.\-]+'
+MAVEN_ENTRY = "<dependency>"
+
+# What follows a tool's name when it gave no result.
+TOOL_NOT_FOUND = " not found"
+TOOL_TIMED_OUT = " timed out"
+TOOL_FAILED = " failed"
+TOOL_NO_CONTEXT = " reported unavailable scan context"
+TOOL_NOT_JSON = " produced non-JSON output"
+
 # Evidence selection of the branches.
 SECURITY_SOURCES = ["semgrep", "bandit", "osv"]
 SECURITY_SIGNALS = ["secret", "vuln", "auth", "route"]

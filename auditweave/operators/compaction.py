@@ -225,13 +225,13 @@ def _dependency_sizes(dependencies: DataFrame, limit: int, minimal: int, count:
 
     Each salt of a run keeps its own first rows, so a run's last step sorts a bounded list.
     """
-    severity = rank_of(F.col("severity"), V.DEPENDENCY_SEVERITIES, 99).alias("severity")
-    rows = dependencies.select(
-        "run_id", salt_of(F.col("ord"), salts=DEFAULT_SALTS).alias("salt"), severity, *DEPENDENCY_ORDER, "ord", count(_json(*_dependency_fields(dependencies))).alias("tokens")
-    )
+    severity = rank_of(F.col("severity"), V.DEPENDENCY_SEVERITIES, 99)
+    rows = dependencies.select("run_id", salt_of(F.col("ord"), salts=DEFAULT_SALTS).alias("salt"), severity.alias("_rank"), "ord", *_dependency_fields(dependencies))
     part = Window.partitionBy("run_id", "salt")
-    orders = [["severity", *DEPENDENCY_ORDER, "ord"], ["severity", *MINIMAL_ORDER, "ord"]]
+    orders = [["_rank", *DEPENDENCY_ORDER, "ord"], ["_rank", *MINIMAL_ORDER, "ord"]]
     ranked = rows.withColumn("n1", F.row_number().over(part.orderBy(*orders[0]))).withColumn("n2", F.row_number().over(part.orderBy(*orders[1])))
+    # Counted where the rows have been dealt out, as the texts are longer than the rows.
+    ranked = ranked.withColumn("tokens", count(_json(*DEPENDENCY_ITEM)))
     listed = ranked.groupBy("run_id").agg(
         F.sum("tokens").alias("full"),
         *[F.collect_list(F.when(F.col(f"n{i}") <= most, F.struct(*orders[i - 1], "tokens"))).alias(f"l{i}") for i, most in ((1, limit), (2, minimal))],

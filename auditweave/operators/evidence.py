@@ -204,14 +204,14 @@ def tool_status(attempts: DataFrame) -> DataFrame:
     rows = attempts.withColumn("_case", case).withColumn("_out", out).withColumn("_err", err)
     kind = F.col("_case")
     error = (
-        F.when(kind == "missing", F.concat(tool, F.lit(" not found")))
-        .when(kind == "timeout", F.concat(tool, F.lit(" timed out")))
+        F.when(kind == "missing", F.concat(tool, F.lit(V.TOOL_NOT_FOUND)))
+        .when(kind == "timeout", F.concat(tool, F.lit(V.TOOL_TIMED_OUT)))
         .when(
             kind == "no_context",
-            F.coalesce("_err", "_out", F.concat(tool, F.lit(" reported unavailable scan context"))),
+            F.coalesce("_err", "_out", F.concat(tool, F.lit(V.TOOL_NO_CONTEXT))),
         )
-        .when(kind == "bad_exit", F.coalesce("_err", F.concat(tool, F.lit(" failed"))))
-        .when(kind == "not_json", F.concat(tool, F.lit(" produced non-JSON output")))
+        .when(kind == "bad_exit", F.coalesce("_err", F.concat(tool, F.lit(V.TOOL_FAILED))))
+        .when(kind == "not_json", F.concat(tool, F.lit(V.TOOL_NOT_JSON)))
     )
     ran = ~kind.isin("missing", "timeout")
     return (

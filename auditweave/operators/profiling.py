@@ -155,10 +155,10 @@ def dependency_count(path: Column, content: Column) -> Column:
         return sizes[0] + sizes[1]
 
     npm = F.coalesce(_with_dependencies(text, entries), F.lit(0))
-    lines = F.split(text, "\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]")
-    pip = F.size(F.filter(lines, lambda line: (line != "") & ~line.startswith("#")))
-    python = F.regexp_count(text, F.lit(r'(?md)^\s*"[A-Za-z0-9_.\-]+'))
-    maven = F.regexp_count(text, F.lit("<dependency>"))
+    lines = F.split(text, V.LINE_BREAK_PATTERN)
+    pip = F.size(F.filter(lines, lambda line: (line != "") & ~line.startswith(V.COMMENT_MARK)))
+    python = F.regexp_count(text, F.lit(V.PYPROJECT_ENTRY_PATTERN))
+    maven = F.regexp_count(text, F.lit(V.MAVEN_ENTRY))
     return (
         F.when(name == V.NPM_MANIFEST, npm)
         .when(name == V.PIP_MANIFEST, pip)

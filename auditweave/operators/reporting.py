@@ -67,13 +67,6 @@ def hard_failures(stages: DataFrame) -> DataFrame:
     return stages.filter((F.col("scanner") == "failed") | (F.col("roadmap") == "failed"))
 
 
-def _list_of(order: str, fields: list[str], only: Column | None = None) -> Column:
-    """Aggregate: the ordered items of a group, optionally only those that match."""
-    entry = F.struct(F.col(order), F.struct(*fields).alias("item"))
-    listed = F.array_sort(F.collect_list(entry if only is None else F.when(only, entry)))
-    return F.transform(listed, lambda x: x["item"])
-
-
 RISK_FIELDS = ["issue", "severity", "file"]
 ROADMAP_FIELDS = ["priority", "task", "effort", "impact", "risk", "justification"]
 TOOL_FIELDS = ["tool", "status", "exit_code", "details"]
@@ -88,25 +81,38 @@ def summary_json(
 ) -> DataFrame:
     """One JSON document per run with a fixed set of keys.
 
-    ``runs(run_id, repo_name, language_detected, frameworks, architecture_type)``.
-    All inputs meet on ``run_id``, so one shuffle per input serves every join.
+    ``runs(run_id, repo_name, language_detected, frameworks, architecture_type)``. The rows of all
+    inputs, each in a column of its own, meet in one aggregate per run; the lists are bounded by the
+    caps of their inputs and sorted there.
     """
-    category = F.col("category")
-    lists = [
-        summary_risks(risks).groupBy("run_id").agg(
-            _list_of("position", RISK_FIELDS, category == "security").alias("top_security_risks"),
-            _list_of("position", RISK_FIELDS, category == "performance").alias("top_performance_risks"),
-        ),
-        summary_roadmap(roadmap).groupBy("run_id").agg(_list_of("position", ROADMAP_FIELDS).alias("roadmap")),
-        tooling.groupBy("run_id").agg(_list_of("tool", TOOL_FIELDS).alias("scanner_tooling")),
+
+    def entry(order: list[str | Column], fields: list[str], name: str) -> Column:
+        return F.struct(F.struct(*order).alias("order"), F.struct(*fields).alias("item")).alias(name)
+
+    head = ["repo_name", "language_detected", "frameworks", "architecture_type"]
+    rows = [
+        runs.select("run_id", F.struct(*head).alias("head")),
+        risks.select("run_id", "category", entry([severity_rank().alias("rank"), "issue", "file", "position"], RISK_FIELDS, "risk_row")),
+        roadmap.select("run_id", entry([priority_rank().alias("rank"), "task", "position"], ROADMAP_FIELDS, "roadmap_row")),
+        tooling.select("run_id", entry(["tool"], TOOL_FIELDS, "tool_row")),
+        stages.select("run_id", F.struct(*V.STAGES).alias("stages")),
     ]
-    packed = stages.select("run_id", F.struct(*V.STAGES).alias("_stages"))
-    whole = reduce(lambda left, right: left.join(right, "run_id", "left"), [*lists, packed], runs)
-    for rows in lists:
-        for name in rows.columns[1:]:
-            whole = whole.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-    status = F.struct(*[F.coalesce(F.col("_stages")[s], F.lit("failed")).alias(s) for s in V.STAGES])
-    whole = whole.withColumn("schema_version", F.lit(schema_version)).withColumn("analysis_status", status)
+    together = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), rows)
+
+    def listed(name: str, only: Column | None = None) -> Column:
+        found = F.col(name) if only is None else F.when(only, F.col(name))
+        return F.transform(F.array_sort(F.collect_list(found)), lambda x: x["item"])
+
+    whole = together.groupBy("run_id").agg(
+        F.first("head", ignorenulls=True).alias("head"),
+        listed("risk_row", F.col("category") == "security").alias("top_security_risks"),
+        listed("risk_row", F.col("category") == "performance").alias("top_performance_risks"),
+        listed("roadmap_row").alias("roadmap"),
+        listed("tool_row").alias("scanner_tooling"),
+        F.first("stages", ignorenulls=True).alias("stages"),
+    ).filter(F.col("head").isNotNull())
+    status = F.struct(*[F.coalesce(F.col("stages")[s], F.lit("failed")).alias(s) for s in V.STAGES])
+    whole = whole.select("*", "head.*", F.lit(schema_version).alias("schema_version"), status.alias("analysis_status"))
     document = F.to_json(F.struct(*SUMMARY_FIELDS), {"ignoreNullFields": "false"})
     return whole.select("run_id", document.alias("document"))
 

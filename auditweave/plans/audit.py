@@ -61,8 +61,8 @@ def tool_runs_of(plan: DataFrame, loaded: DataFrame) -> DataFrame:
         F.when(F.col("readable").isNull(), "unavailable").when(F.col("readable"), "completed").otherwise("failed")
     )
     details = (
-        F.when(F.col("readable").isNull(), F.concat("tool", F.lit(" not found")))
-        .when(~F.col("readable"), F.concat("tool", F.lit(" produced non-JSON output")))
+        F.when(F.col("readable").isNull(), F.concat("tool", F.lit(V.TOOL_NOT_FOUND)))
+        .when(~F.col("readable"), F.concat("tool", F.lit(V.TOOL_NOT_JSON)))
     )
     return plan.join(seen, ["run_id", "tool"], "left").select(
         "run_id", "tool", status.alias("status"), F.lit(None).cast("int").alias("exit_code"), details.alias("details")

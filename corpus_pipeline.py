@@ -35,12 +35,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id.
 
-    Of rows that repeat an id one stays. Rows without an id are kept, each text once.
+    Of rows that repeat an id, that with the smallest hash of its text stays. Rows without an id are kept,
+    each text once, whatever else resembles it.
     """
     docs = docs.select(*COLUMNS)
-    named = docs.filter("doc_id is not null")
+    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     kept = near_duplicates(named).filter("kept").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), *rest)).alias("row"))
+    alone = nameless.groupBy("text").agg(F.min(F.struct(*[c for c in rest if c != "text"])).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS).unionByName(alone.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "row.*").select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
