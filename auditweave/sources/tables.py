@@ -47,16 +47,16 @@ def log_bucket(run_id: Column) -> Column:
 
 
 def append_transitions(transitions: DataFrame, path: str, time: str = "ts") -> None:
-    """Append to the log, one folder per bucket of run ids and day.
+    """Append to the log, one folder per bucket of run ids.
 
-    Rows are clustered the same way first, so a write makes at most ``LOG_BUCKETS`` files a day, and
-    sorted by run, so a file's own statistics tell its runs apart. A ``reason`` is redacted.
+    Rows are clustered the same way first, so a write makes about one file a bucket, and sorted by run,
+    so a file's own statistics tell its runs apart. A ``reason`` is redacted; ``date`` is the day of ``time``.
     """
     if "reason" in transitions.columns:
         transitions = transitions.withColumn("reason", redacted(F.col("reason")))
     dated = transitions.withColumns({"bucket": log_bucket(F.col("run_id")), "date": F.to_date(time)})
-    clustered = dated.repartition("bucket", "date").sortWithinPartitions("bucket", "date", "run_id", "seq")
-    clustered.write.mode("append").partitionBy("bucket", "date").parquet(path)
+    clustered = dated.repartition("bucket").sortWithinPartitions("bucket", "run_id", "seq")
+    clustered.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def list_transitions(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
