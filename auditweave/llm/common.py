@@ -106,6 +106,38 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, name: str
             start = stop
 
 
+def text_pieces(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Pieces of at most about ``size`` bytes of all texts, in arrays of about ``size`` bytes, and each piece's text number.
+
+    Texts are cut in front of white space only, so every word lies in one piece; a text without any is one piece.
+    """
+    raw, offsets = text_buffer(texts)
+    starts, owners = [offsets[:-1]], [np.arange(len(texts))]
+    for i in np.flatnonzero(np.diff(offsets) > size).tolist():
+        at, end, cuts = int(offsets[i]) + size, int(offsets[i + 1]), []
+        while at < end:
+            window = _SPACE[raw[at : min(end, at + size)]]
+            if not window.any():
+                at += size
+                continue
+            cuts.append(at + int(window.argmax()))
+            at = cuts[-1] + size
+        starts.append(np.array(cuts, np.int64))
+        owners.append(np.full(len(cuts), i))
+    start, owner = np.concatenate(starts), np.concatenate(owners)
+    order = np.lexsort((start, owner))
+    start, owner = start[order], owner[order]
+    bounds = np.append(start, offsets[-1])
+    first = 0
+    while first < len(start):
+        stop = min(first + CHUNK_ROWS, max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, side="right")) - 1))
+        stop = min(stop, len(start))
+        own = np.ascontiguousarray(bounds[first : stop + 1] - bounds[first])
+        data = pa.py_buffer(raw[bounds[first] : bounds[stop]].tobytes())
+        yield pa.Array.from_buffers(pa.large_string(), stop - first, [None, pa.py_buffer(own.tobytes()), data]), owner[first:stop]
+        first = stop
+
+
 def _byte_lengths(batch: pa.RecordBatch, name: str) -> np.ndarray:
     _, offsets = text_buffer(text_column(batch, name))
     return np.diff(offsets)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import chunks, code_points, fields_of, is_space, lower_ascii, mixed, text_buffer, text_column, word_bounds
+from auditweave.llm.common import chunks, code_points, fields_of, is_space, lower_ascii, mixed, text_buffer, text_column, text_pieces, word_bounds
 
 BUCKETS = 1 << 15
 SWITCH = 6.0
@@ -24,6 +24,8 @@ SWITCH = 6.0
 EXCLUDED = -60.0
 #: A language uses a script that makes up this share of its words.
 SCRIPT_SHARE = 0.002
+#: Texts of more words are cut into segments that go in step.
+LONG_TEXT = 1 << 13
 #: Bytes of text whose paths a task finds together, and whose n-grams it counts together (these take a hundred times as much).
 TEXT_BYTES, GRAM_BYTES = 4 << 20, 1 << 19
 
@@ -73,9 +75,12 @@ class Words:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the three- and four-byte n-grams that begin at each byte of a word, blanks around it included."""
-        padded = np.full(len(self.raw) + 3, 0x20, np.uint64)
-        padded[1 : len(self.raw) + 1] = np.where(self.inside, self.raw, 0x20)
-        at = np.flatnonzero(self.inside)
+        # A blank between two texts, so that none reaches into the next.
+        lengths = np.diff(self.offsets)
+        padded = np.full(len(self.raw) + len(lengths) + 3, 0x20, np.uint64)
+        place = np.arange(len(self.raw)) + np.repeat(np.arange(len(lengths)), lengths)
+        padded[place + 1] = np.where(self.inside, self.raw, 0x20)
+        at = place[self.inside]
         three = padded[at] | padded[at + 1] << np.uint64(8) | padded[at + 2] << np.uint64(16)
         # The fourth byte may belong to the next word; behind a word's end it counts as blank.
         over = padded[at + 2] == 0x20
@@ -92,10 +97,11 @@ def train(docs: DataFrame) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in chunks(batches, GRAM_BYTES):
-            langs = np.array(batch.column(1).to_pylist(), object)
+        for texts, langs in (
+            (texts, np.array(batch.column(1).to_pylist(), object)[owner]) for batch in chunks(batches, GRAM_BYTES) for texts, owner in text_pieces(text_column(batch), GRAM_BYTES)
+        ):
             for lang in sorted(set(langs)):
-                words = Words(text_column(batch.filter(pa.array(langs == lang))))
+                words = Words(texts.filter(pa.array(langs == lang)))
                 total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES) + 1, np.int64))
                 for buckets in words.grams():
                     total[:BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
@@ -142,7 +148,66 @@ def _measured(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def best_path(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The label of every word: the best path of each text, all texts of a batch in step."""
+    """The label of every word: the best path of each text, all texts of a batch in step.
+
+    A long text is cut into as many segments as each has words, which go in step too. What a segment adds to
+    each language from each one before it is a small matrix; the matrices are chained, which gives the
+    languages at the cuts, and then all segments find their own paths between these.
+    """
+    n, n_langs = scores.shape
+    ends = np.cumsum(counts)
+    label = np.zeros(n, np.int64)
+    long = counts > LONG_TEXT
+    for i in np.flatnonzero(long).tolist():
+        label[ends[i] - counts[i] : ends[i]] = _long_path(scores[ends[i] - counts[i] : ends[i]])
+    if not long.all():
+        short = np.repeat(~long, counts)
+        label[short] = _paths(scores[short], counts[~long])[0]
+    return label
+
+
+def _long_path(scores: np.ndarray) -> np.ndarray:
+    n, n_langs = scores.shape
+    size = int(np.ceil(np.sqrt(n)))
+    parts = -(-n // size)
+    steps = np.zeros((parts, size, n_langs))
+    steps.reshape(-1, n_langs)[:n] = scores
+    # From each language before a segment to each one at its end.
+    value = np.full((parts, n_langs, n_langs), -np.inf)
+    value[:, np.arange(n_langs), np.arange(n_langs)] = 0
+    for t in range(size):
+        value = np.maximum(value, value.max(axis=2, keepdims=True) - SWITCH) + steps[:, t, None, :]
+    total, entered = np.zeros(n_langs), np.zeros((parts, n_langs), np.int64)
+    for k in range(parts):
+        if k == 0:  # before the first word there is no language, so it costs no switch
+            total = _ending(steps[0])
+            continue
+        ways = total[:, None] + value[k]
+        entered[k] = ways.argmax(axis=0)
+        total = ways.max(axis=0)
+    last = np.zeros(parts, np.int64)
+    last[-1] = total.argmax()
+    for k in range(parts - 1, 0, -1):
+        last[k - 1] = entered[k, last[k]]
+    start = np.full((parts, n_langs), -np.inf)
+    start[0] = 0
+    start[np.arange(1, parts), last[:-1]] = 0
+    return _paths(steps.reshape(-1, n_langs), np.full(parts, size), start, last)[0][:n]
+
+
+def _ending(steps: np.ndarray) -> np.ndarray:
+    """The best value of a path that ends in each language."""
+    value = np.zeros(steps.shape[1])
+    for row in steps:
+        value = np.maximum(value, value.max() - SWITCH) + row
+    return value
+
+
+def _paths(scores: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Best paths of sequences in step, and the values at their ends.
+
+    ``start`` has a value for each language before the first word, ``last`` the languages they end in.
+    """
     n, n_langs = scores.shape
     order = np.argsort(-counts, kind="stable")
     begin = (np.cumsum(counts) - counts)[order]
@@ -151,32 +216,29 @@ def best_path(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     source = np.zeros(n, np.int16)
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")
-    value = np.zeros((len(counts), n_langs))
+    value = np.zeros((len(counts), n_langs)) if start is None else start[order]
     final = np.zeros(len(counts), np.int64)
     for t in range(longest):
         k = active[t]
         at = begin[:k] + t
-        if t:
-            before = value[:k]
-            top = before.argmax(axis=1)
-            enter = before[np.arange(k), top][:, None] - SWITCH
-            source[at] = top
-            stay[at] = before >= enter
-            value[:k] = np.maximum(before, enter) + scores[at]
-        else:
-            value[:k] = scores[at]
+        before = value[:k]
+        top = before.argmax(axis=1)
+        enter = before[np.arange(k), top][:, None] - SWITCH
+        source[at] = top
+        stay[at] = before >= enter
+        value[:k] = np.maximum(before, enter) + scores[at]
         ending = k if t + 1 == longest else active[t + 1]
         rows = np.arange(ending, k) if t + 1 < longest else np.arange(k)
         final[rows] = value[rows].argmax(axis=1)
     label = np.zeros(n, np.int64)
-    now = final
+    now = final if last is None else last[order]
     for t in range(longest - 1, -1, -1):
         k = active[t]
         at = begin[:k] + t
         label[at] = now[:k]
         if t:
             now[:k] = np.where(stay[at, now[:k]], now[:k], source[at])
-    return label
+    return label, value
 
 
 def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
@@ -196,8 +258,9 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, TEXT_BYTES):
             n = batch.num_rows
-            gathered = [_measured(Words(text_column(part)), model) for part in chunks(iter([batch]), GRAM_BYTES)]
-            scores, counts, weight, lettered = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            gathered = [(*_measured(Words(part), model), of) for part, of in text_pieces(text_column(batch), GRAM_BYTES)]
+            scores, words, weight, has_letter, of = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            counts, lettered = np.bincount(of, words, n).astype(np.int64), np.bincount(of, has_letter, n) > 0
             owner = np.repeat(np.arange(n), counts)
             label = best_path(scores, counts) if langs else np.zeros(len(owner), np.int64)
             mass, sums = np.zeros((n, max(1, len(langs)))), np.zeros((n, max(1, len(langs))))

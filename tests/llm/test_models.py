@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,7 @@ import pytest
 from samples import SF, WORD, empty_documents, odd_documents
 
 from auditweave.llm import language, pii, quality, toxicity, urls
+from auditweave.llm.common import text_pieces
 from auditweave.llm.queries import QUERIES
 
 SF2 = "/root/testdata/sf0.01"
@@ -42,6 +44,43 @@ def test_best_path_equals_enumeration():
         at += n
 
 
+def test_long_paths_equal_short_ones(monkeypatch):
+    """Texts cut into segments have the path of the whole, and a very long one takes seconds."""
+    rng = np.random.default_rng(12)
+    counts = np.array([0, 1, 700, 37, 2, 1500, 64])
+    scores = -rng.gamma(1.0, 3.0, (counts.sum(), 4)) * (rng.random((counts.sum(), 4)) < 0.6)
+    whole = language._paths(scores, counts)[0]
+    monkeypatch.setattr(language, "LONG_TEXT", 30)
+    cut = language.best_path(scores, counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+
+    def worth(path):
+        switches = (path[1:] != path[:-1]) & (owner[1:] == owner[:-1])
+        return np.bincount(owner, scores[np.arange(len(path)), path], len(counts)) - language.SWITCH * np.bincount(owner[1:][switches], minlength=len(counts))
+
+    assert np.allclose(worth(cut), worth(whole)) and (cut == whole).mean() > 0.99
+    began = time.perf_counter()
+    language.best_path(np.tile(scores, (800, 1)), np.array([800 * len(scores)]))
+    assert time.perf_counter() - began < 20
+
+
+def test_texts_in_pieces(spark):
+    """A text far longer than a piece gives the words, letters and scores of the whole."""
+    rng = random.Random(3)
+    words = ["hello", "guten", "Tag", "naïve", "мир", "12", "x" * 50, "日本"]
+    texts = pa.array([" ".join(rng.choices(words, k=k)) + rng.choice(["", " ", "\n\n"]) for k in (0, 1, 4000, 3, 900)] + ["y" * 9000, "  lead"], pa.large_string())
+    pieces = list(text_pieces(texts, 1000))
+    joined = [""] * len(texts)
+    for piece, owner in pieces:
+        for text, i in zip(piece.to_pylist(), owner.tolist(), strict=True):
+            joined[i] += text
+    assert joined == texts.to_pylist() and max(len(p) for piece, _ in pieces for p in piece.to_pylist() if "y" not in p) < 2000
+    model = language.train(spark.createDataFrame([("hello naïve", "en"), ("guten Tag", "de"), ("мир", "ru")], "text string, lang string"))
+    whole = language._measured(language.Words(texts), model)
+    cut = [language._measured(language.Words(piece), model) for piece, _ in pieces]
+    assert np.array_equal(whole[0], np.concatenate([c[0] for c in cut])) and np.array_equal(whole[2], np.concatenate([c[2] for c in cut]))
+
+
 def test_mixed_text_and_scripts(spark):
     texts = {"en": "the cat sat on the mat and the dog ran with them", "de": "der hund und die katze sind nicht mit uns gegangen", "ru": "собака и кошка не пришли сегодня домой", "uk": "собака і кішка не прийшли сьогодні додому"}
     model = language.train(spark.createDataFrame([(t, k) for k, t in texts.items()] * 3, "text string, lang string"))
