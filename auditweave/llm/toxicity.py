@@ -25,6 +25,8 @@ PER_CLASS = (1600, 800)
 #: would give any feature of the sample such counts with at most this probability.
 MARK_SHARE, MARK_CHANCE = 0.9, 0.05
 SPAN_LEAST = 0.5
+#: Texts of more tokens are cut into segments that go in step.
+LONG_TEXT = 1 << 13
 #: Marginals from here on count for the document.
 COUNTED_LEAST = 0.1
 TEXT_BYTES = 2 << 20
@@ -127,40 +129,98 @@ def _marks(tokens: Tokens, toxic: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emission: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state by token, and expected counts of the four transitions.
+def _messages(odds: np.ndarray, step: np.ndarray, counts: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of sequences in step, by token.
 
-    ``emission`` is the toxic state's score of each token (the clean one's is 0) and ``moves`` the
-    transition scores; all texts go in step, longest first.
+    ``a`` is the toxic state's share from the left, ``b`` the two states' shares from the right, scaled to sum 1.
+    ``left`` (shares of the two states before the first token) and ``right`` (shares behind the last) default to
+    the ends of a text.
     """
-    n = len(emission)
+    n = len(odds)
     order = np.argsort(-counts, kind="stable")
     begin, lengths = (np.cumsum(counts) - counts)[order], counts[order]
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")
-    odds = np.exp(np.clip(emission, -30, 30))
-    step = np.exp(moves)
-    # Shares of the two states, scaled to sum 1 at each token: a is the toxic one's from the left.
     a, b = np.zeros(n), np.ones((n, 2))
     now = np.zeros(len(counts))
     for t in range(longest):
         k = active[t]
         at = begin[:k] + t
-        if t:
-            toxic = (now[:k] * step[1, 1] + (1 - now[:k]) * step[0, 1]) * odds[at]
-            clean = now[:k] * step[1, 0] + (1 - now[:k]) * step[0, 0]
+        if t or left is not None:
+            before = now[:k] if t else left[order][:k]
+            toxic = (before * step[1, 1] + (1 - before) * step[0, 1]) * odds[at]
+            clean = before * step[1, 0] + (1 - before) * step[0, 0]
         else:
             toxic, clean = odds[at], 1.0
         now[:k] = toxic / (toxic + clean)
         a[at] = now[:k]
+    if right is not None:
+        b[begin + lengths - 1] = right[order]
     for t in range(longest - 2, -1, -1):
         k = active[t + 1]
         at = begin[:k] + t
-        ahead = b[at + 1]
-        toxic, clean = odds[at + 1] * ahead[:, 1], ahead[:, 0]
-        left, right = step[0, 0] * clean + step[0, 1] * toxic, step[1, 0] * clean + step[1, 1] * toxic
-        total = left + right
-        b[at, 0], b[at, 1] = left / total, right / total
+        b[at] = _before(odds[at + 1], step, b[at + 1])
+    return a, b
+
+
+def _before(odds: np.ndarray, step: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Shares in front of a token from those behind it."""
+    toxic, clean = odds * ahead[:, 1], ahead[:, 0]
+    both = np.stack([step[0, 0] * clean + step[0, 1] * toxic, step[1, 0] * clean + step[1, 1] * toxic], axis=1)
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def _long_messages(odds: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages of one long sequence, cut into as many segments as each has tokens.
+
+    The product of a segment's transitions is a small matrix. Chaining the matrices from both sides gives the
+    messages at the cuts, from which all segments find their own in step.
+    """
+    n = len(odds)
+    size = int(np.ceil(np.sqrt(n)))
+    parts = -(-n // size)
+    counts = np.full(parts, size)
+    counts[-1] = n - size * (parts - 1)
+    begin = np.cumsum(counts) - counts
+    product = np.tile(np.eye(2), (parts, 1, 1))
+    for t in range(size):
+        # No transition leads to the text's first token.
+        own = slice(0 if t else 1, parts if t < counts[-1] else parts - 1)
+        enter = np.stack([np.ones(own.stop - own.start), odds[begin[own] + t]], axis=1)
+        product[own] = np.matmul(product[own], step) * enter[:, None, :]
+        product[own] /= product[own].sum(axis=(1, 2), keepdims=True)
+    left, right = np.zeros(parts), np.ones((parts, 2))
+    share = np.array([1.0, odds[0]])
+    for k in range(1, parts):
+        share = share @ product[k - 1]
+        share = share / share.sum()
+        left[k] = share[1]
+    for k in range(parts - 1, 0, -1):
+        right[k - 1] = product[k] @ right[k]
+        right[k - 1] /= right[k - 1].sum()
+    first = slice(0, counts[0])
+    a, b = _messages(odds[first], step, counts[:1], None, right[:1])
+    rest_a, rest_b = _messages(odds[counts[0] :], step, counts[1:], left[1:], right[1:])
+    return np.concatenate([a, rest_a]), np.concatenate([b, rest_b])
+
+
+def forward_backward(emission: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state by token, and expected counts of the four transitions.
+
+    ``emission`` is the toxic state's score of each token (the clean one's is 0) and ``moves`` the
+    transition scores; all texts go in step, a long one in segments of its own.
+    """
+    n = len(emission)
+    odds = np.exp(np.clip(emission, -30, 30))
+    step = np.exp(moves)
+    # Shares of the two states, scaled to sum 1 at each token: a is the toxic one's from the left.
+    a, b = np.zeros(n), np.ones((n, 2))
+    ends, long = np.cumsum(counts), counts > LONG_TEXT
+    for i in np.flatnonzero(long).tolist():
+        mine = slice(ends[i] - counts[i], ends[i])
+        a[mine], b[mine] = _long_messages(odds[mine], step)
+    short = np.repeat(~long, counts)
+    a[short], b[short] = _messages(odds[short], step, counts[~long])
     high, low = a * b[:, 1], (1 - a) * b[:, 0]
     marginal = high / np.maximum(high + low, 1e-300)
     owner = np.repeat(np.arange(len(counts)), counts)
