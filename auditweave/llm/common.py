@@ -300,14 +300,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, label) of at most ``per_class`` documents of each class (or of class 0 and 1), chosen by a hash of the id.
 
     The bound is on rows of the label table; their texts come by a join with this bounded list. A
-    document with several labels has the largest. Repeated rows of a document come once.
+    document with several labels has the largest. Of rows that repeat a document, that with the smallest
+    hash of its text counts, so reruns agree.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit("sample"))
     most = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     chosen = [known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(most[value]) for value in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.any_value("label").alias("label"))
 
 
 def fields_of(frame: DataFrame) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import SpanHashes, chunks, fields_of, labelled_sample, mixed, text_buffer, text_column, word_bounds
+from auditweave.llm.common import SpanHashes, chunks, code_points, fields_of, is_space, labelled_sample, mixed, text_buffer, text_column, word_bounds
 
 BUCKETS = 1 << 16
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -76,21 +76,24 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every word and of the three- and four-byte n-grams within words."""
+    """Bucket and text number of every word, pair of neighbouring words, and three- and four-character n-gram within a word."""
     raw, offsets = text_buffer(texts)
     starts, ends, counts = word_bounds(raw, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = np.uint64(0xD6E8FEB86659FD93)
     words = SpanHashes(raw)(starts, ends)
     owner = np.repeat(np.arange(len(counts)), counts)
-    wide = np.append(raw, np.full(3, 0x20, np.uint8)).astype(np.uint64)
-    lengths = ends - starts
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    by_byte = np.repeat(owner, lengths)
-    left = np.repeat(ends, lengths) - at
-    three = wide[at] | wide[at + 1] << np.uint64(8) | wide[at + 2] << np.uint64(16)
-    four = three | wide[at + 3] << np.uint64(24) | np.uint64(1 << 40)
-    parts = [(words, owner), (mixed(three[left >= 3]), by_byte[left >= 3]), (mixed(four[left >= 4]), by_byte[left >= 4])]
+    beside = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = mixed(words[beside] * step + words[beside + 1])
+    at = np.flatnonzero(((raw & 0xC0) != 0x80) & ~is_space(raw))
+    first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    by_char = np.repeat(owner, last - first)
+    left = np.repeat(last, last - first) - np.arange(len(at))
+    wide = np.append(code_points(raw, at).astype(np.uint64), np.zeros(3, np.uint64))
+    three = mixed(wide[:-3] | wide[1:-2] << np.uint64(21) | wide[2:-1] << np.uint64(42))
+    four = mixed(three * step + wide[3:])
+    parts = [(words, owner), (pairs, owner[beside]), (three[left >= 3], by_char[left >= 3]), (four[left >= 4], by_char[left >= 4])]
     return np.concatenate([p[0] % np.uint64(BUCKETS) for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
 
 

@@ -134,6 +134,18 @@ def test_base_counts():
     assert [list(x) for x in zip(*(v.tolist() for v in got.values()), strict=True)] == [_base(t) for t in texts]
 
 
+def test_features_are_words_pairs_and_characters():
+    """Equal texts give equal features in any batch, and n-grams count characters, not bytes."""
+    texts = ["один два три", "один два три", "два один", "a", "", "日本語です x", "a a a"]
+    buckets, owner = quality.features(pa.array(texts, pa.large_string()))
+    of = [sorted(buckets[owner == i].tolist()) for i in range(len(texts))]
+    assert of[0] == of[1] and of[4] == []
+    sizes = [len(w := t.split()) + max(0, len(w) - 1) + sum(max(0, len(x) - 2) + max(0, len(x) - 3) for x in w) for t in texts]
+    assert [len(x) for x in of] == sizes
+    alone = quality.features(pa.array([texts[5]], pa.large_string()))[0]
+    assert sorted(alone.tolist()) == of[5]
+
+
 def test_quality_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF2}/documents.parquet").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
@@ -216,6 +228,22 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(marginal, want) and np.allclose(expected, joint)
 
 
+def test_long_messages_equal_short_ones(monkeypatch):
+    """Texts cut into segments have the marginals of the whole, and a very long one takes seconds."""
+    rng = np.random.default_rng(9)
+    counts = np.array([700, 0, 1, 37, 1300, 2, 41])
+    emission = rng.normal(-1, 3, counts.sum())
+    for moves in (rng.normal(0, 2, (2, 2)), np.zeros((2, 2))):
+        monkeypatch.setattr(toxicity, "LONG_TEXT", 1 << 20)
+        whole = toxicity.forward_backward(emission, moves, counts)
+        monkeypatch.setattr(toxicity, "LONG_TEXT", 20)
+        cut = toxicity.forward_backward(emission, moves, counts)
+        assert all(np.allclose(x, y, atol=1e-9) for x, y in zip(whole, cut, strict=True))
+    began = time.perf_counter()
+    toxicity.forward_backward(np.tile(emission, 800), moves, np.array([800 * len(emission)]))
+    assert time.perf_counter() - began < 20
+
+
 def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
     rows = QUERIES["op9_toxicity"](spark, SF2).collect()
