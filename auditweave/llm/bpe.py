@@ -17,11 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from auditweave.llm.common import chunks, code_points, equal_spans, fields_of, span_keys, text_buffer, text_column
+from auditweave.llm.common import chunks, code_points, equal_spans, span_keys, staged, text_buffer, text_column
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -365,8 +365,8 @@ def _encoded_words(words: DataFrame, definition: str, n_buckets: int) -> DataFra
 def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, a row per row of ``docs`` (doc_id, text).
 
-    With ``digests`` each block is decoded where it was encoded, by the join that ``decode`` makes, and
-    the result is (doc_id, n_tokens, ids_sha256, decoded_sha256); no id leaves the task.
+    With ``digests`` each block is decoded where it was encoded, by looking its ids up in the id-to-piece
+    table instead of ``decode``'s join, which would shuffle a row for every token; the result is (doc_id, n_tokens, ids_sha256, decoded_sha256); no id leaves the task.
 
     ``tokenizer`` is the path of a byte-level BPE definition on the driver. Ids equal those of the
     tokenizer without special tokens added; special tokens written in a text are recognised. A
@@ -399,11 +399,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False)
         del block, pool
         pa.default_memory_pool().release_unused()
         made = pa.Table.from_batches([b.cast(result) for b in out], schema=result)
-        return pa.Table.from_batches(list(pieces(iter(made.to_batches())))) if digests and out else made
+        return pa.Table.from_batches(list(digested(iter(made.to_batches())))) if digests and out else made
 
     kind = dict(rows.dtypes)["doc_id"]
     result = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("ids", pa.list_(pa.int32()))])
-    pieces = _decoder(definition, ["doc_id"], digests=True) if digests else None
+    digested = _decoder(definition) if digests else None
     shape = f"doc_id {kind}, {DIGESTS}" if digests else f"doc_id {kind}, ids array<int>"
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(place, shape)
 
@@ -411,10 +411,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False)
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _decoder(definition: str, names: list[str], digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of batches that joins their ids with the id-to-piece table."""
+def _decoder(definition: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (doc_id, ids) that digests the ids and the text of their pieces, looked up where the ids were made."""
     pool, offsets = _piece_bytes(definition)
-    added = [f.split()[0] for f in DIGESTS.split(", ")] if digests else ["decoded"]
+    added = [f.split()[0] for f in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -424,21 +424,35 @@ def _decoder(definition: str, names: list[str], digests: bool) -> Callable[[Iter
                 for ids in batch.column(batch.schema.get_field_index("ids")):
                     own = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int64)
                     text = gather(pool, offsets[own], offsets[own + 1] - offsets[own]).tobytes().decode("utf-8", "replace")
-                    made = (len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (text,)
+                    made = (len(own), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                     for column, x in zip(found, made, strict=True):
                         column.append(x)
-                kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64() if n == "n_tokens" else pa.string()) for n, c in zip(added, found, strict=True))], names=[*names, *added])
+                columns = [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(c, pa.int64() if n == "n_tokens" else pa.string()) for n, c in zip(added, found, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *added])
 
     return run
 
 
+def pieces(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
+    """(id, piece): the bytes of every id of the vocabulary."""
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
+        pool, offsets = _piece_bytes(file.read())
+    data = pool.tobytes()
+    listed = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(listed), dtype=np.int32)), "piece": pa.array(listed, pa.binary())}))
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the pieces of ``ids``, joined by id, as text.
+    """``encoded`` with the column ``decoded``: the pieces of ``ids``, joined by id and put together by position.
 
-    The id-to-piece table has one row an id of the vocabulary and goes to every task. Null ids give an
-    empty text, bytes that are no UTF-8 become replacement characters.
+    The id-to-piece table has a row an id of the vocabulary and goes to every task. Null and empty ids give
+    an empty text, bytes that are no UTF-8 become replacement characters. Rows that are the same stay apart.
     """
-    with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
-        definition = file.read()
-    return encoded.mapInArrow(_decoder(definition, encoded.columns, digests=False), f"{fields_of(encoded)}, decoded string")
+    names = [c for c in encoded.columns if c != "decoded"]
+    rows = encoded.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_kept"), F.col("ids"))
+    # Only the row number travels with a token; the row's columns come back by it.
+    rows = staged(rows)
+    tokens = rows.select("_row", F.posexplode("ids").alias("_at", "id")).join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id")
+    joined = tokens.groupBy("_row").agg(F.expr("listagg(piece) within group (order by _at)").alias("_bytes"))
+    text = F.coalesce(F.make_valid_utf8(F.col("_bytes").cast("string")), F.lit(""))
+    return rows.select("_row", "_kept").join(joined, "_row", "left").select("_kept.*", text.alias("decoded"))

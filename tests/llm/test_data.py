@@ -260,3 +260,12 @@ def test_pipeline_odd_rows(spark, make):
             assert out.filter("doc_id is null").count() == 2 and out.filter("doc_id = 15 or doc_id = 4").count() == 0
 
 
+def test_decode_joins_any_ids(spark):
+    """Random ids, most of which cut characters apart, null, empty and repeated rows, against the library."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(13)
+    rows = [(i % 40, [rng.randrange(50_257) if rng.random() < 0.5 else rng.randrange(256) for _ in range(rng.randrange(30))], "x") for i in range(60)]
+    rows += [(100, None, "null"), (101, [], "empty"), rows[0], rows[0]]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string").repartition(4)).collect()
+    want = [(d, ids, tokenizer.decode(ids or [], skip_special_tokens=False)) for d, ids, _ in rows]
+    assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got), key=str) == sorted(want, key=str)
