@@ -13,18 +13,27 @@ from __future__ import annotations
 import argparse
 from functools import reduce
 
+from pyspark import __version__ as spark_version
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave import fixed_values as V
 from auditweave.functions.skew import attach
 from auditweave.functions.text import redacted
-from auditweave.operators import checks, evidence, inventory, profiling, redaction, reporting, runlog
+from auditweave.operators import checks, compaction, evidence, inventory, profiling, redaction, reporting, runlog
 from auditweave.operators.inventory import ScanPolicy
 from auditweave.session import build_session
 from auditweave.sources import documents, files, reports, tables
 
 SCHEMA_VERSION = "1.0.0"
+MANIFEST_SETTINGS = {
+    "schema_version": SCHEMA_VERSION,
+    "workspace_root": "",
+    "tool_versions": {"spark": spark_version},
+    "prompt_versions": {},
+    "retries": {"max_attempts": 1, "backoff_seconds": 0.0, "jitter_seconds": 0.0},
+    "timeouts": {"scanner_seconds": 0, "agent_seconds": 0},
+}
 REPORTS = "run_id string, repo string, tool string, part bigint, payload string"
 
 
@@ -89,11 +98,13 @@ def run_audit(
     policy: ScanPolicy | None = None,
     enabled: dict[str, bool] | None = None,
     failures: DataFrame | None = None,
+    settings: dict | None = None,
 ) -> dict[str, DataFrame]:
     """Audit every request, or every folder below a path; returns the stage tables by name.
 
     ``failures`` (run_id, branch, reason) names branches that did not finish: their findings
-    are replaced by a failed one, and their runs end degraded.
+    are replaced by a failed one, and their runs end degraded. ``settings`` are the job's constants
+    in the manifests.
     """
     policy = policy or ScanPolicy()
     report_texts = report_texts if report_texts is not None else spark.createDataFrame([], REPORTS)
@@ -153,7 +164,21 @@ def run_audit(
             evidence.evidence_osv(dependencies),
         ),
     )
-    stage("dependency_status", evidence.dependency_status(tool_runs.filter(F.col("tool") == "osv-scanner"), runs))
+    dependency_state = stage("dependency_status", evidence.dependency_status(tool_runs.filter(F.col("tool") == "osv-scanner"), runs))
+
+    # What an agent would get: the largest payload that fits, and the two that have bounds.
+    heads = (
+        profile.select("run_id", F.struct(F.col("repo").alias("repo_name"), "languages_detected", "frameworks_detected").alias("repo_profile"))
+        .join(stats.select("run_id", F.struct("total_files_seen", "files_scanned", "files_skipped").alias("scan_stats")), "run_id", "left")
+        .join(dependency_state.select("run_id", F.col("status").alias("vulnerability_scan_status")), "run_id", "left")
+        .withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    )
+    cleaned = redaction.redact_text(tool_runs, "details")
+    parts = {"manifests": manifests, "tool_runs": cleaned}
+    stage("context_tiers", compaction.context_tier(compaction.context_sizes(heads, index, dependencies, folders=folders, **parts)))
+    compact = compaction.compacted_context(heads, index, dependencies, folders=folders, **parts)
+    minimal = compaction.minimal_context(heads, dependencies, **parts)
+    stage("payloads", compaction.payload_json(compact).withColumn("tier", F.lit("compact")).unionByName(compaction.payload_json(minimal).withColumn("tier", F.lit("minimal"))))
 
     # Evidence to findings and roadmap.
     scan_status = (
@@ -209,7 +234,14 @@ def run_audit(
 
     # Tables of runs, and last the log: a run counts as finished only when its documents exist.
     stage("scan_outputs", profile.select("run_id", F.to_json(F.struct("languages_detected", "frameworks_detected", "architecture_type")).alias("payload_json"), F.lit(0).cast("bigint").alias("seq")))
-    stage("branch_failures", runlog.branch_failures(transitions.filter("to_state = 'failed'").select("run_id", F.col("node_id").alias("branch"), "seq", "reason")))
+    failed_branches = stage("branch_failures", runlog.branch_failures(transitions.filter("to_state = 'failed'").select("run_id", F.col("node_id").alias("branch"), "seq", "reason")))
+    nothing = F.lit(None).cast("string")
+    asked = runs.select(
+        "run_id", F.lit("local_path").alias("source_type"), F.col("root").alias("local_path"), nothing.alias("github_url"), nothing.alias("provider"),
+        F.lit(None).cast("int").alias("max_tokens"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+    )
+    made_of = runlog.run_manifest(asked, runlog.stage_statuses(transitions), failed_branches, settings or MANIFEST_SETTINGS)
+    stage("run_manifests", tables.manifest_rows(made_of.withColumn("seq", F.lit(0).cast("bigint"))))
     moment = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     stage("run_rows", roadmaps.select("run_id", F.col("ended").alias("status"), moment.alias("started_at"), moment.alias("finished_at"), F.lit(0).cast("bigint").alias("seq")))
     if log is not None:

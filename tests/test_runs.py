@@ -343,6 +343,14 @@ def test_whole_audit(spark, trees):
 
     assert headings == REPORT_HEADINGS
     assert "- Entry points: app.py" in text and "- Files skipped: 1" in text
+    payloads = {(r.run_id, r.tier): json.loads(r.payload) for r in stages["payloads"].collect()}
+    assert len(payloads) == 4 and payloads["run-one", "compact"]["repo_profile"]["frameworks_detected"] == ["Express"]
+    assert payloads["run-one", "compact"]["dependency_summary"]["vulnerability_findings"][0]["package"] == "express"
+    assert payloads["run-one", "minimal"]["evidence_index"] == [] and payloads["run-one", "minimal"]["dependency_summary"]["manifest_count"] == 1
+    tiers = stages["context_tiers"].filter("run_id = 'run-one'").first()
+    assert tiers.compact_tokens == len(re.findall("[A-Za-z0-9_]+", json.dumps(payloads["run-one", "compact"]))) and tiers.tier == "full"
+    manifest = json.loads(stages["run_manifests"].filter("run_id = 'run-one'").first().payload_json)
+    assert manifest["repo"]["repo_name"] == "one" and manifest["analysis_status"]["roadmap"] == "completed"
     # Run again: all runs are in the log, so nothing is left to do, and nothing is listed.
     again = audit.run_audit(spark, str(trees / "trees"), str(trees / "out2"), report_rows(spark), log)
     assert again["runs"].count() == 0
