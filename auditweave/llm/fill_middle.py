@@ -178,9 +178,18 @@ def fill_in_middle(docs: DataFrame, unit: str = "token", seed: int = SEED, cut_p
 
 
 def restored(output: Column, form: Column) -> Column:
-    """The text that ``fill_in_middle`` made an output of."""
-    parts = F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1)
-    return F.when(form == "plain", output).when(form == "psm", F.concat(parts[1], parts[3], parts[2])).otherwise(F.concat(parts[2], parts[3], parts[1]))
+    """The text that ``fill_in_middle`` made an output of.
+
+    A cut text holds no mark of its own, so each mark occurs once. The parts are found by their marks in the
+    bytes of the output; splitting by a pattern would make several copies of every text.
+    """
+    head, middle = F.substring_index(output, MIDDLE, 1), F.substring_index(output, MIDDLE, -1)
+
+    def after(mark: str, other: str) -> Column:
+        """What follows ``mark``, up to the other mark if that comes later."""
+        return F.substring_index(F.substring_index(head, mark, -1), other, 1)
+
+    return F.when(form == "plain", output).otherwise(F.concat(after(PREFIX, SUFFIX), middle, after(SUFFIX, PREFIX)))
 
 
 def digests(transformed: DataFrame) -> DataFrame:

@@ -45,6 +45,17 @@ def test_equals_plain_slicing(spark, unit, units):
     assert fill_middle.fill_in_middle(empty_documents(spark)).count() == 0
 
 
+def test_parts_are_found_by_their_marks_without_splitting(spark):
+    rows = [("<P>a <<S>b> é<M>", "psm"), ("<S>\n<P>é<<M>P>", "spm"), ("<S><P><M>x", "spm"), ("<P><S><M>", "psm"), ("a<M>b<P>", "plain")]
+    made = spark.createDataFrame(rows, "output string, form string").withColumn("back", fill_middle.restored(F.col("output"), F.col("form")))
+    for row in made.collect():
+        parts = re.split("<[PSM]>", row["output"])
+        back = row["output"] if row["form"] == "plain" else parts[1] + parts[3] + parts[2] if row["form"] == "psm" else parts[2] + parts[3] + parts[1]
+        assert row["back"] == back
+    # A split makes Java strings of the whole text, several times for each of the three parts.
+    assert "split" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_result_names_are_replaced(spark):
     docs = odd_documents(spark).selectExpr("doc_id", "text", "1 as n", "'x' as form", "2 as output", "lang")
     out = fill_middle.fill_in_middle(docs)
