@@ -4,6 +4,7 @@ import hashlib
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,31 @@ def test_recovery_takes_linear_time(noise):
     assert large < 3.2 * small + 0.05
 
 
+def test_little_noise_goes_to_the_decoder(monkeypatch):
+    """Few braces before the report need no tokens read one by one; deep or long values still do."""
+    passes = []
+    read = reports._read_object
+    monkeypatch.setattr(reports, "_read_object", lambda *args: passes.append(1) or read(*args))
+    assert reports.first_object('scan started {pass 1}\n{"a": [1]}\ndone }') == '{"a": [1]}' and not passes
+    for value in ("[" * 200_000 + "]" * 200_000, "9" * 10_000):
+        text = 'log {x} {"a": ' + value + "}"
+        assert reports.first_object(text) == text[text.find('{"a"') :] and passes
+    assert reports.first_object("{ { { { { { {}") == "{}"
+
+
+def test_batches_without_noise_are_not_read_in_python():
+    """Only nulls come to the recovery of clean reports; they are given back as they are."""
+
+    class Nulls(list):
+        null_count = 3
+
+        def to_pylist(self):
+            raise AssertionError("read one by one")
+
+    assert reports._first_objects.func(Nulls([None] * 3)).to_pylist() == [None] * 3
+    assert reports._first_objects.func(pa.array([None, 'x {"b": 2} y', "{"])).to_pylist() == [None, '{"b": 2}', None]
+
+
 def test_broken_types_and_noise_in_reports(spark):
     """A clean report is parsed at once; noise, other types and trailing text take the second way."""
     good = json.dumps({"results": [{"filename": "a.py", "line_number": 3, "issue_text": "x"}], "other": {"deep": [1]}})
