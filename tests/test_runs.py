@@ -7,10 +7,12 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auditweave.functions.text import redacted
+from auditweave import fixed_values as V
+from auditweave.functions.text import count_tokens, redacted, token_count, token_count_of_many
 from auditweave.operators import checks, compaction, redaction, reporting, runlog
 from auditweave.plans import audit
 from auditweave.sources import documents, reports, tables
@@ -99,6 +101,28 @@ def test_nested_redaction_keeps_shape_and_keys(spark):
     assert out.orderBy("id").collect()[1].body is None
 
 
+def test_tokens_of_batches_are_those_of_the_pattern(spark):
+    """Batches count what the pattern counts: borders of texts, nulls, other alphabets, slices, texts beyond a part."""
+    generator = random.Random(5)
+    words = ["ab", "A_9", " ", "-", "é", "漢", "x", "", "\n", "𝒳", '"', "٣"]
+    texts = [None if i % 11 == 0 else "".join(generator.choices(words, k=generator.randrange(9))) for i in range(3000)] + ["", "a b " * 2_000_000, "z"]
+    want = [None if t is None else len(re.findall(V.TOKEN_PATTERN, t, re.ASCII)) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.array(texts, kind)
+        assert count_tokens(batch).to_pylist() == want and count_tokens(batch[7:2900]).to_pylist() == want[7:2900]
+    assert count_tokens(pa.array([], pa.string())).to_pylist() == [] and count_tokens(pa.array([None], pa.string())).to_pylist() == [None]
+    rows = spark.createDataFrame([(t,) for t in texts[:400]], "t string").select(token_count(F.col("t")).alias("a"), token_count_of_many(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == want[:400]
+
+
+def test_sizes_count_tokens_in_batches(spark):
+    """No list of matches is made for each item."""
+    rows = spark.createDataFrame([("r", 1, "e", "f", 1, 1, "h", "rg", "vuln", "s", 0.5)], EVIDENCE)
+    none = spark.createDataFrame([], DEPENDENCIES).withColumn("ord", F.lit(1))
+    plan = compaction.context_sizes(rows.select("run_id").distinct(), rows, none)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "ArrowEvalPython" in plan
+
+
 def test_sizes_are_the_tokens_of_the_payloads(spark):
     """Against the JSON texts: runs with many rows, ties, caps that bite, and a run without anything."""
     generator = random.Random(11)
