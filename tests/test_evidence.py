@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from auditweave import fixtures
 from auditweave.operators import evidence
+from auditweave.plans import inputs
 from auditweave.sources import reports
 
 REPORTS = "run_id string, repo string, tool string, part bigint, payload string"
@@ -98,6 +100,20 @@ def test_batches_without_noise_are_not_read_in_python():
     assert reports._first_objects.func(pa.array([None, 'x {"b": 2} y', "{"])).to_pylist() == [None, '{"b": 2}', None]
 
 
+def test_lines_are_dealt_out_narrow_and_whole(spark, tmp_path):
+    """Reports of lines take one shuffle of the lines' numbers; repeated, hot and missing keys keep the rows of the plain join."""
+    lines = [(order, part, 7, line) for order in [*range(40), None] for line in (1, 2, None) for part in (order, 5, 5, 99, None)]
+    parts = [(5, "gear", "b1", 3), (5, "gear two", "b2", 4), (6, None, "b1", None), (None, "none", "b", 1), (8, "rod", None, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    dealt, plain = (found(spark, f"{tmp_path}/") for found in (fixtures.dealt_dependencies, fixtures.dependencies))
+    assert dealt.columns == plain.columns and dealt.count() == plain.count() > 400
+    assert dealt.exceptAll(plain).count() == plain.exceptAll(dealt).count() == 0
+    plan = inputs.osv_reports(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan
+    assert "concat" not in plan[plan.index("Exchange") :] and "to_json" not in plan[plan.index("Exchange") :]
+
+
 def test_broken_types_and_noise_in_reports(spark):
     """A clean report is parsed at once; noise, other types and trailing text take the second way."""
     good = json.dumps({"results": [{"filename": "a.py", "line_number": 3, "issue_text": "x"}], "other": {"deep": [1]}})
