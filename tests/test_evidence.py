@@ -100,6 +100,24 @@ def test_batches_without_noise_are_not_read_in_python():
     assert reports._first_objects.func(pa.array([None, 'x {"b": 2} y', "{"])).to_pylist() == [None, '{"b": 2}', None]
 
 
+def test_clean_texts_come_back_as_they_are():
+    texts = pa.array(['{"a": 1}', 'x {"b": 2} y', None, "{", "no {"])
+    assert reports._first_objects.func(texts, pa.array([False, True, False, False, True])).to_pylist() == ['{"a": 1}', '{"b": 2}', None, "{", None]
+    assert reports._first_objects.func(texts, pa.array([False] * 5)).to_pylist() == texts.to_pylist()
+
+
+@pytest.mark.parametrize("noise", ["", "log {x} "])
+def test_recovery_does_not_run_ahead_of_its_results(spark, noise):
+    """A task keeps a few batches of rows for Python, not its whole partition."""
+    body = F.concat(F.lit(noise + '{"results": [{"filename": "'), F.lpad(F.col("id").cast("string"), 800, "a"), F.lit('"}]}'))
+    texts = spark.range(0, 400_000, 1, 1).select(
+        F.lit("run").alias("run_id"), F.lit("repo").alias("repo"), F.lit("bandit").alias("tool"), F.col("id").alias("part"), body.alias("payload")
+    )
+    first = reports.load_reports(texts, "bandit").select("part", "readable", "document").limit(1)
+    assert first.collect()[0].readable
+    assert first._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value() < 200_000
+
+
 def test_lines_are_dealt_out_narrow_and_whole(spark, tmp_path):
     """Reports of lines take one shuffle of the lines' numbers; repeated, hot and missing keys keep the rows of the plain join."""
     lines = [(order, part, 7, line) for order in [*range(40), None] for line in (1, 2, None) for part in (order, 5, 5, 99, None)]
